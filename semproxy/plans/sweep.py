@@ -18,6 +18,7 @@ from semproxy.operators.propagation import ClusterPropagation, DirectLabels
 from semproxy.operators.sampling import ClusterSampler, RandomSampler
 from semproxy.operators.training import LogisticTrainer
 from semproxy.plans.runner import run_proxy_training
+from semproxy.session import cut_lineage
 
 # The report's columns in order. Timers of a single process's inner steps have no
 # Spark counterpart and stay empty.
@@ -189,7 +190,9 @@ def run_sweep(
         reports = report if reports is None else reports.unionByName(report)
     examples = label_lookup(candidates.select("id", "embedding"), gold)
     started = time.perf_counter()
-    evaluated = evaluate_proxy(score_models(examples, models), ["run_id"], len(models))
+    scores = score_models(examples, models)
+    evaluated = cut_lineage(evaluate_proxy(scores, ["run_id"], len(models)))  # a row per run
+    scoring_ms = (time.perf_counter() - started) * 1000
     width = len(next(iter(models.values())).weights)
     settings = spark.createDataFrame(
         [(run.run_id, dataset, *asdict(run).values()) for run in grid],
@@ -212,7 +215,7 @@ def run_sweep(
         settings.join(totals, "run_id")
         .join(evaluated.withColumnRenamed("n_rows", "rows"), "run_id")
         .withColumn("embedding_dimensions", F.lit(width))
-        .withColumn("proxy_scoring_ms", F.lit((time.perf_counter() - started) * 1000))
+        .withColumn("proxy_scoring_ms", F.lit(scoring_ms))
     )
     for name in ("band_02", "band_01"):
         calls = F.col("phase_a_labels") + F.col(f"{name}_escalations")
