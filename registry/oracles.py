@@ -150,8 +150,9 @@ ORACLES: dict[str, str] = {
       (SELECT count(*) FROM embeddings) "rows",
       CAST((SELECT max(len(embedding)) FROM embeddings) AS INTEGER) embedding_dimensions,
       CAST(16 AS BIGINT) phase_a_labels
-      FROM (VALUES ('random', 'direct'), ('cluster', 'direct'), ('cluster', 'cluster_propagation'))
-        m(sampler, training_data_mode) CROSS JOIN (VALUES (1), (2)) t(r)""",
+      FROM (VALUES ('random', 'direct', 1), ('cluster', 'direct', 1),
+        ('cluster', 'cluster_propagation', 1), ('random', 'direct', 2))
+        m(sampler, training_data_mode, r)""",
     "filter_nonnull_id": f"WITH {VECTORS} SELECT id FROM v WHERE vec_id % 7 <> 0",
     "pool_columns": f"WITH {VECTORS} SELECT id, {TOTAL} FROM v",
     "validate_candidates": f"""WITH {DAMAGED} SELECT count(*) n_rows,
@@ -323,9 +324,9 @@ ORACLES: dict[str, str] = {
       m AS (SELECT shard, pos, avg(CAST(x AS DOUBLE)) m FROM p GROUP BY shard, pos)
       SELECT CAST(pos AS INTEGER) "position", round(avg(m), 9) weight,
       round(avg(shard / 2.0), 9) intercept FROM m GROUP BY pos""",
-    "recursive_shards": """SELECT round, CAST(s AS INTEGER) shard,
-      CAST(4 // round_share AS BIGINT) labels FROM (VALUES (0, 1), (1, 2), (2, 2))
-      t(round, round_share) CROSS JOIN range(0, 4) r(s)""",
+    "recursive_shards": """SELECT round, CAST(vec_id % 4 AS INTEGER) shard,
+      CAST(max(share) AS BIGINT) labels FROM embeddings CROSS JOIN (VALUES (0, 4), (1, 2), (2, 2))
+      t(round, share) GROUP BY 1, 2""",
     "naurac": f"""WITH {ORDER_SCORES}, t AS (SELECT shard, avg(r) aurac, count(*) n,
       count(*) FILTER (label = 1) k FROM (SELECT *, {CURVE} r FROM os) GROUP BY shard),
       i AS (SELECT *, k / n base,
@@ -380,7 +381,7 @@ ORACLES: dict[str, str] = {
       round(coalesce((SELECT max(score) FROM f WHERE c >= cut AND score < 0.5), -1), 9) reject,
       round(coalesce((SELECT min(score) FROM f WHERE c >= cut AND score >= 0.5), 2), 9) accept,
       (SELECT count(*) FROM f WHERE cut IS NULL OR c < cut) escalations FROM b""",
-    "seed_average": """SELECT *, round(mean_, 9) mean FROM (SELECT cell, setting,
+    "seed_average": """SELECT cell, setting, rank, round(mean_, 9) mean FROM (SELECT cell, setting,
       avg(q) mean_, CAST(rank() OVER (PARTITION BY cell ORDER BY avg(q) DESC) AS INTEGER) rank
       FROM (SELECT l_suppkey % 36 cell, l_returnflag setting, l_quantity q FROM lineitem)
       GROUP BY cell, setting)""",
@@ -389,6 +390,5 @@ ORACLES: dict[str, str] = {
       FROM (SELECT l_suppkey % 36 cell, l_returnflag setting, l_quantity q FROM lineitem)
       GROUP BY cell, setting) GROUP BY setting""",
 }
-ORACLES["seed_average"] = ORACLES["seed_average"].replace("SELECT *, round", "SELECT cell, setting, rank, round")
 for _name in ("lc3", "lc4", "gc2", "lc1rec", "lc2rec", "lc3rec", "lc4rec", "gc2rec"):
     ORACLES[f"strategy_{_name}"] = STRATEGY.format(name=_name)

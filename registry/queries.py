@@ -650,7 +650,7 @@ def _run(spark, sf_dir, name, budget=48, rounds=3, clusters=12, **settings):
         strategy.sampler(ClusterOptions(clusters, 2)),
         GoldLabeler(gold(spark, sf_dir)),
         strategy.builder(),
-        LogisticTrainer(l2=0.1, max_iter=50),
+        LogisticTrainer(l2=1.0, max_iter=25),
         name,
     )
 
@@ -708,9 +708,10 @@ def _rounded(evaluated: DataFrame) -> DataFrame:
 
 
 def _small_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = sweep_grid((16,), (16,), (1, 2), (0.5,), ((0.5, 0.5),), (42,))
+    grid = sweep_grid((16,), (16,), (1,), seeds=(42,))
+    grid.append(SweepRun("random", "direct", 16, 2, 0.5))
     pool = candidates(spark, sf_dir).select("id", "text", "embedding")
-    trainer = LogisticTrainer(l2=0.1, max_iter=20)
+    trainer = LogisticTrainer(l2=1.0, max_iter=20)
     return run_sweep(pool, gold(spark, sf_dir), grid, "vectors", 3, trainer)
 
 

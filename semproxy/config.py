@@ -41,7 +41,11 @@ class ClusterOptions:
 
 @dataclass(frozen=True)
 class RunConfig:
-    """One training run. ``shards`` lists the values of ``shard_col`` in quota order."""
+    """One training run. ``shards`` lists the values of ``shard_col`` in quota order.
+
+    ``check_table`` checks every row first, ids for duplicates with a shuffle of their own; without
+    it the run still fails on any duplicate id it selects and on any bad row it trains on.
+    """
 
     rounds: int = 1
     label_budget: int = 200
@@ -54,7 +58,7 @@ class RunConfig:
     shards: tuple[int, ...] = ()
     placement: str = CENTRAL
     roll_over: bool = False
-    unique_ids: bool = True
+    check_table: bool = False
 
     def __post_init__(self) -> None:
         if self.rounds <= 0 or self.label_budget <= 0:

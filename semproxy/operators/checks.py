@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semproxy.session import ONE_PARTITION_ROWS, gather
+
 
 def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
@@ -57,12 +59,12 @@ def require_valid_candidates(
     return counts
 
 
-def example_violations(df: DataFrame) -> DataFrame:
-    """Counts for a training set ``(embedding, label)``."""
+def example_violations(df: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
+    """Counts for a training set ``(embedding, label)``, per ``groups`` if there are any."""
     not_finite = F.exists(
         "embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     )
-    return df.agg(
+    return df.groupBy(*groups).agg(
         F.count("*").alias("n_rows"),
         count_if(F.col("label") == 1).alias("positives"),
         count_if(F.col("label").isNull() | ~F.col("label").isin(0, 1)).alias("bad_label"),
@@ -72,8 +74,8 @@ def example_violations(df: DataFrame) -> DataFrame:
     )
 
 
-def require_valid_examples(df: DataFrame) -> dict:
-    counts = example_violations(df).first().asDict()
+def require_valid_examples(counts: dict) -> None:
+    """Raise for the counts of :func:`example_violations`."""
     if counts["n_rows"] == 0:
         raise ValueError("no training examples")
     _raise_on(
@@ -83,7 +85,6 @@ def require_valid_examples(df: DataFrame) -> dict:
     )
     if counts["min_width"] != counts["max_width"]:
         raise ValueError("training examples mix embedding widths")
-    return counts
 
 
 def selection_violations(selected: DataFrame, budget: int) -> DataFrame:
@@ -95,17 +96,26 @@ def selection_violations(selected: DataFrame, budget: int) -> DataFrame:
     )
 
 
-def label_violations(labeled: DataFrame, selected: DataFrame) -> DataFrame:
+def label_violations(
+    labeled: DataFrame, selected: DataFrame, at_most: int = ONE_PARTITION_ROWS + 1
+) -> DataFrame:
     """The labeler must return exactly the selected ids, each once."""
-    returned = labeled.groupBy("id").agg(
-        F.count("*").alias("_times"), count_if(F.col("label").isNull()).alias("_null")
+    asked = selected.select("id", F.lit(1).alias("_asked"), F.lit(0).alias("_times"))
+    returned = labeled.select(
+        "id",
+        F.lit(0).alias("_asked"),
+        F.lit(1).alias("_times"),
+        F.col("label").isNull().cast("int").alias("_null"),
+    )
+    both = gather(asked.withColumn("_null", F.lit(0)).unionByName(returned), at_most)
+    per_id = both.groupBy("id").agg(
+        *[F.sum(name).alias(name) for name in ("_asked", "_times", "_null")]
     )
-    both = returned.join(selected.select("id", F.lit(1).alias("_asked")), "id", "full_outer")
-    return both.agg(
+    return per_id.agg(
         F.coalesce(F.sum("_asked"), F.lit(0)).alias("selected"),
         F.coalesce(F.sum("_times"), F.lit(0)).alias("returned"),
-        count_if(F.col("_times").isNull()).alias("missing"),
-        count_if(F.col("_asked").isNull()).alias("unexpected"),
+        count_if(F.col("_times") == 0).alias("missing"),
+        count_if(F.col("_asked") == 0).alias("unexpected"),
         count_if(F.col("_times") > 1).alias("repeated"),
         F.coalesce(F.sum("_null"), F.lit(0)).alias("null_label"),
     )
@@ -113,7 +123,7 @@ def label_violations(labeled: DataFrame, selected: DataFrame) -> DataFrame:
 
 def require_valid_labels(labeled: DataFrame, selected: DataFrame, budget: int) -> int:
     """Check selection and labels of one round; returns the number of labels."""
-    counts = label_violations(labeled, selected).first().asDict()
+    counts = label_violations(labeled, selected, budget).first().asDict()
     if counts["selected"] > budget:
         raise ValueError(f"{counts['selected']} ids selected for a budget of {budget}")
     _raise_on(

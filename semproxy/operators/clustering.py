@@ -88,7 +88,11 @@ class CentroidPartition:
         return sum(len(names) for names, _ in self.centers.values())
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Rows with ``cluster`` and ``distance``; a narrow pass, nothing is joined."""
+        """Rows with ``cluster`` and ``distance``; a narrow pass, nothing is joined.
+
+        Both columns are never NULL. Otherwise a later join on ``cluster`` would push a null
+        filter below the function and evaluate it twice.
+        """
         shard = F.lit(0) if self.shard_col is None else F.col(self.shard_col)
         parts = []
         for centers in _batches(self.centers):
@@ -96,8 +100,8 @@ class CentroidPartition:
             rows = df if self.shard_col is None else df.where(shard.isin(list(centers)))
             parts.append(
                 rows.withColumn("_nearest", nearest)
-                .withColumn("cluster", F.col("_nearest.cluster"))
-                .withColumn("distance", F.col("_nearest.distance"))
+                .withColumn("cluster", F.coalesce(F.col("_nearest.cluster"), F.lit(-1)))
+                .withColumn("distance", F.coalesce(F.col("_nearest.distance"), F.lit(0.0)))
                 .drop("_nearest")
             )
         result = parts[0]

@@ -25,9 +25,13 @@ class Labeler(Protocol):
 
 @dataclass(frozen=True)
 class FunctionLabeler:
-    """Calls ``function(row)`` for every candidate, in batches inside the tasks."""
+    """Calls ``function(row)`` for every candidate, in batches inside the tasks.
+
+    Calls run where the rows were read; ``tasks`` spreads slow calls of a small selection.
+    """
 
     function: Callable[[Any], int]
+    tasks: int | None = None
 
     def __post_init__(self) -> None:
         if self.function is None:
@@ -35,6 +39,8 @@ class FunctionLabeler:
 
     def label(self, candidates: DataFrame) -> DataFrame:
         function = self.function
+        if self.tasks is not None:
+            candidates = candidates.repartition(self.tasks)
 
         def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rows in batches:

@@ -71,9 +71,10 @@ def select_uncertain(
     shards: tuple[int, ...] = (),
 ) -> DataFrame:
     """The ``budget`` rows whose score is nearest either centre, with their distance."""
-    score = predict_probability(F.col("embedding"), model)
     keep = () if shard_col is None else (shard_col,)
-    ranked = unlabeled.select("id", *keep, uncertainty(score, center_1, center_2).alias("u"))
+    score = predict_probability(F.col("embedding"), model).alias("score")
+    distance = uncertainty(F.col("score"), center_1, center_2).alias("u")
+    ranked = unlabeled.select("id", *keep, score).select("id", *keep, distance)
     order = [F.col("u").asc(), F.col("id").asc()]
     if shard_col is None:
         return top_k(ranked, order, budget)

@@ -13,10 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semproxy.functions.scoring import MODEL_SCHEMA, ProxyModel
-from semproxy.operators.checks import require_valid_examples
-
-# Up to this many examples are fitted in one partition, in id order.
-ONE_PARTITION_ROWS = 20_000
+from semproxy.operators.checks import example_violations, require_valid_examples
+from semproxy.session import ONE_PARTITION_ROWS, gather
 
 
 @dataclass(frozen=True)
@@ -33,15 +31,24 @@ class LogisticTrainer:
         if not math.isfinite(self.l2) or self.l2 < 0:
             raise ValueError("l2 must be finite and not negative")
 
-    def fit(self, examples: DataFrame) -> ProxyModel:
-        counts = require_valid_examples(examples)
+    def fit(
+        self,
+        examples: DataFrame,
+        at_most: int = ONE_PARTITION_ROWS + 1,
+        counts: dict | None = None,
+    ) -> ProxyModel:
+        """Fit ``(id, embedding, label)`` rows; ``at_most`` is an upper bound of their number, and
+        ``counts`` their :func:`example_violations` where the caller has them already."""
+        if counts is None:
+            counts = example_violations(gather(examples, at_most)).first().asDict()
+        require_valid_examples(counts)
         rows, positives, width = counts["n_rows"], counts["positives"], counts["max_width"]
         if positives in (0, rows):
             # One class has no finite optimum: a smoothed constant keeps scores finite.
             constant = math.log((positives + 1) / (rows - positives + 1))
             return ProxyModel((0.0,) * width, constant)
         if rows <= ONE_PARTITION_ROWS:
-            examples = examples.coalesce(1).sortWithinPartitions("id")
+            examples = gather(examples, rows).sortWithinPartitions("id")
         features = examples.select(
             array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
             F.col("label").cast("double").alias("label"),
@@ -82,17 +89,19 @@ def federated_train(
     weighted: bool = False,
     parallelism: int = 4,
 ) -> ProxyModel:
-    """One fit per shard, then the average. Each fit is a Spark job of its own over its shard."""
+    """One fit per shard, then the average. Each fit is a Spark job of its own over its shard;
+    one grouped pass checks the training rows of all shards."""
     spark = training.sparkSession
-    sizes = training.where(F.col(shard_col).isin(list(shards))).groupBy(shard_col).count()
-    rows = {row[shard_col]: row["count"] for row in sizes.collect()}
+    checks = example_violations(training, (shard_col,)).collect()
+    counts = {row[shard_col]: row.asDict() for row in checks}
     local = LogisticTrainer(trainer.l2, trainer.max_iter, trainer.tol, standardize=True)
 
     def fit(shard: int) -> tuple:
-        model = local.fit(training.where(F.col(shard_col) == shard))
-        return (str(shard), list(model.weights), model.intercept, rows[shard])
+        rows = training.where(F.col(shard_col) == shard)
+        model = local.fit(rows, counts=counts[shard])
+        return (str(shard), list(model.weights), model.intercept, counts[shard]["n_rows"])
 
-    present = [shard for shard in shards if shard in rows]
+    present = [shard for shard in shards if shard in counts]
     if not present:
         raise ValueError("no training examples")
     with ThreadPool(min(parallelism, len(present))) as pool:

@@ -58,7 +58,7 @@ def run_proxy_training(
         table = table.where(F.col(shard_col).isin(list(shards)))
     candidates = load_candidates(table, config.dataset, keep)
     pool = load_embeddings_only(table, config.dataset, keep)
-    if config.unique_ids:
+    if config.check_table:
         require_valid_candidates(pool.where(F.col("id").isNotNull()))
 
     first = initial_budget(config)
@@ -90,8 +90,7 @@ def run_proxy_training(
         ids = cut_lineage(ids.select("id"))
         sampled = time.perf_counter()
 
-        tasks = max(1, min(budget, spark.sparkContext.defaultParallelism))
-        selected = fetch_by_ids(candidates, ids, budget).repartition(tasks)
+        selected = fetch_by_ids(candidates, ids, budget)
         labeled = labeler.label(small(selected, budget))
         batch = cut_lineage(
             labeled.select(
@@ -107,6 +106,8 @@ def run_proxy_training(
             training = builder.build(ledger, pool, partition)
             if config.placement == FEDERATED:
                 model = federated_train(training, shard_col, shards, trainer)
+            elif isinstance(builder, DirectLabels):
+                model = trainer.fit(training, at_most=config.label_budget)
             else:
                 model = trainer.fit(training)
             models.append(model)

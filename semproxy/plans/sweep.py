@@ -180,7 +180,6 @@ def run_sweep(
             uncertainty_center_1=run.uncertainty_center_1,
             uncertainty_center_2=run.uncertainty_center_2,
             seed=run.seed,
-            unique_ids=not models,
         )
         result = run_proxy_training(
             candidates, config, sampler, labeler, builder, trainer, run.run_id

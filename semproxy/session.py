@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # A hinted broadcast side never has more rows than this; wider inputs are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
+# Tables known to have at most this many rows are checked and fitted in one partition.
+ONE_PARTITION_ROWS = 20_000
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; a temporary one only for a local master without one."""
@@ -40,6 +43,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def gather(df: DataFrame, rows: int) -> DataFrame:
+    """One partition when ``rows``, an upper bound of ``df``, is small enough: aggregates and
+    groupings over it then need no shuffle."""
+    return df.coalesce(1) if rows <= ONE_PARTITION_ROWS else df
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast when ``rows``, an upper bound of ``df``, is small enough."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
