@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -17,7 +19,7 @@ from semproxy.config import ClusterOptions
 from semproxy.functions.scoring import seeded_key
 from semproxy.operators.checks import require_valid_candidates
 from semproxy.operators.topk import top_k_per_group
-from semproxy.session import small
+from semproxy.session import for_iteration, small
 
 # Centroids of one pass are shipped to every task; more shards than fit go through further passes.
 CENTROID_BYTES = 256 * 1024 * 1024
@@ -33,6 +35,15 @@ class Partition(Protocol):
     def assign(self, df: DataFrame) -> DataFrame: ...
 
 
+def _matrix(embeddings: pa.Array, width: int) -> np.ndarray:
+    """Embeddings as one row each; NULLs and other widths are an error."""
+    values = embeddings.flatten()
+    widths = pc.min_max(pc.list_value_length(embeddings)).as_py()
+    if embeddings.null_count or values.null_count or {widths["min"], widths["max"]} - {width, None}:
+        raise ValueError(f"embeddings must hold {width} values and no NULL")
+    return values.to_numpy(zero_copy_only=False).reshape(len(embeddings), width)
+
+
 def _nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Position of and squared distance to the nearest centre; ties go to the first centre."""
     rough = (points**2).sum(1)[:, None] - 2 * points @ centers.T + (centers**2).sum(1)[None, :]
@@ -49,6 +60,7 @@ def nearest_centroid(
     embedding: Column, shard: Column, centers: dict[int, tuple[list[int], np.ndarray]]
 ) -> Column:
     """``struct(cluster, distance)`` against the centres of the row's shard."""
+    width = next(iter(centers.values()))[1].shape[1]
 
     @F.arrow_udf("struct<cluster:int,distance:double>")
     def assign(shards: pa.Array, embeddings: pa.Array) -> pa.Array:
@@ -56,7 +68,7 @@ def nearest_centroid(
         cluster = np.zeros(rows, np.int32)
         distance = np.zeros(rows)
         known = np.zeros(rows, bool)
-        points = embeddings.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+        points = _matrix(embeddings, width)
         owner = shards.to_numpy(zero_copy_only=False)
         for value, (names, matrix) in centers.items():
             mine = np.flatnonzero(owner == value)
@@ -157,7 +169,7 @@ def kmeans_partition(
     if rows == 0:
         return None
     k = min(options.cluster_count, rows)
-    features = _features(pool)
+    features = _features(for_iteration(pool))
     if k == 1:
         centers = [features.select(Summarizer.mean(F.col("features"))).first()[0].toArray()]
     else:
@@ -171,9 +183,65 @@ def sharded_kmeans(
 ) -> CentroidPartition | None:
     """k-means inside every shard at once: Lloyd passes keyed by shard and cluster.
 
-    Only per-cluster sums are shuffled, so a shard of any size spreads over all tasks. Start
-    centres are the rows with the smallest seeded keys of each shard.
+    Only per-task sums are shuffled, so a shard of any size spreads over all tasks. Start centres
+    are the rows with the smallest seeded keys of each shard.
     """
+    rows = for_iteration(pool.select("id", shard_col, "embedding")).persist()
+    try:
+        return _lloyd(rows, shard_col, shards, options, seed)
+    finally:
+        rows.unpersist()
+
+
+def cluster_sums(
+    rows: DataFrame, shard_col: str, centers: dict[int, tuple[list[int], np.ndarray]]
+) -> DataFrame:
+    """``(shard, cluster, n_rows, total)``: rows per nearest centre and their vector sum.
+
+    A task adds up all its rows and hands on one row per cluster.
+    """
+    width = next(iter(centers.values()))[1].shape[1]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {s: np.zeros(matrix.shape) for s, (_, matrix) in centers.items()}
+        counts = {s: np.zeros(len(names), np.int64) for s, (names, _) in centers.items()}
+        for batch in batches:
+            owner = batch.column(0).to_numpy(zero_copy_only=False)
+            points = _matrix(batch.column(1), width)
+            for shard, (_, matrix) in centers.items():
+                mine = np.flatnonzero(owner == shard)
+                for start in range(0, len(mine), CHUNK_ROWS):
+                    part = points[mine[start : start + CHUNK_ROWS]].astype(np.float64)
+                    chosen, _ = _nearest(part, matrix)
+                    member = np.zeros((len(matrix), len(part)))
+                    member[chosen, np.arange(len(part))] = 1.0
+                    totals[shard] += member @ part
+                    counts[shard] += np.bincount(chosen, minlength=len(matrix))
+        for shard, (names, _) in centers.items():
+            seen = np.flatnonzero(counts[shard])
+            if len(seen):
+                columns = [
+                    pa.array(np.full(len(seen), shard), pa.int32()),
+                    pa.array(np.asarray(names)[seen], pa.int32()),
+                    pa.array(counts[shard][seen], pa.int64()),
+                    pa.array(list(totals[shard][seen]), pa.list_(pa.float64())),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    columns, names=["shard", "cluster", "n_rows", "total"]
+                )
+
+    per_task = rows.select(F.col(shard_col).cast("int"), "embedding").mapInArrow(
+        add_up, "shard int, cluster int, n_rows long, total array<double>"
+    )
+    return per_task.groupBy("shard", "cluster").agg(
+        F.sum("n_rows").alias("n_rows"),
+        vector_to_array(Summarizer.sum(array_to_vector(F.col("total")))).alias("total"),
+    )
+
+
+def _lloyd(
+    pool: DataFrame, shard_col: str, shards: tuple[int, ...], options: ClusterOptions, seed: int
+) -> CentroidPartition | None:
     quotas = {shard: options.cluster_count for shard in shards}
     order = [seeded_key(F.col("id"), seed), F.col("id")]
     ids = top_k_per_group(pool.select("id", shard_col), shard_col, order, quotas)
@@ -195,21 +263,11 @@ def sharded_kmeans(
         if shard in start
     }
     for _ in range(options.max_iterations):
-        means = (
-            CentroidPartition(centers, shard_col)
-            .assign(pool)
-            .select(
-                shard_col,
-                "cluster",
-                array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-            )
-            .groupBy(shard_col, "cluster")
-            .agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("center"))
-            .collect()
-        )
         moved = {shard: (names, matrix.copy()) for shard, (names, matrix) in centers.items()}
-        for row in means:
-            moved[row[shard_col]][1][row["cluster"]] = row["center"]
+        for batch in _batches(centers):
+            for row in cluster_sums(pool, shard_col, batch).collect():
+                center = np.asarray(row["total"]) / row["n_rows"]
+                moved[row["shard"]][1][row["cluster"]] = center
         shift = max(np.abs(moved[s][1] - centers[s][1]).max() for s in centers)
         centers = moved
         if shift < 1e-4:

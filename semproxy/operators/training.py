@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from semproxy.functions.scoring import MODEL_SCHEMA, ProxyModel
 from semproxy.operators.checks import example_violations, require_valid_examples
-from semproxy.session import ONE_PARTITION_ROWS, gather
+from semproxy.session import ONE_PARTITION_ROWS, for_iteration, gather
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,8 @@ class LogisticTrainer:
             return ProxyModel((0.0,) * width, constant)
         if rows <= ONE_PARTITION_ROWS:
             examples = gather(examples, rows).sortWithinPartitions("id")
+        else:
+            examples = for_iteration(examples)
         features = examples.select(
             array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
             F.col("label").cast("double").alias("label"),

@@ -43,6 +43,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def for_iteration(df: DataFrame) -> DataFrame:
+    """At most eight partitions per core for data that is passed over many times: a scan of a
+    very large table has so many splits that starting their tasks would outweigh each pass."""
+    return df.coalesce(8 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def gather(df: DataFrame, rows: int) -> DataFrame:
     """One partition when ``rows``, an upper bound of ``df``, is small enough: aggregates and
     groupings over it then need no shuffle."""

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from semproxy.config import DatasetSpec
 from semproxy.operators.checks import require_valid_candidates
 from semproxy.operators.topk import top_k
-from semproxy.session import cut_lineage
+from semproxy.session import cut_lineage, small
 
 # The sentiment words of the labeled CSV files.
 SENTIMENT_LABELS = {"POSITIVE": 1, "NEGATIVE": 0}
@@ -81,12 +81,12 @@ def read_labeled_csv(
         )
     )
     earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
+    blocks = cut_lineage(
         parsed.groupBy("_file", "_block")
         .agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
         .withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     )
-    return parsed.join(blocks, ["_file", "_block"]).select(
+    return parsed.join(small(blocks, blocks.count()), ["_file", "_block"]).select(
         (F.col("_start") + F.col("_row") - F.col("_first")).alias("row_index"), "text", "label"
     )
 
