@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from semproxy.operators.checks import count_if
 from semproxy.operators.clustering import Partition
-from semproxy.session import small
+from semproxy.session import cut_lineage, small
 
 
 class TrainingDataBuilder(Protocol):
@@ -77,7 +77,8 @@ class ClusterPropagation:
     def build(self, direct, pool, partition):
         if partition is None:
             raise ValueError("cluster propagation needs a sampler that creates clusters")
-        votes = cluster_votes(partition.assign(direct), partition.keys)
+        # One row per voted cluster, read by every pass of the training.
+        votes = cut_lineage(cluster_votes(partition.assign(direct), partition.keys))
         return propagated_training_set(
             partition.assign(pool), votes, partition.keys, partition.clusters
         )
