@@ -121,7 +121,7 @@ def evaluated(source: str, group: str) -> str:
 
 
 RUN_LEDGER = """n AS (SELECT *, row_number() OVER (ORDER BY key, id) rn FROM v)"""
-STRATEGY = """SELECT '{name}' strategy, count(*) > 0 within_budget, CAST(0 AS BIGINT) repeated,
+GLOBAL_STRATEGY = """SELECT count(*) > 0 within_budget, CAST(0 AS BIGINT) repeated,
   count(*) > 0 finite FROM embeddings"""
 LEARNED = "SELECT count(*) > 0 learned FROM embeddings"
 
@@ -264,6 +264,8 @@ ORACLES: dict[str, str] = {
       SELECT *, round(total_calls / 75, 9) hosted_seconds,
       round(total_calls / 250, 9) server_seconds, round(total_calls / 1800, 9) inprocess_seconds
       FROM t""",
+    "kmeans_partition": """SELECT count(*) n_rows, CAST(12 AS BIGINT) clusters,
+      count(*) > 0 centred FROM embeddings""",
     "nearest_centroid": f"""WITH {EIGHT}
       SELECT id, CAST(cluster AS INTEGER) cluster, round(d, 9) distance FROM a""",
     "train_logistic": LEARNED,
@@ -304,20 +306,27 @@ ORACLES: dict[str, str] = {
       SELECT 'mirrored', * REPLACE (1/(1+exp(-(0.25 - list_sum(list_transform(range(0, 64),
         lambda i: CAST(embedding[i+1] AS DOUBLE) * ((i*7)%13 - 6)))))) AS score) FROM vs)
       {evaluated('m', 'run_id')}""",
-    "sampler": f"""WITH {VECTORS} SELECT id FROM v ORDER BY md5('7:' || id), id LIMIT 40""",
+    "Sampler": f"""WITH {VECTORS} SELECT id FROM v ORDER BY md5('7:' || id), id LIMIT 40""",
     "cluster_sampler": f"""WITH {SHARDED}, p AS (SELECT * FROM a {REPS})
       SELECT id, shard FROM p QUALIFY row_number() OVER (PARTITION BY shard ORDER BY key, id)
       <= 10 // 4 + CASE WHEN shard < 10 % 4 THEN 1 ELSE 0 END""",
-    "labeler": f"""WITH {VECTORS} SELECT id, CASE WHEN length(text) % 2 = 0 THEN 1 ELSE 0 END label
+    "Labeler": f"""WITH {VECTORS} SELECT id, CASE WHEN length(text) % 2 = 0 THEN 1 ELSE 0 END label
       FROM v JOIN documents ON doc_id = vec_id""",
-    "function_labeler": """SELECT CASE WHEN contains(right(text, 10), 'a') THEN 1 ELSE 0 END label,
+    "FunctionLabeler": """SELECT CASE WHEN contains(right(text, 10), 'a') THEN 1 ELSE 0 END label,
       count(*) n_rows FROM documents GROUP BY 1""",
-    "training_data_builder": """SELECT 0 last_round, CAST(0 AS BIGINT) repeated,
+    "TrainingDataBuilder": """SELECT 0 last_round, CAST(0 AS BIGINT) repeated,
       count(*) > 0 within_budget FROM embeddings""",
     "semantic_filter": f"""WITH {VECTOR_SCORES} SELECT id,
       CASE WHEN score >= 0.8 THEN 'accept' ELSE 'escalate' END zone, round(score, 9) score
       FROM vs WHERE score >= 0.8 OR (score > 0.2 AND label = 1)""",
-    "lc2_local_propagation": f"WITH {SHARDED} SELECT id, shard, label FROM a {REPS}",
+    "semantic_filter_trained": """SELECT CAST(0 AS BIGINT) repeated,
+      CAST(0 AS BIGINT) unsure_negatives FROM embeddings LIMIT 1""",
+    "lc2_local_propagation": f"""WITH {SHARDED}, p AS (SELECT * FROM a {REPS}),
+      l AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY shard ORDER BY key, id) <= 3),
+      vt AS (SELECT part, cluster, count(*) FILTER (label = 1) y, count(*) FILTER (label <> 1) n
+        FROM l GROUP BY part, cluster)
+      SELECT id, shard, CASE WHEN y >= n THEN 1 ELSE 0 END label
+      FROM a JOIN vt USING (part, cluster)""",
     "federated_train": LEARNED,
     "federated_average": f"""WITH {VECTORS}, p AS (SELECT shard, unnest(embedding) x,
       generate_subscripts(embedding, 1) - 1 pos FROM v),
@@ -390,5 +399,23 @@ ORACLES: dict[str, str] = {
       FROM (SELECT l_suppkey % 36 cell, l_returnflag setting, l_quantity q FROM lineitem)
       GROUP BY cell, setting) GROUP BY setting""",
 }
-for _name in ("lc3", "lc4", "gc2", "lc1rec", "lc2rec", "lc3rec", "lc4rec", "gc2rec"):
-    ORACLES[f"strategy_{_name}"] = STRATEGY.format(name=_name)
+
+
+def sharded_strategy(first: int, later: int) -> str:
+    """``first`` representatives per shard in round 0, then ``later`` uncertain rows."""
+    return f"""WITH {SHARDED}, p AS (SELECT * FROM a {REPS}),
+      l AS (SELECT * FROM p
+        QUALIFY row_number() OVER (PARTITION BY shard ORDER BY key, id) <= {first})
+      SELECT 0 round, shard, count(*) labels, min(id) first_min, max(id) first_max,
+        CAST(sum(label) AS BIGINT) first_positives, true finite FROM l GROUP BY shard
+      UNION ALL
+      SELECT 1, shard, CAST({later} AS BIGINT), NULL, NULL, NULL, true FROM v
+        WHERE {later} > 0 GROUP BY shard"""
+
+
+for _name in ("lc3", "lc4"):
+    ORACLES[_name] = sharded_strategy(6, 0)
+for _name in ("lc1rec", "lc2rec", "lc3rec", "lc4rec"):
+    ORACLES[_name] = sharded_strategy(3, 3)
+for _name in ("gc2", "gc2rec"):
+    ORACLES[_name] = GLOBAL_STRATEGY

@@ -34,6 +34,7 @@ from semproxy.operators.clustering import (
     AssignmentTable,
     CentroidPartition,
     cluster_representatives,
+    cluster_sums,
     kmeans_partition,
     sharded_kmeans,
 )
@@ -548,11 +549,19 @@ def projected_latency(spark, sf_dir):
 
 @query
 def kmeans_partition_(spark, sf_dir):
-    """Sizes and mean squared distance per cluster."""
-    pool = vectors(spark, sf_dir).select("id", "embedding")
-    partition = kmeans_partition(pool, ClusterOptions(12, 10), SEED)
-    return partition.assign(pool).groupBy("cluster").agg(
-        F.count("*").alias("n_rows"), r9(F.avg("distance"), "inertia")
+    """A converged partition: every row has a cluster and every centre is its rows' mean."""
+    pool = vectors(spark, sf_dir).select("id", "embedding", F.lit(0).alias("shard"))
+    partition = kmeans_partition(pool, ClusterOptions(12, 100), SEED)
+    sums = cluster_sums(pool, "shard", partition.centers)
+    centers = partition.centroids(spark).select("cluster", "center")
+    mean = F.transform("total", lambda x: x / F.col("n_rows"))
+    gaps = sums.join(F.broadcast(centers), "cluster").select(  # twelve centres
+        "n_rows", scoring.squared_distance(mean, F.col("center")).alias("gap")
+    )
+    return gaps.agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.count("*").alias("clusters"),
+        (F.max("gap") < 1e-6).alias("centred"),
     )
 
 
@@ -779,14 +788,23 @@ def semantic_filter_trained(spark, sf_dir):
     rows = candidates(spark, sf_dir).select("id", "text", "embedding")
     config = RunConfig(label_budget=100, seed=SEED)
     kept = semantic_filter(rows, GoldLabeler(gold(spark, sf_dir)), config)
-    return kept.groupBy("zone").agg(F.count("*").alias("n_rows"))
+    labeled = label_lookup(kept.select("id", "zone"), gold(spark, sf_dir))
+    unsure = (F.col("zone") != scoring.ACCEPT) & (F.col("label") != 1)
+    return labeled.agg(
+        (F.count("*") - F.count_distinct("id")).alias("repeated"),
+        F.count(F.when(unsure, 1)).alias("unsure_negatives"),
+    )
 
 
 @query
 def lc2_local_propagation(spark, sf_dir):
-    """Training rows and labels after propagation inside shards."""
-    result = _run(spark, sf_dir, "lc2", 24, clusters=6)
-    return result.ledger.select("id", "shard", "label")
+    """Training rows after three labels per shard are spread over that shard's clusters."""
+    pool = vectors(spark, sf_dir)
+    shards = (0, 1, 2, 3)
+    chosen = ClusterSampler(ClusterOptions(6, 2)).select_initial(pool, 12, SEED, "shard", shards)
+    direct = fetch_by_ids(pool, chosen.ids, 12)
+    built = propagation.ClusterPropagation().build(direct, pool, chosen.partition)
+    return built.select("id", "shard", "label")
 
 
 @query
@@ -814,12 +832,29 @@ def federated_average(spark, sf_dir):
     )
 
 
-def _strategy_query(name: str) -> Query:
+def _sharded_strategy(name: str) -> Query:
+    """Labels per round and shard; the first round's rows follow from the clusters alone."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        result = _run(spark, sf_dir, name, 24, 2, clusters=6)
+        finite = is_finite((*result.model.weights, result.model.intercept))
+        first = F.col("round") == 0
+        return result.ledger.groupBy("round", "shard").agg(
+            F.count_distinct("id").alias("labels"),
+            F.min(F.when(first, F.col("id"))).alias("first_min"),
+            F.max(F.when(first, F.col("id"))).alias("first_max"),
+            F.sum(F.when(first, F.col("label"))).alias("first_positives"),
+            F.lit(finite).alias("finite"),
+        )
+
+    return run
+
+
+def _global_strategy(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        result = _run(spark, sf_dir, name, 32, 3, clusters=8 if STRATEGIES[name].sharded else 32)
+        result = _run(spark, sf_dir, name, 32, 3, clusters=32)
         finite = is_finite((*result.model.weights, result.model.intercept))
         return result.ledger.agg(
-            F.lit(name).alias("strategy"),
             (F.count("*") <= 32).alias("within_budget"),
             (F.count("*") - F.count_distinct("id")).alias("repeated"),
             F.lit(finite).alias("finite"),
@@ -828,10 +863,10 @@ def _strategy_query(name: str) -> Query:
     return run
 
 
-for _name in ("lc3", "lc4", "gc2"):
-    QUERIES[f"strategy_{_name}"] = _strategy_query(_name)
-for _name in ("lc1rec", "lc2rec", "lc3rec", "lc4rec", "gc2rec"):
-    QUERIES[f"strategy_{_name}"] = _strategy_query(_name)
+for _name in ("lc3", "lc4", "lc1rec", "lc2rec", "lc3rec", "lc4rec"):
+    QUERIES[_name] = _sharded_strategy(_name)
+for _name in ("gc2", "gc2rec"):
+    QUERIES[_name] = _global_strategy(_name)
 
 
 @query
@@ -922,5 +957,14 @@ def seed_wins(spark, sf_dir):
     return metrics.seed_average(_seed_results(spark, sf_dir), ["cell"], ["setting"], "aurac")[1]
 
 
-# Function names carry a trailing underscore where they would hide an imported name.
-QUERIES = {name.rstrip("_"): function for name, function in QUERIES.items()}
+# The names of the extension points; other functions carry a trailing underscore where they would
+# hide an imported name.
+EXTENSION_POINTS = {
+    "sampler": "Sampler",
+    "labeler": "Labeler",
+    "function_labeler": "FunctionLabeler",
+    "training_data_builder": "TrainingDataBuilder",
+}
+QUERIES = {
+    EXTENSION_POINTS.get(name, name.rstrip("_")): function for name, function in QUERIES.items()
+}

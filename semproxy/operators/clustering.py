@@ -50,9 +50,15 @@ def _nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.nd
     best = rough.min(1)
     close = rough <= (best + 1e-9 * (1 + np.abs(best)))[:, None]
     chosen = close.argmax(1)
-    for row in np.flatnonzero(close.sum(1) > 1):
-        rivals = np.flatnonzero(close[row])
-        chosen[row] = rivals[((points[row] - centers[rivals]) ** 2).sum(1).argmin()]
+    tied = np.flatnonzero(close.sum(1) > 1)
+    if len(tied):
+        # Many copies of one row may tie at once: measure them together, centre by centre.
+        rivals = np.flatnonzero(close[tied].any(0))
+        exact = np.full((len(tied), len(rivals)), np.inf)
+        for column, rival in enumerate(rivals):
+            mine = np.flatnonzero(close[tied, rival])
+            exact[mine, column] = ((points[tied[mine]] - centers[rival]) ** 2).sum(1)
+        chosen[tied] = rivals[exact.argmin(1)]
     return chosen, ((points - centers[chosen]) ** 2).sum(1)
 
 
