@@ -194,6 +194,7 @@ def sharded_kmeans(
     """
     rows = for_iteration(pool.select("id", shard_col, "embedding")).persist()
     try:
+        require_valid_candidates(rows, unique_ids=False)
         return _lloyd(rows, shard_col, shards, options, seed)
     finally:
         rows.unpersist()

@@ -34,12 +34,14 @@ def running_totals(
     keys = [F.col(name).asc() for name in groups]
     # Range partitioning reads its input twice; what lies above it is computed only once.
     rows = df.withColumns({f"run_{v}": F.col(v).cast("long") for v in values}).persist()
-    ranged = cut_lineage(
-        rows.repartitionByRange(count, *keys, *order)
-        .sortWithinPartitions(*keys, *order)
-        .withColumn("_part", F.spark_partition_id())
-    )
-    rows.unpersist()
+    try:
+        ranged = cut_lineage(
+            rows.repartitionByRange(count, *keys, *order)
+            .sortWithinPartitions(*keys, *order)
+            .withColumn("_part", F.spark_partition_id())
+        )
+    finally:
+        rows.unpersist()
     sums = ranged.groupBy("_part", *groups).agg(
         *[F.sum(f"run_{v}").alias(f"_sum_{v}") for v in values]
     )

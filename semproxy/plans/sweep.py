@@ -96,8 +96,13 @@ PRESETS = {
 }
 
 
-def score_models(examples: DataFrame, models: dict[str, ProxyModel]) -> DataFrame:
-    """``(run_id, id, label, score)`` for every model, from one scan of the embeddings."""
+def score_models(
+    rows: DataFrame, models: dict[str, ProxyModel], gold: DataFrame | None = None
+) -> DataFrame:
+    """``(run_id, id, label, score)`` for every model, from one scan of the embeddings.
+
+    Labels come with the rows or from ``gold``, which then meets the scores, not the embeddings.
+    """
     pairs = F.array(
         *[
             F.struct(
@@ -107,7 +112,13 @@ def score_models(examples: DataFrame, models: dict[str, ProxyModel]) -> DataFram
             for run_id, model in models.items()
         ]
     )
-    return examples.select("id", "label", F.inline(pairs)).select("run_id", "id", "label", "score")
+    if gold is None:
+        scored = rows.select("id", "label", pairs.alias("_scores"))
+    else:
+        scored = label_lookup(rows.select("id", pairs.alias("_scores")), gold)
+    return scored.select("id", "label", F.inline("_scores")).select(
+        "run_id", "id", "label", "score"
+    )
 
 
 def evaluate_proxy(
@@ -187,9 +198,8 @@ def run_sweep(
         models[run.run_id] = result.model
         report = result.round_report
         reports = report if reports is None else reports.unionByName(report)
-    examples = label_lookup(candidates.select("id", "embedding"), gold)
     started = time.perf_counter()
-    scores = score_models(examples, models)
+    scores = score_models(candidates, models, gold)
     evaluated = cut_lineage(evaluate_proxy(scores, ["run_id"], len(models)))  # a row per run
     scoring_ms = (time.perf_counter() - started) * 1000
     width = len(next(iter(models.values())).weights)

@@ -2,6 +2,7 @@
 
 import glob
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -28,6 +29,24 @@ def database():
     return connection
 
 
+@pytest.fixture(scope="module")
+def results(spark, request):
+    """Schema and rows of every selected query; small jobs leave room to run some at once."""
+
+    def run(name):
+        frame = QUERIES[name](spark, SF_DIR)
+        return frame.dtypes, frame.collect()
+
+    names = [
+        item.callspec.params["name"]
+        for item in request.session.items
+        if item.function is test_query
+    ]
+    pool = ThreadPoolExecutor(6)
+    yield {name: pool.submit(run, name) for name in names}
+    pool.shutdown(cancel_futures=True)
+
+
 def normal(value):
     return "0.0" if value == 0 and isinstance(value, float) else repr(value)
 
@@ -37,16 +56,15 @@ def test_oracles_belong_to_queries():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, database, name):
-    result = QUERIES[name](spark, SF_DIR)
-    rows = result.collect()
+def test_query(results, database, name):
+    types, rows = results[name].result()
     assert rows
     if name not in ORACLES:
         return
     answer = database.execute(ORACLES[name])
     columns = [c[0] for c in answer.description]
     kinds = {c[0]: str(c[1]) for c in answer.description}
-    assert {n: TYPES[t] for n, t in result.dtypes} == kinds
+    assert {n: TYPES[t] for n, t in types} == kinds
     expected = sorted([normal(v) for _, v in sorted(zip(columns, r), key=lambda p: p[0])] for r in answer.fetchall())
     assert sorted([normal(r[c]) for c in sorted(columns)] for r in rows) == expected
 
