@@ -312,8 +312,8 @@ ORACLES: dict[str, str] = {
       <= 10 // 4 + CASE WHEN shard < 10 % 4 THEN 1 ELSE 0 END""",
     "Labeler": f"""WITH {VECTORS} SELECT id, CASE WHEN length(text) % 2 = 0 THEN 1 ELSE 0 END label
       FROM v JOIN documents ON doc_id = vec_id""",
-    "FunctionLabeler": """SELECT CASE WHEN contains(right(text, 10), 'a') THEN 1 ELSE 0 END label,
-      count(*) n_rows FROM documents GROUP BY 1""",
+    "FunctionLabeler": """SELECT CAST((length(text) - length(replace(text, 'e', ''))) % 2 AS INTEGER)
+      label, count(*) n_rows FROM documents GROUP BY 1""",
     "TrainingDataBuilder": """SELECT 0 last_round, CAST(0 AS BIGINT) repeated,
       count(*) > 0 within_budget FROM embeddings""",
     "semantic_filter": f"""WITH {VECTOR_SCORES} SELECT id,

@@ -758,7 +758,7 @@ def labeler(spark, sf_dir):
 @query
 def function_labeler(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
-    labeled = FunctionLabeler(lambda row: int("a" in row.text[-10:])).label(rows)
+    labeled = FunctionLabeler(lambda row: row.text.count("e") % 2).label(rows)
     return labeled.groupBy("label").agg(F.count("*").alias("n_rows"))
 
 

@@ -31,12 +31,14 @@ def running_totals(
     """
     groups = list(groups)
     count = partitions or shuffle_partitions(df.sparkSession)
+    # Without a given number, adaptive execution may merge neighbouring small partitions.
+    number = [] if partitions is None else [partitions]
     keys = [F.col(name).asc() for name in groups]
     # Range partitioning reads its input twice; what lies above it is computed only once.
     rows = df.withColumns({f"run_{v}": F.col(v).cast("long") for v in values}).persist()
     try:
         ranged = cut_lineage(
-            rows.repartitionByRange(count, *keys, *order)
+            rows.repartitionByRange(*number, *keys, *order)
             .sortWithinPartitions(*keys, *order)
             .withColumn("_part", F.spark_partition_id())
         )
