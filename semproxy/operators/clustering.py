@@ -76,7 +76,8 @@ def nearest_centroid(
         known = np.zeros(rows, bool)
         points = _matrix(embeddings, width)
         owner = shards.to_numpy(zero_copy_only=False)
-        for value, (names, matrix) in centers.items():
+        for value in set(owner.tolist()) & centers.keys():
+            names, matrix = centers[value]
             mine = np.flatnonzero(owner == value)
             for start in range(0, len(mine), CHUNK_ROWS):
                 part = mine[start : start + CHUNK_ROWS]
@@ -210,12 +211,16 @@ def cluster_sums(
     width = next(iter(centers.values()))[1].shape[1]
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {s: np.zeros(matrix.shape) for s, (_, matrix) in centers.items()}
-        counts = {s: np.zeros(len(names), np.int64) for s, (names, _) in centers.items()}
+        totals: dict[int, np.ndarray] = {}
+        counts: dict[int, np.ndarray] = {}
         for batch in batches:
             owner = batch.column(0).to_numpy(zero_copy_only=False)
             points = _matrix(batch.column(1), width)
-            for shard, (_, matrix) in centers.items():
+            for shard in set(owner.tolist()) & centers.keys():
+                matrix = centers[shard][1]
+                if shard not in totals:
+                    totals[shard] = np.zeros(matrix.shape)
+                    counts[shard] = np.zeros(len(matrix), np.int64)
                 mine = np.flatnonzero(owner == shard)
                 for start in range(0, len(mine), CHUNK_ROWS):
                     part = points[mine[start : start + CHUNK_ROWS]].astype(np.float64)
@@ -224,18 +229,17 @@ def cluster_sums(
                     member[chosen, np.arange(len(part))] = 1.0
                     totals[shard] += member @ part
                     counts[shard] += np.bincount(chosen, minlength=len(matrix))
-        for shard, (names, _) in centers.items():
-            seen = np.flatnonzero(counts[shard])
-            if len(seen):
-                columns = [
-                    pa.array(np.full(len(seen), shard), pa.int32()),
-                    pa.array(np.asarray(names)[seen], pa.int32()),
-                    pa.array(counts[shard][seen], pa.int64()),
-                    pa.array(list(totals[shard][seen]), pa.list_(pa.float64())),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    columns, names=["shard", "cluster", "n_rows", "total"]
-                )
+        for shard, rows_per_center in counts.items():
+            seen = np.flatnonzero(rows_per_center)
+            columns = [
+                pa.array(np.full(len(seen), shard), pa.int32()),
+                pa.array(np.asarray(centers[shard][0])[seen], pa.int32()),
+                pa.array(rows_per_center[seen], pa.int64()),
+                pa.array(list(totals[shard][seen]), pa.list_(pa.float64())),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                columns, names=["shard", "cluster", "n_rows", "total"]
+            )
 
     per_task = rows.select(F.col(shard_col).cast("int"), "embedding").mapInArrow(
         add_up, "shard int, cluster int, n_rows long, total array<double>"

@@ -31,24 +31,27 @@ def proxy_accuracy(scores: DataFrame, groups: Groups = ()) -> DataFrame:
     return scores.groupBy(*groups).agg(F.avg(correct).alias("proxy_accuracy"))
 
 
-def _ranked(scores: DataFrame, groups: Groups, max_groups: int | None) -> DataFrame:
-    """Rows from most to least confident with the number kept and correct so far."""
+def ranked_by_confidence(
+    scores: DataFrame, groups: Groups, max_groups: int | None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Rows from most to least confident, ties by id, with the number kept and correct so far."""
     rows = scores.select(
         *groups,
         "id",
+        *[name for name in keep if name != "id"],
         confidence(F.col("score")).alias("confidence"),
         is_correct(F.col("score"), F.col("label")).alias("correct"),
         F.lit(1).alias("row"),
     )
     order = [F.col("confidence").desc(), F.col("id").asc()]
-    return running_totals(rows, order, ["row", "correct"], groups, max_groups)
+    return running_totals(rows, order, ["row", "correct"], groups, max_groups, list(keep))
 
 
 def risk_coverage_curve(
     scores: DataFrame, groups: Groups = (), max_groups: int | None = None
 ) -> DataFrame:
     """Accuracy of every kept prefix in order of confidence, ties by id."""
-    return _ranked(scores, groups, max_groups).select(
+    return ranked_by_confidence(scores, groups, max_groups, ("id",)).select(
         *groups,
         "id",
         F.col("run_row").alias("kept"),
@@ -59,8 +62,9 @@ def risk_coverage_curve(
 
 def aurac(scores: DataFrame, groups: Groups = (), max_groups: int | None = None) -> DataFrame:
     """Mean accuracy over all prefixes of the risk-coverage curve."""
-    curve = risk_coverage_curve(scores, groups, max_groups)
-    return curve.groupBy(*groups).agg(F.avg("accuracy").alias("aurac"))
+    ranked = ranked_by_confidence(scores, groups, max_groups)
+    accuracy = F.col("run_correct") / F.col("run_row")
+    return ranked.groupBy(*groups).agg(F.avg(accuracy).alias("aurac"))
 
 
 def harmonic(n: Column) -> Column:
@@ -90,16 +94,7 @@ def oracle_aurac(rows: Column, correct: Column) -> Column:
 
 def naurac(scores: DataFrame, groups: Groups = (), max_groups: int | None = None) -> DataFrame:
     """AURAC rescaled so that the positive base rate is 0 and the ideal curve is 1."""
-    rows = scores.select(
-        *groups,
-        "id",
-        "label",
-        confidence(F.col("score")).alias("confidence"),
-        is_correct(F.col("score"), F.col("label")).alias("correct"),
-        F.lit(1).alias("row"),
-    )
-    order = [F.col("confidence").desc(), F.col("id").asc()]
-    ranked = running_totals(rows, order, ["row", "correct"], groups, max_groups)
+    ranked = ranked_by_confidence(scores, groups, max_groups, ("label",))
     totals = ranked.groupBy(*groups).agg(
         F.count("*").alias("n"),
         count_if(F.col("label") == 1).alias("k"),
@@ -116,15 +111,12 @@ def naurac(scores: DataFrame, groups: Groups = (), max_groups: int | None = None
     )
 
 
-def _per_score(
-    scores: DataFrame, groups: Groups, max_groups: int | None, order: str = "asc"
-) -> DataFrame:
+def _per_score(scores: DataFrame, groups: Groups, max_groups: int | None) -> DataFrame:
     """One row per distinct score with running counts; equal scores meet before the shuffle."""
     distinct = scores.groupBy(*groups, "score").agg(
         count_if(F.col("label") == 1).alias("pos"), F.count("*").alias("row")
     )
-    by_score = F.col("score").asc() if order == "asc" else F.col("score").desc()
-    return running_totals(distinct, [by_score], ["pos", "row"], groups, max_groups)
+    return running_totals(distinct, [F.col("score").asc()], ["pos", "row"], groups, max_groups)
 
 
 def auc(scores: DataFrame, groups: Groups = (), max_groups: int | None = None) -> DataFrame:
@@ -195,7 +187,7 @@ def accuracy_at_budget(
     for index, (b, kept) in enumerate(zip(chosen, kept_correct)):
         aggregates.append(F.max(b).alias(f"_b{index}"))
         aggregates.append(kept.alias(f"_k{index}"))
-    wide = _ranked(scores, groups, max_groups).groupBy(*groups).agg(
+    wide = ranked_by_confidence(scores, groups, max_groups).groupBy(*groups).agg(
         F.max("total_row").alias("_n"), *aggregates
     )
     lines = [

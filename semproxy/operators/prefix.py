@@ -19,6 +19,7 @@ def running_totals(
     values: list[str],
     groups: list[str] | tuple[str, ...] = (),
     max_groups: int | None = None,
+    keep: list[str] | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Add ``run_<v>`` (running total up to the row) and ``total_<v>`` for integer ``values``.
@@ -27,9 +28,11 @@ def running_totals(
     written once: because the order is total, many rows with one leading value still spread over
     several partitions. Each partition is summed in order as it streams past, and the totals of
     the partitions before it, at most one row per partition and group start, are added on.
-    ``groups`` hold no NULL; a known ``max_groups`` lets those totals be broadcast.
+    ``groups`` hold no NULL; a known ``max_groups`` lets those totals be broadcast. ``keep`` names
+    the other columns still needed once the order is fixed, all by default.
     """
     groups = list(groups)
+    kept = list(df.columns) if keep is None else list(dict.fromkeys([*groups, *values, *keep]))
     count = partitions or shuffle_partitions(df.sparkSession)
     # Without a given number, adaptive execution may merge neighbouring small partitions.
     number = [] if partitions is None else [partitions]
@@ -40,7 +43,7 @@ def running_totals(
         ranged = cut_lineage(
             rows.repartitionByRange(*number, *keys, *order)
             .sortWithinPartitions(*keys, *order)
-            .withColumn("_part", F.spark_partition_id())
+            .select(*kept, *[f"run_{v}" for v in values], F.spark_partition_id().alias("_part"))
         )
     finally:
         rows.unpersist()
@@ -84,7 +87,7 @@ def running_totals(
     summed = ranged.mapInArrow(accumulate, schema)
     result = summed.join(offsets, ["_part", *groups])
     return result.select(
-        *df.columns,
+        *kept,
         *[(F.col(f"run_{v}") + F.col(f"_offset_{v}")).alias(f"run_{v}") for v in values],
         *[f"total_{v}" for v in values],
     )

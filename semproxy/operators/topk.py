@@ -35,7 +35,7 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows in a total ``order``."""
     if k * shuffle_partitions(df.sparkSession) <= FINAL_ROWS:
         return _spread_cap(df, [], order, k).orderBy(*order).limit(k)
-    ranked = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"])
+    ranked = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"], keep=df.columns)
     return ranked.where(F.col("run__one") <= k).select(*df.columns)
 
 
@@ -66,5 +66,5 @@ def top_k_per_group(
             .drop("_rank")
         )
     ones = pool.withColumn("_one", F.lit(1))
-    ranked = running_totals(ones, order, ["_one"], [group], max_groups=len(wanted))
+    ranked = running_totals(ones, order, ["_one"], [group], len(wanted), keep=df.columns)
     return ranked.where(F.col("run__one") <= quota_col).select(*df.columns)

@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semproxy.config import ClusterOptions, RunConfig
-from semproxy.functions.scoring import ProxyModel, confidence, predict_probability
+from semproxy.functions.scoring import ProxyModel, predict_probability
 from semproxy.operators.labeling import GoldLabeler, label_lookup
-from semproxy.operators.metrics import BANDS, Groups, is_correct
-from semproxy.operators.prefix import running_totals
+from semproxy.operators.metrics import BANDS, Groups, ranked_by_confidence
 from semproxy.operators.propagation import ClusterPropagation, DirectLabels
 from semproxy.operators.sampling import ClusterSampler, RandomSampler
 from semproxy.operators.training import LogisticTrainer
@@ -125,17 +124,7 @@ def evaluate_proxy(
     scores: DataFrame, groups: Groups = (), max_groups: int | None = None
 ) -> DataFrame:
     """Accuracy, AURAC and both cascade bands per group, from one ordered pass."""
-    rows = scores.select(
-        *groups,
-        "id",
-        "label",
-        "score",
-        confidence(F.col("score")).alias("confidence"),
-        is_correct(F.col("score"), F.col("label")).alias("correct"),
-        F.lit(1).alias("row"),
-    )
-    order = [F.col("confidence").desc(), F.col("id").asc()]
-    ranked = running_totals(rows, order, ["row", "correct"], groups, max_groups)
+    ranked = ranked_by_confidence(scores, groups, max_groups, ("label", "score"))
     aggregates = [
         F.count("*").alias("n_rows"),
         F.avg("correct").alias("proxy_accuracy"),

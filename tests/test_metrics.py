@@ -51,6 +51,20 @@ def test_aurac_and_curve(scores):
         assert row["aurac"] == pytest.approx(sum(curve(mine)) / len(mine), abs=1e-12)
 
 
+def test_shuffle_partitions_do_not_matter(spark, scores):
+    found = set()
+    for number in ("8", "3", "31"):
+        spark.conf.set("spark.sql.shuffle.partitions", number)
+        found.add(
+            (
+                round(metrics.aurac(scores.repartition(5)).first()[0], 12),
+                round(metrics.auc(scores).first()[0], 12),
+            )
+        )
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(found) == 1
+
+
 def test_auc(scores):
     def expected(rows):
         pos = [r[2] for r in rows if r[1] == 1]

@@ -113,6 +113,21 @@ def test_budget_beyond_the_rows(blobs):
     assert report.where("round = 1").first()["requested"] == 38
 
 
+def test_budget_below_the_shard_count(blobs):
+    """A shard without a quota adds nothing and loses nothing."""
+    config = RunConfig(
+        rounds=2,
+        label_budget=5,
+        initial_label_fraction=0.5,
+        shard_col="shard",
+        shards=(0, 1, 2),
+    )
+    gold = GoldLabeler(blobs.select("id", "label"))
+    result = run_proxy_training(blobs, config, RandomSampler(), gold, trainer=TRAINER)
+    rows = [(r["round"], r["shard"]) for r in result.ledger.collect()]
+    assert sorted(rows) == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2)]
+
+
 def test_early_errors(spark, blobs):
     gold = GoldLabeler(blobs.select("id", "label"))
     with pytest.raises(ValueError, match="clusters"):
