@@ -53,7 +53,6 @@ from semproxy.operators.sampling import (
     select_uncertain,
     subset_representatives,
 )
-from semproxy.operators.topk import top_k_per_group
 from semproxy.operators.training import LogisticTrainer, average_models, federated_train
 from semproxy.plans.presets import STRATEGIES
 from semproxy.plans.runner import run_proxy_training
@@ -757,7 +756,8 @@ def labeler(spark, sf_dir):
 
 @query
 def function_labeler(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    documents = table(spark, sf_dir, "documents")
+    rows = documents.select(F.col("doc_id").cast("string").alias("id"), "text")
     labeled = FunctionLabeler(lambda row: row.text.count("e") % 2).label(rows)
     return labeled.groupBy("label").agg(F.count("*").alias("n_rows"))
 

@@ -67,7 +67,7 @@ class LogisticTrainer:
 
 
 def average_models(models: DataFrame, weighted: bool = False) -> DataFrame:
-    """Average weights and intercept of ``(weights, intercept[, n_rows])`` rows, in position order."""
+    """Average weights and intercept of ``(weights, intercept[, n_rows])`` rows, by position."""
     share = F.col("n_rows") if weighted else F.lit(1)
     positions = models.select(
         share.cast("double").alias("_share"),

@@ -5,7 +5,10 @@ from __future__ import annotations
 import time
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from semproxy.operators.metrics import BANDS, Groups, ranked_by_confidence
 from semproxy.operators.propagation import ClusterPropagation, DirectLabels
 from semproxy.operators.sampling import ClusterSampler, RandomSampler
 from semproxy.operators.training import LogisticTrainer
-from semproxy.plans.runner import run_proxy_training
+from semproxy.plans.runner import TrainingResult, run_proxy_training
 from semproxy.session import cut_lineage
 
 # The report's columns in order. Timers of a single process's inner steps have no
@@ -159,13 +162,14 @@ def run_sweep(
     dataset: str = "",
     max_iterations: int = 10,
     trainer: LogisticTrainer = LogisticTrainer(),
+    parallelism: int = 4,
 ) -> DataFrame:
-    """Train every run of the grid, then score and evaluate all models in one job."""
+    """Train every run of the grid, ``parallelism`` at a time, then score and evaluate all models
+    in one job."""
     spark = candidates.sparkSession
     labeler = GoldLabeler(gold)
-    models: dict[str, ProxyModel] = {}
-    reports: DataFrame | None = None
-    for run in grid:
+
+    def train(run: SweepRun) -> TrainingResult:
         clustered = run.sampler == "cluster"
         sampler = (
             ClusterSampler(ClusterOptions(run.label_budget, max_iterations))
@@ -181,12 +185,14 @@ def run_sweep(
             uncertainty_center_2=run.uncertainty_center_2,
             seed=run.seed,
         )
-        result = run_proxy_training(
+        return run_proxy_training(
             candidates, config, sampler, labeler, builder, trainer, run.run_id
         )
-        models[run.run_id] = result.model
-        report = result.round_report
-        reports = report if reports is None else reports.unionByName(report)
+
+    with ThreadPool(max(1, min(parallelism, len(grid)))) as pool:
+        results = pool.map(inheritable_thread_target(spark)(train), grid)
+    models = {run.run_id: result.model for run, result in zip(grid, results)}
+    reports = reduce(DataFrame.unionByName, [result.round_report for result in results])
     started = time.perf_counter()
     scores = score_models(candidates, models, gold)
     evaluated = cut_lineage(evaluate_proxy(scores, ["run_id"], len(models)))  # a row per run

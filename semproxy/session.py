@@ -44,9 +44,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def for_iteration(df: DataFrame) -> DataFrame:
-    """At most eight partitions per core for data that is passed over many times: a scan of a
-    very large table has so many splits that starting their tasks would outweigh each pass."""
-    return df.coalesce(8 * df.sparkSession.sparkContext.defaultParallelism)
+    """A bounded number of partitions for data that is passed over many times: a scan of a very
+    large table has so many splits that starting their tasks would outweigh each pass.
+
+    Eight per core, and never less than four times the shuffle partitions, because the cores
+    known to the driver may still grow."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.coalesce(max(8 * cores, 4 * shuffle_partitions(spark)))
 
 
 def gather(df: DataFrame, rows: int) -> DataFrame:
