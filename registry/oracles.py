@@ -121,8 +121,6 @@ def evaluated(source: str, group: str) -> str:
 
 
 RUN_LEDGER = """n AS (SELECT *, row_number() OVER (ORDER BY key, id) rn FROM v)"""
-GLOBAL_STRATEGY = """SELECT count(*) > 0 within_budget, CAST(0 AS BIGINT) repeated,
-  count(*) > 0 finite FROM embeddings"""
 LEARNED = "SELECT count(*) > 0 learned FROM embeddings"
 
 ORACLES: dict[str, str] = {
@@ -401,21 +399,22 @@ ORACLES: dict[str, str] = {
 }
 
 
-def sharded_strategy(first: int, later: int) -> str:
+def strategy(shard: str, clusters: int, first: int, later: int) -> str:
     """``first`` representatives per shard in round 0, then ``later`` uncertain rows."""
-    return f"""WITH {SHARDED}, p AS (SELECT * FROM a {REPS}),
+    return f"""WITH {VECTORS}, {_lloyd(shard, clusters, 2)}, p AS (SELECT * FROM a {REPS}),
       l AS (SELECT * FROM p
-        QUALIFY row_number() OVER (PARTITION BY shard ORDER BY key, id) <= {first})
-      SELECT 0 round, shard, count(*) labels, min(id) first_min, max(id) first_max,
-        CAST(sum(label) AS BIGINT) first_positives, true finite FROM l GROUP BY shard
+        QUALIFY row_number() OVER (PARTITION BY part ORDER BY key, id) <= {first})
+      SELECT 0 round, part shard, count(*) labels, min(id) first_min, max(id) first_max,
+        CAST(sum(label) AS BIGINT) first_positives, true finite FROM l GROUP BY part
       UNION ALL
-      SELECT 1, shard, CAST({later} AS BIGINT), NULL, NULL, NULL, true FROM v
-        WHERE {later} > 0 GROUP BY shard"""
+      SELECT 1, part, CAST({later} AS BIGINT), NULL, NULL, NULL, true FROM w
+        WHERE {later} > 0 GROUP BY part"""
 
 
 for _name in ("lc3", "lc4"):
-    ORACLES[_name] = sharded_strategy(6, 0)
+    ORACLES[_name] = strategy("shard", 6, 6, 0)
 for _name in ("lc1rec", "lc2rec", "lc3rec", "lc4rec"):
-    ORACLES[_name] = sharded_strategy(3, 3)
-for _name in ("gc2", "gc2rec"):
-    ORACLES[_name] = GLOBAL_STRATEGY
+    ORACLES[_name] = strategy("shard", 6, 3, 3)
+for _name in ("gc1", "gc2"):
+    ORACLES[_name] = strategy("0", 24, 24, 0)
+ORACLES["gc2rec"] = strategy("0", 24, 12, 12)

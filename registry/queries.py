@@ -832,14 +832,16 @@ def federated_average(spark, sf_dir):
     )
 
 
-def _sharded_strategy(name: str) -> Query:
+def _strategy(name: str) -> Query:
     """Labels per round and shard; the first round's rows follow from the clusters alone."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        result = _run(spark, sf_dir, name, 24, 2, clusters=6)
+        sharded = STRATEGIES[name].sharded
+        result = _run(spark, sf_dir, name, 24, 2, clusters=6 if sharded else 24)
+        ledger = result.ledger if sharded else result.ledger.withColumn("shard", F.lit(0))
         finite = is_finite((*result.model.weights, result.model.intercept))
         first = F.col("round") == 0
-        return result.ledger.groupBy("round", "shard").agg(
+        return ledger.groupBy("round", "shard").agg(
             F.count_distinct("id").alias("labels"),
             F.min(F.when(first, F.col("id"))).alias("first_min"),
             F.max(F.when(first, F.col("id"))).alias("first_max"),
@@ -850,23 +852,8 @@ def _sharded_strategy(name: str) -> Query:
     return run
 
 
-def _global_strategy(name: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        result = _run(spark, sf_dir, name, 32, 3, clusters=32)
-        finite = is_finite((*result.model.weights, result.model.intercept))
-        return result.ledger.agg(
-            (F.count("*") <= 32).alias("within_budget"),
-            (F.count("*") - F.count_distinct("id")).alias("repeated"),
-            F.lit(finite).alias("finite"),
-        )
-
-    return run
-
-
-for _name in ("lc3", "lc4", "lc1rec", "lc2rec", "lc3rec", "lc4rec"):
-    QUERIES[_name] = _sharded_strategy(_name)
-for _name in ("gc2", "gc2rec"):
-    QUERIES[_name] = _global_strategy(_name)
+for _name in ("lc3", "lc4", "lc1rec", "lc2rec", "lc3rec", "lc4rec", "gc1", "gc2", "gc2rec"):
+    QUERIES[_name] = _strategy(_name)
 
 
 @query

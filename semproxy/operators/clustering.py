@@ -9,7 +9,6 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -161,28 +160,13 @@ def _batches(centers: dict) -> list[dict]:
     return batches
 
 
-def _features(df: DataFrame) -> DataFrame:
-    return df.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-
-
 def kmeans_partition(
     pool: DataFrame, options: ClusterOptions, seed: int
 ) -> CentroidPartition | None:
-    """Seeded k-means over the whole pool, with k clamped to its rows; None for an empty pool.
-
-    Duplicate vectors may leave fewer than k centres.
-    """
-    rows = require_valid_candidates(pool, unique_ids=False)["n_rows"]
-    if rows == 0:
-        return None
-    k = min(options.cluster_count, rows)
-    features = _features(for_iteration(pool))
-    if k == 1:
-        centers = [features.select(Summarizer.mean(F.col("features"))).first()[0].toArray()]
-    else:
-        model = KMeans(k=k, maxIter=options.max_iterations, seed=seed, solver="row").fit(features)
-        centers = model.clusterCenters()
-    return CentroidPartition({0: (list(range(len(centers))), np.asarray(centers))})
+    """Seeded k-means over the whole pool, with k clamped to its rows; None for an empty pool."""
+    whole = pool.select("id", F.lit(0).alias("_whole"), "embedding")
+    partition = sharded_kmeans(whole, "_whole", (0,), options, seed)
+    return None if partition is None else CentroidPartition(partition.centers)
 
 
 def sharded_kmeans(
@@ -191,7 +175,8 @@ def sharded_kmeans(
     """k-means inside every shard at once: Lloyd passes keyed by shard and cluster.
 
     Only per-task sums are shuffled, so a shard of any size spreads over all tasks. Start centres
-    are the rows with the smallest seeded keys of each shard.
+    are the rows with the smallest seeded keys of each shard, whatever the partitions are. A centre
+    that loses its rows, as copies of one row make it, stays where it is.
     """
     rows = for_iteration(pool.select("id", shard_col, "embedding")).persist()
     try:

@@ -59,13 +59,16 @@ def test_kmeans_clamps(spark, blobs):
     )
     duplicates = kmeans_partition(same, ClusterOptions(5, 2), 1)
     assert 1 <= duplicates.clusters <= 5
+    used = duplicates.assign(same).select("cluster").distinct().count()
+    assert used == 2
     assert duplicates.assign(same).count() == 9
 
 
-def test_kmeans_finds_the_blobs(blobs):
-    partition = kmeans_partition(blobs, ClusterOptions(4, 10), 42)
-    inertia = partition.assign(blobs).agg(F.avg("distance")).first()[0]
-    assert inertia < 0.3
+def test_kmeans_over_the_whole_table(blobs):
+    for table in (blobs, blobs.repartition(7)):
+        partition = kmeans_partition(table, ClusterOptions(9, 10), 42)
+        assert partition.keys == ("cluster",)
+        assert np.allclose(partition.centers[0][1], lloyd(blobs.collect(), 9, 10, 42))
 
 
 def lloyd(rows, k, steps, seed):
