@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semproxy.llm import mixing, quality, sharding
+from semproxy.llm import licenses, mixing, quality, secrets, sharding
 from semproxy.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,13 @@ def op3_mix_sources(spark, sf_dir):
 @query
 def op9_quality_rules(spark, sf_dir):
     return quality.quality_report(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query
+def op4_secret_scan(spark, sf_dir):
+    return secrets.secret_report(documents(spark, sf_dir))
+
+
+@query
+def op5_license_scan(spark, sf_dir):
+    return licenses.license_report(documents(spark, sf_dir))
