@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semproxy.llm import licenses, mixing, quality, secrets, sharding
+from semproxy.llm import (
+    licenses,
+    line_chunks,
+    mixing,
+    quality,
+    secrets,
+    sharding,
+    token_counts,
+)
 from semproxy.llm.common import documents
 
+# A public vocabulary of byte pairs, read on the driver.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -44,3 +55,13 @@ def op4_secret_scan(spark, sf_dir):
 @query
 def op5_license_scan(spark, sf_dir):
     return licenses.license_report(documents(spark, sf_dir))
+
+
+@query
+def op2_line_chunks(spark, sf_dir):
+    return line_chunks.line_report(documents(spark, sf_dir))
+
+
+@query
+def op10_edited_token_counts(spark, sf_dir):
+    return token_counts.count_report(documents(spark, sf_dir), VOCABULARY)
