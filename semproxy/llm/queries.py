@@ -10,6 +10,7 @@ from semproxy.llm import (
     licenses,
     line_chunks,
     mixing,
+    ngram_join,
     quality,
     secrets,
     sharding,
@@ -65,3 +66,8 @@ def op2_line_chunks(spark, sf_dir):
 @query
 def op10_edited_token_counts(spark, sf_dir):
     return token_counts.count_report(documents(spark, sf_dir), VOCABULARY)
+
+
+@query
+def op7_ngram_join(spark, sf_dir):
+    return ngram_join.join_report(documents(spark, sf_dir))
