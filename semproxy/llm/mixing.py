@@ -19,8 +19,8 @@ from semproxy.llm.common import PLAIN_WORD, fresh, measured, written
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 42
-# The seeded order of a source is cut into so many equal intervals of keys.
-PLACES = 1 << 16
+# The seeded order of a source is cut into so many equal intervals of keys, those into as many.
+PLACE_BITS = 8
 KEY_BITS = 60
 EXACT = "decimal(38,0)"
 
@@ -117,15 +117,19 @@ def plan_mix(
         .withColumn("rest", F.expr("goal - whole * source_size"))
     )
     filled = written(filled, "mix-targets")
-    places = sized.groupBy("source", "place").agg(F.sum("size").alias("words"))
-    running = Window.partitionBy("source").orderBy("place")
-    places = places.withColumn("up_to", F.sum("words").over(running)).select(
-        F.col("source").alias("of"), "place", "words", "up_to"
-    )
-    crossing = (
-        filled.join(places, filled["source"].eqNullSafe(F.col("of")), "left")
-        .where((F.col("up_to") - F.col("words") < F.col("rest")) & (F.col("up_to") >= F.col("rest")))
-        .select("of", F.col("place").alias("last_place"), (F.col("rest") - F.col("up_to") + F.col("words")).alias("left_words"))
+    # First the coarse interval in which the rest ends, then the fine one inside it: no window
+    # sees more than some hundred rows of a source.
+    fine = written(sized.groupBy("source", "place").agg(F.sum("size").alias("words")), "mix-places")
+    coarse = fine.groupBy("source", F.shiftright("place", PLACE_BITS).alias("place"))
+    rest = filled.select(F.col("source").alias("of"), F.col("rest").alias("goal"))
+    first = crossing_place(coarse.agg(F.sum("words").alias("words")), rest)
+    inside = fine.join(
+        first.select(F.col("of").alias("in_source"), F.col("place").alias("in_place")),
+        F.col("source").eqNullSafe(F.col("in_source"))
+        & (F.shiftright("place", PLACE_BITS) == F.col("in_place")),
+    ).select("source", "place", "words")
+    crossing = crossing_place(inside, first.select("of", F.col("left").alias("goal"))).select(
+        "of", F.col("place").alias("last_place"), F.col("left").alias("left_words")
     )
     planned = filled.join(crossing, filled["source"].eqNullSafe(F.col("of")), "left").select(
         "source",
@@ -138,8 +142,21 @@ def plan_mix(
     return written(planned, "mix-plan")
 
 
+def crossing_place(places: DataFrame, goals: DataFrame) -> DataFrame:
+    """``(of, place, left)`` from ``places(source, place, words)`` and ``goals(of, goal)``: the place
+    whose words carry the running total of the source to its goal, and the words still missing
+    before it. A goal of no words has no place."""
+    running = Window.partitionBy("source").orderBy("place")
+    summed = places.withColumn("up_to", F.sum("words").over(running))
+    joined = summed.join(measured(goals, 100), F.col("source").eqNullSafe(F.col("of")))
+    before = F.col("up_to") - F.col("words")
+    return joined.where((before < F.col("goal")) & (F.col("up_to") >= F.col("goal"))).select(
+        "of", "place", (F.col("goal") - before).alias("left")
+    )
+
+
 def place_of(key: Column) -> Column:
-    return F.shiftright(key, KEY_BITS - (PLACES.bit_length() - 1))
+    return F.shiftright(key, KEY_BITS - 2 * PLACE_BITS)
 
 
 def apply_mix(rows: DataFrame, plan: DataFrame, names: dict[str, str]) -> DataFrame:

@@ -41,4 +41,36 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM running
 """
 
-ORACLES = {"op3_mix_sources": MIX}
+
+# Windows as joined words; every window of a document is looked up among them.
+PHRASES = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+cut AS (
+  SELECT item_id, least(10, len(words)) AS width, words, unnest(range(len(words) - least(10, len(words)) + 1)) AS s
+  FROM item WHERE len(words) > 0),
+windows AS (
+  SELECT DISTINCT item_id, width, array_to_string(words[s + 1 : s + width], ' ') AS phrase FROM cut),
+widths AS (SELECT DISTINCT width FROM windows),
+starts AS (
+  SELECT doc_id, words, width, unnest(range(len(words) - width + 1)) AS s FROM doc, widths WHERE len(words) >= width),
+found AS (
+  SELECT d.doc_id, w.item_id, d.s, d.width
+  FROM starts d JOIN windows w
+    ON w.width = d.width AND w.phrase = array_to_string(d.words[d.s + 1 : d.s + d.width], ' ')),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+  SELECT doc_id, unnest(range(s, s + width)) AS p FROM found) GROUP BY doc_id),
+ids AS (
+  SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS list
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
+       coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(i.list, '')) AS items_sha256,
+       coalesce(h.n, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN hits h USING (doc_id) LEFT JOIN ids i USING (doc_id)
+"""
+
+ORACLES = {"op3_mix_sources": MIX, "op8_benchmark_phrases": PHRASES}

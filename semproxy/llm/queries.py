@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from semproxy.llm import (
+    decontaminate,
     licenses,
     line_chunks,
     mixing,
@@ -14,6 +15,7 @@ from semproxy.llm import (
     quality,
     secrets,
     sharding,
+    suffix_dedup,
     token_counts,
 )
 from semproxy.llm.common import documents
@@ -71,3 +73,14 @@ def op10_edited_token_counts(spark, sf_dir):
 @query
 def op7_ngram_join(spark, sf_dir):
     return ngram_join.join_report(documents(spark, sf_dir))
+
+
+@query
+def op8_benchmark_phrases(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contamination_report(documents(spark, sf_dir), benchmark)
+
+
+@query
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeat_report(documents(spark, sf_dir))
