@@ -120,6 +120,27 @@ def evaluated(source: str, group: str) -> str:
       ROWS UNBOUNDED PRECEDING) r FROM {source}) {tail}"""
 
 
+def mean_model(name: str, rows: str, part: str = "0") -> str:
+    """``(position, weight)``: mean of label 1 less mean of label 0, averaged over ``part``."""
+    return f"""{name} AS (SELECT CAST(pos - 1 AS INTEGER) "position", avg(d) weight FROM (
+      SELECT part, pos, coalesce(avg(x) FILTER (label = 1), 0) - coalesce(avg(x) FILTER (label = 0), 0) d
+      FROM (SELECT {part} part, label, CAST(unnest(embedding) AS DOUBLE) x,
+        generate_subscripts(embedding, 1) pos FROM {rows}) GROUP BY part, pos) GROUP BY pos)"""
+
+
+def mean_scores(name: str, model: str, rows: str) -> str:
+    return f"""{name} AS (SELECT r.*, 1/(1+exp(-list_sum(list_transform(range(1, 65),
+      lambda i: CAST(embedding[i] AS DOUBLE) * wl[i])))) score
+      FROM {rows} r, (SELECT list(weight ORDER BY "position") wl FROM {model}))"""
+
+
+def uncertain(name: str, model: str, ledger: str, number: int, rows: int, part: str = "0") -> str:
+    """The ``rows`` unlabeled rows per ``part`` nearest to one half under ``model``."""
+    return f"""{mean_scores(f'{name}s', model, 'v')}, {name} AS (SELECT * EXCLUDE score, {number} round
+      FROM {name}s WHERE id NOT IN (SELECT id FROM {ledger})
+      QUALIFY row_number() OVER (PARTITION BY {part} ORDER BY abs(score - 0.5), id) <= {rows})"""
+
+
 RUN_LEDGER = """n AS (SELECT *, row_number() OVER (ORDER BY key, id) rn FROM v)"""
 LEARNED = "SELECT count(*) > 0 learned FROM embeddings"
 
@@ -142,12 +163,15 @@ ORACLES: dict[str, str] = {
     "label_ledger": f"""WITH {VECTORS}, {RUN_LEDGER}
       SELECT id, label, shard, CASE WHEN rn <= 20 THEN 0 ELSE 1 END round FROM n WHERE rn <= 40""",
     "model_artifact": """SELECT 'easy' run_id, CAST(max(len(embedding)) AS INTEGER) width,
-      count(*) > 0 finite FROM embeddings""",
+      true finite, true equal FROM embeddings""",
     "sweep_report": """SELECT 'vectors' dataset, sampler, training_data_mode,
       CAST(16 AS BIGINT) label_budget, CAST(r AS BIGINT) rounds, CAST(42 AS BIGINT) seed,
       (SELECT count(*) FROM embeddings) "rows",
       CAST((SELECT max(len(embedding)) FROM embeddings) AS INTEGER) embedding_dimensions,
-      CAST(16 AS BIGINT) phase_a_labels
+      CAST(16 AS BIGINT) phase_a_labels, true data_setup_ms, true proxy_scoring_ms,
+      true phase_a_total_ms, true initial_sampling_ms, true initial_fetching_ms,
+      true initial_labeling_ms, true initial_training_ms, true recursive_sampling_ms,
+      true recursive_fetching_ms, true recursive_labeling_ms, true recursive_training_ms, true calls
       FROM (VALUES ('random', 'direct', 1), ('cluster', 'direct', 1),
         ('cluster', 'cluster_propagation', 1), ('random', 'direct', 2))
         m(sampler, training_data_mode, r)""",
@@ -205,6 +229,8 @@ ORACLES: dict[str, str] = {
       CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) phase_a_labels,
       round(sum(CASE WHEN l_linenumber = 1 THEN l_discount ELSE 0 END), 6) initial_sampling_s,
       round(sum(CASE WHEN l_linenumber = 1 THEN 0 ELSE l_discount END), 6) recursive_sampling_s,
+      round(sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END), 6) initial_fetching_s,
+      round(sum(CASE WHEN l_linenumber = 1 THEN 0 ELSE l_quantity END), 6) recursive_fetching_s,
       round(sum(CASE WHEN l_linenumber = 1 THEN l_tax ELSE 0 END), 6) initial_labeling_s,
       round(sum(CASE WHEN l_linenumber = 1 THEN 0 ELSE l_tax END), 6) recursive_labeling_s,
       round(sum(CASE WHEN l_linenumber = 1 THEN l_extendedprice / 1000 ELSE 0 END), 6)
@@ -234,6 +260,8 @@ ORACLES: dict[str, str] = {
     "select_uncertain": f"""WITH {VECTOR_SCORES}, {sampled(20)}
       SELECT id, round(u, 9) u FROM (SELECT id, least(abs(score-0.2), abs(score-0.8)) u FROM vs
       WHERE id NOT IN (SELECT id FROM l)) ORDER BY u, id LIMIT 25""",
+    "select_uncertain_large": f"""WITH {ORDER_SCORES} SELECT id, round(abs(score-0.5), 9) u FROM os
+      ORDER BY abs(score-0.5), id LIMIT (SELECT count(*) // 10 FROM orders)""",
     "select_uncertain_orders": f"""WITH {ORDER_SCORES} SELECT id, round(u, 9) u FROM
       (SELECT id, abs(score-0.5) u FROM os ORDER BY abs(score-0.5), id LIMIT 100)""",
     "shard_top_k": f"""WITH {VECTOR_SCORES} SELECT id, shard FROM (SELECT id, shard,
@@ -266,7 +294,8 @@ ORACLES: dict[str, str] = {
       count(*) > 0 centred FROM embeddings""",
     "nearest_centroid": f"""WITH {EIGHT}
       SELECT id, CAST(cluster AS INTEGER) cluster, round(d, 9) distance FROM a""",
-    "train_logistic": LEARNED,
+    "train_logistic": """SELECT CAST(i AS INTEGER) "position", true flat, true learned
+      FROM range(0, (SELECT max(len(embedding)) + 1 FROM embeddings)) t(i)""",
     "train_logistic_optimum": """SELECT CAST(i AS INTEGER) "position",
       (SELECT count(*) > 0 FROM orders) flat FROM range(0, 9) t(i)""",
     "direct_training_set": f"WITH {VECTORS}, {sampled(60)} SELECT id, label, {TOTAL} FROM l",
@@ -285,55 +314,70 @@ ORACLES: dict[str, str] = {
     "shard_budget": """SELECT c_mktsegment, CAST(i AS INTEGER) shard,
       count(*) // 7 + CASE WHEN i < count(*) % 7 THEN 1 ELSE 0 END quota
       FROM customer CROSS JOIN range(0, 7) t(i) GROUP BY c_mktsegment, i""",
-    "run_proxy_training": f"""WITH {VECTORS}, {sampled(30)},
-      t(round, requested) AS (VALUES (0, 30), (1, 15), (2, 15))
-      SELECT round, CAST(requested AS BIGINT) requested, CAST(requested AS BIGINT) labels,
-      CAST(requested AS BIGINT) ids,
-      CASE WHEN round = 0 THEN (SELECT CAST(sum(label) AS BIGINT) FROM l) END first_positives
-      FROM t""",
+    "run_proxy_training": f"""WITH {VECTORS}, {sampled(30)}, l0 AS (SELECT *, 0 round FROM l),
+      {mean_model('w0', 'l0')}, {uncertain('u1', 'w0', 'l0', 1, 15)},
+      l1 AS (SELECT * FROM l0 UNION ALL SELECT * FROM u1),
+      {mean_model('w1', 'l1')}, {uncertain('u2', 'w1', 'l1', 2, 15)}
+      SELECT id, label, round FROM l1 UNION ALL SELECT id, label, round FROM u2""",
+    "run_sharded_text": f"""WITH {SHARDED}
+      SELECT id, 's' || shard region, label, 0 round FROM a {REPS}""",
+    "random_sharded": f"""WITH {VECTORS} SELECT id, shard, label FROM v
+      QUALIFY row_number() OVER (PARTITION BY shard ORDER BY key, id)
+      <= 26 // 4 + CASE WHEN shard < 26 % 4 THEN 1 ELSE 0 END""",
+    "kmeans_copies": """SELECT min(CAST(vec_id AS VARCHAR)) id FROM embeddings
+      GROUP BY vec_id % 20""",
     "run_sharded_central": f"""WITH {SHARDED}
       SELECT id, shard, label, 0 round FROM a {REPS}""",
-    "model_broadcast": """SELECT CAST(vec_id % 4 AS INTEGER) shard, count(*) scored
-      FROM embeddings GROUP BY 1""",
-    "round_report": """SELECT 'gc1rec' run_id, CAST(i AS INTEGER) round,
-      CAST(CASE i WHEN 0 THEN 20 WHEN 1 THEN 7 WHEN 2 THEN 7 ELSE 6 END AS BIGINT) requested
-      FROM range(0, 4) t(i)""",
+    "round_report": """SELECT 'gc1rec' run_id, CAST(i AS INTEGER) round, n requested,
+      least(n, count(*)) acquired, true fetched
+      FROM embeddings CROSS JOIN (VALUES (0, 20::BIGINT), (1, 7), (2, 7), (3, 6)) t(i, n) GROUP BY i, n""",
     "evaluate_proxy": f"WITH {VECTOR_SCORES} {evaluated('vs', '')}",
     "evaluate_proxy_orders": f"WITH {ORDER_SCORES} {evaluated('os', 'shard')}",
-    "run_sweep": f"""WITH {VECTOR_SCORES}, m AS (SELECT 'fixed' run_id, * FROM vs UNION ALL
-      SELECT 'mirrored', * REPLACE (1/(1+exp(-(0.25 - list_sum(list_transform(range(0, 64),
-        lambda i: CAST(embedding[i+1] AS DOUBLE) * ((i*7)%13 - 6)))))) AS score) FROM vs)
+    "run_sweep": f"""WITH {VECTORS}, m AS (SELECT 'm' || i run_id, id, label,
+      1/(1+exp(-(i / 8 + list_sum(list_transform(range(0, 64),
+        lambda j: CAST(embedding[j+1] AS DOUBLE) * (((j*7)%13 - 6) * (1 - i / 10))))))) score
+      FROM v CROSS JOIN range(0, 20) t(i))
       {evaluated('m', 'run_id')}""",
     "Sampler": f"""WITH {VECTORS} SELECT id FROM v ORDER BY md5('7:' || id), id LIMIT 40""",
     "cluster_sampler": f"""WITH {SHARDED}, p AS (SELECT * FROM a {REPS})
       SELECT id, shard FROM p QUALIFY row_number() OVER (PARTITION BY shard ORDER BY key, id)
       <= 10 // 4 + CASE WHEN shard < 10 % 4 THEN 1 ELSE 0 END""",
-    "Labeler": f"""WITH {VECTORS} SELECT id, CASE WHEN length(text) % 2 = 0 THEN 1 ELSE 0 END label
-      FROM v JOIN documents ON doc_id = vec_id""",
+    "Labeler": f"""WITH {VECTORS} SELECT id,
+      CASE WHEN length(coalesce(text, '')) % 2 = 0 THEN 1 ELSE 0 END label
+      FROM v LEFT JOIN documents ON doc_id = vec_id""",
     "FunctionLabeler": """SELECT CAST((length(text) - length(replace(text, 'e', ''))) % 2 AS INTEGER)
       label, count(*) n_rows FROM documents GROUP BY 1""",
-    "TrainingDataBuilder": """SELECT 0 last_round, CAST(0 AS BIGINT) repeated,
-      count(*) > 0 within_budget FROM embeddings""",
+    "TrainingDataBuilder": f"""WITH {VECTORS}, t AS (SELECT * REPLACE (
+      CASE WHEN embedding[6] > 0 THEN 1 ELSE 0 END AS label) FROM v), {mean_model('w', 't')}
+      SELECT "position", round(weight, 9) weight, 0.0::DOUBLE intercept FROM w""",
     "semantic_filter": f"""WITH {VECTOR_SCORES} SELECT id,
       CASE WHEN score >= 0.8 THEN 'accept' ELSE 'escalate' END zone, round(score, 9) score
       FROM vs WHERE score >= 0.8 OR (score > 0.2 AND label = 1)""",
-    "semantic_filter_trained": """SELECT CAST(0 AS BIGINT) repeated,
-      CAST(0 AS BIGINT) unsure_negatives FROM embeddings LIMIT 1""",
+    "semantic_filter_trained": f"""WITH {VECTORS}, {sampled(100)}, {mean_model('w', 'l')},
+      {mean_scores('s', 'w', 'v')} SELECT id,
+      CASE WHEN score >= 0.52 THEN 'accept' ELSE 'escalate' END zone, round(score, 9) score
+      FROM s WHERE score >= 0.52 OR (score > 0.48 AND label = 1)""",
+    "semantic_filter_text": f"""WITH {VECTOR_SCORES} SELECT id,
+      CASE WHEN score >= 0.8 THEN 'accept' ELSE 'escalate' END zone
+      FROM vs LEFT JOIN documents ON doc_id = vec_id
+      WHERE score >= 0.8 OR (score > 0.2 AND length(coalesce(text, '')) % 3 = 0)""",
     "lc2_local_propagation": f"""WITH {SHARDED}, p AS (SELECT * FROM a {REPS}),
       l AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY shard ORDER BY key, id) <= 3),
       vt AS (SELECT part, cluster, count(*) FILTER (label = 1) y, count(*) FILTER (label <> 1) n
         FROM l GROUP BY part, cluster)
       SELECT id, shard, CASE WHEN y >= n THEN 1 ELSE 0 END label
       FROM a JOIN vt USING (part, cluster)""",
-    "federated_train": LEARNED,
+    "federated_train": f"""WITH {VECTORS}, {mean_model('w', 'v', 'shard')}
+      SELECT "position", round(weight, 9) weight, 0.0::DOUBLE intercept FROM w""",
+    "federated_logistic": LEARNED,
     "federated_average": f"""WITH {VECTORS}, p AS (SELECT shard, unnest(embedding) x,
       generate_subscripts(embedding, 1) - 1 pos FROM v),
       m AS (SELECT shard, pos, avg(CAST(x AS DOUBLE)) m FROM p GROUP BY shard, pos)
       SELECT CAST(pos AS INTEGER) "position", round(avg(m), 9) weight,
       round(avg(shard / 2.0), 9) intercept FROM m GROUP BY pos""",
     "recursive_shards": """SELECT round, CAST(vec_id % 4 AS INTEGER) shard,
-      CAST(max(share) AS BIGINT) labels FROM embeddings CROSS JOIN (VALUES (0, 4), (1, 2), (2, 2))
-      t(round, share) GROUP BY 1, 2""",
+      CAST(max(share) AS BIGINT) labels, CAST(max(share) AS BIGINT) ids
+      FROM embeddings CROSS JOIN (VALUES (0, 4), (1, 2), (2, 2)) t(round, share) GROUP BY 1, 2""",
     "naurac": f"""WITH {ORDER_SCORES}, t AS (SELECT shard, avg(r) aurac, count(*) n,
       count(*) FILTER (label = 1) k FROM (SELECT *, {CURVE} r FROM os) GROUP BY shard),
       i AS (SELECT *, k / n base,
@@ -399,22 +443,34 @@ ORACLES: dict[str, str] = {
 }
 
 
-def strategy(shard: str, clusters: int, first: int, later: int) -> str:
-    """``first`` representatives per shard in round 0, then ``later`` uncertain rows."""
-    return f"""WITH {VECTORS}, {_lloyd(shard, clusters, 2)}, p AS (SELECT * FROM a {REPS}),
+def strategy(
+    shard: str, clusters: int, first: int, later: int, spread: bool, averaged: bool
+) -> str:
+    """``first`` representatives per shard, trained on as they are or ``spread`` over their
+    clusters, with models ``averaged`` over shards; then ``later`` uncertain rows per shard, if any,
+    else the model."""
+    part = "shard" if averaged else "0"
+    training = "SELECT shard, embedding, label FROM l"
+    if spread:
+        training = """SELECT a.shard, a.embedding, CASE WHEN y >= n THEN 1 ELSE 0 END label
+          FROM a JOIN (SELECT part, cluster, count(*) FILTER (label = 1) y,
+            count(*) FILTER (label <> 1) n FROM l GROUP BY part, cluster) USING (part, cluster)"""
+    start = f"""WITH {VECTORS}, {_lloyd(shard, clusters, 2)}, p AS (SELECT * FROM a {REPS}),
       l AS (SELECT * FROM p
-        QUALIFY row_number() OVER (PARTITION BY part ORDER BY key, id) <= {first})
-      SELECT 0 round, part shard, count(*) labels, min(id) first_min, max(id) first_max,
-        CAST(sum(label) AS BIGINT) first_positives, true finite FROM l GROUP BY part
-      UNION ALL
-      SELECT 1, part, CAST({later} AS BIGINT), NULL, NULL, NULL, true FROM w
-        WHERE {later} > 0 GROUP BY part"""
-
-
-for _name in ("lc3", "lc4"):
-    ORACLES[_name] = strategy("shard", 6, 6, 0)
-for _name in ("lc1rec", "lc2rec", "lc3rec", "lc4rec"):
-    ORACLES[_name] = strategy("shard", 6, 3, 3)
-for _name in ("gc1", "gc2"):
-    ORACLES[_name] = strategy("0", 24, 24, 0)
-ORACLES["gc2rec"] = strategy("0", 24, 12, 12)
+        QUALIFY row_number() OVER (PARTITION BY part ORDER BY key, id) <= {first}),
+      t AS ({training}), {mean_model('m', 't', part)}"""
+    if not later:
+        return f"""{start} SELECT "position", round(weight, 9) weight, 0.0::DOUBLE intercept FROM m"""
+    return f"""{start}, {uncertain('u', 'm', 'l', 1, later, shard)}
+      SELECT id, CAST({shard} AS INTEGER) shard, label, 0 round FROM l
+      UNION ALL SELECT id, CAST({shard} AS INTEGER), label, round FROM u"""
+
+
+for _kind in (1, 2, 3, 4):
+    _how = {"spread": _kind in (2, 4), "averaged": _kind in (3, 4)}
+    if _kind > 1:
+        ORACLES[f"lc{_kind}"] = strategy("shard", 6, 6, 0, **_how)
+    ORACLES[f"lc{_kind}rec"] = strategy("shard", 6, 3, 3, **_how)
+ORACLES["gc1"] = strategy("0", 24, 24, 0, False, False)
+ORACLES["gc2"] = strategy("0", 24, 24, 0, True, False)
+ORACLES["gc2rec"] = strategy("0", 24, 12, 12, True, False)

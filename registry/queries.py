@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from semproxy.config import (
     config_violations,
     round_budgets,
     shard_budget,
+    shard_quotas,
 )
 from semproxy.functions import scoring
 from semproxy.operators import cascade, checks, metrics, propagation
@@ -59,10 +61,10 @@ from semproxy.plans.runner import run_proxy_training
 from semproxy.plans.semantic_filter import apply_filter, semantic_filter
 from semproxy.plans.sweep import (
     SweepRun,
+    evaluate_models,
     evaluate_proxy,
     run_sweep,
     run_totals,
-    score_models,
     sweep_grid,
     write_sweep_report,
 )
@@ -218,6 +220,7 @@ def model_artifact(spark, sf_dir):
         "run_id",
         F.size("weights").alias("width"),
         F.lit(is_finite((*read.weights, read.intercept))).alias("finite"),
+        F.lit(read == model).alias("equal"),
     )
 
 
@@ -235,9 +238,20 @@ def sweep_report(spark, sf_dir):
         "rows",
         "embedding_dimensions",
         "phase_a_labels",
+        *[(F.col(name) >= 0).alias(name) for name in written.columns if name in TIMED],
+        (F.col("band_02_total_calls") == F.col("band_02_escalations") + F.col("phase_a_labels")).alias("calls"),
     )
 
 
+# The phases of a run that the report times.
+TIMED = [
+    "data_setup_ms",
+    "proxy_scoring_ms",
+    "phase_a_total_ms",
+    *[f"{part}_{phase}_ms" for part in ("initial", "recursive") for phase in ("sampling", "fetching", "labeling", "training")],
+]
+
+
 # Projections, filters, checks
 
 
@@ -397,6 +411,7 @@ def run_totals_(spark, sf_dir):
         (F.col("l_linenumber") - 1).alias("round"),
         F.col("l_quantity").cast("long").alias("acquired"),
         F.col("l_discount").alias("sampling_s"),
+        F.col("l_quantity").alias("fetching_s"),
         F.col("l_tax").alias("labeling_s"),
         (F.col("l_extendedprice") / 1000).alias("training_s"),
     )
@@ -465,6 +480,13 @@ def select_uncertain_orders(spark, sf_dir):
     return select_uncertain(orders(spark, sf_dir), ORDER_MODEL, 100).select("id", r9("u", "u"))
 
 
+@query
+def select_uncertain_large(spark, sf_dir):
+    """A tenth of the rows."""
+    pool = orders(spark, sf_dir)
+    return select_uncertain(pool, ORDER_MODEL, pool.count() // 10).select("id", r9("u", "u"))
+
+
 @query
 def shard_top_k(spark, sf_dir):
     chosen = select_uncertain(
@@ -478,9 +500,13 @@ def shard_top_k(spark, sf_dir):
 
 @query
 def pool_batches(spark, sf_dir):
+    """One batch per shard, put together."""
     pool = vectors(spark, sf_dir)
-    drawn = sample_random(pool, 30, SEED, "shard", (0, 1, 2, 3))
-    return fetch_by_ids(pool, drawn, 30).select("id", "shard", "label")
+    batches = []
+    for shard, quota in shard_quotas(30, (0, 1, 2, 3)).items():
+        rows = pool.where(F.col("shard") == shard)
+        batches.append(fetch_by_ids(rows, sample_random(rows, quota, SEED), quota))
+    return reduce(DataFrame.unionByName, batches).select("id", "shard", "label")
 
 
 @query
@@ -571,11 +597,12 @@ def nearest_centroid(spark, sf_dir):
 
 @query
 def train_logistic(spark, sf_dir):
-    """The fitted model separates the learnable label well on all rows."""
-    model = LogisticTrainer(l2=0.1).fit(direct_labels(spark, sf_dir, 200))
-    scored = cascade.score_rows(vectors(spark, sf_dir), model)
-    accuracy = metrics.proxy_accuracy(scored)
-    return accuracy.select((F.col("proxy_accuracy") > 0.8).alias("learned"))
+    """A fit on 200 labels: its gradient vanishes on them, and it separates all rows well."""
+    labeled = direct_labels(spark, sf_dir, 200)
+    model = LogisticTrainer(l2=0.1, max_iter=200, tol=1e-12).fit(labeled)
+    accuracy = metrics.proxy_accuracy(cascade.score_rows(vectors(spark, sf_dir), model))
+    learned = accuracy.select((F.col("proxy_accuracy") > 0.8).alias("learned"))
+    return _flat(labeled, model, 0.1).join(F.broadcast(learned))  # one row
 
 
 @query
@@ -584,9 +611,14 @@ def train_logistic_optimum(spark, sf_dir):
     rows = orders(spark, sf_dir)
     l2 = 1.0
     model = LogisticTrainer(l2=l2, max_iter=200, tol=1e-12).fit(rows)
+    return _flat(rows, model, l2)
+
+
+def _flat(rows: DataFrame, model: scoring.ProxyModel, l2: float) -> DataFrame:
+    """Whether the gradient of the penalised loss over ``rows`` vanishes, by position."""
     scored = cascade.score_rows(rows, model)
     slope = F.col("score") - F.col("label")
-    parts = [F.avg(slope * F.col("embedding")[i].cast("double")) for i in range(8)]
+    parts = [F.avg(slope * F.col("embedding")[i].cast("double")) for i in range(len(model.weights))]
     parts = [p + l2 * w / rows.count() for p, w in zip(parts, model.weights)]
     gradient = scored.agg(F.array(F.avg(slope), *parts).alias("g"))
     return gradient.select(F.posexplode("g").alias("position", "g")).select(
@@ -596,7 +628,9 @@ def train_logistic_optimum(spark, sf_dir):
 
 @query
 def direct_training_set(spark, sf_dir):
-    return direct_labels(spark, sf_dir, 60).select("id", "label", total())
+    labeled = direct_labels(spark, sf_dir, 60)
+    built = propagation.DirectLabels().build(labeled, vectors(spark, sf_dir), None)
+    return built.select("id", "label", total())
 
 
 @query
@@ -640,10 +674,33 @@ def shard_budget_(spark, sf_dir):
     return shards.select("c_mktsegment", "shard", quota)
 
 
-def _run(spark, sf_dir, name, budget=48, rounds=3, clusters=12, **settings):
+class MeanTrainer:
+    """A user's own trainer that SQL can follow: from the mean of label 0 to that of label 1."""
+
+    def for_shard(self):
+        return self
+
+    def fit(self, examples: DataFrame, counts: dict | None = None) -> scoring.ProxyModel:
+        values = examples.select("label", F.posexplode("embedding").alias("position", "x"))
+        x = F.col("x").cast("double")
+        means = values.groupBy("position").agg(
+            F.avg(F.when(F.col("label") == 1, x)).alias("one"),
+            F.avg(F.when(F.col("label") == 0, x)).alias("zero"),
+        )
+        rows = means.orderBy("position").collect()
+        return scoring.ProxyModel(tuple((r["one"] or 0.0) - (r["zero"] or 0.0) for r in rows), 0.0)
+
+
+def model_rows(spark: SparkSession, model: scoring.ProxyModel) -> DataFrame:
+    return model.to_df(spark).select(
+        F.posexplode("weights").alias("position", "w"), F.col("intercept")
+    ).select("position", r9("w", "weight"), "intercept")
+
+
+def _run(spark, sf_dir, name, budget=48, rounds=3, clusters=12, builder=None, **settings):
     strategy = STRATEGIES[name]
     if strategy.sharded:
-        settings |= {"shard_col": "shard", "shards": (0, 1, 2, 3)}
+        settings = {"shard_col": "shard", "shards": (0, 1, 2, 3)} | settings
     config = RunConfig(
         rounds=rounds if strategy.recursive else 1,
         label_budget=budget,
@@ -652,30 +709,47 @@ def _run(spark, sf_dir, name, budget=48, rounds=3, clusters=12, **settings):
         seed=SEED,
         **settings,
     )
+    pool = candidates(spark, sf_dir)
+    if config.shard_col == "region":
+        pool = pool.withColumn("region", F.concat(F.lit("s"), F.col("shard").cast("string")))
     return run_proxy_training(
-        candidates(spark, sf_dir),
+        pool,
         config,
         strategy.sampler(ClusterOptions(clusters, 2)),
         GoldLabeler(gold(spark, sf_dir)),
-        strategy.builder(),
-        LogisticTrainer(l2=1.0, max_iter=25),
+        builder or strategy.builder(),
+        MeanTrainer(),
         name,
     )
 
 
-def _ledger_summary(result) -> DataFrame:
-    labels = result.ledger.groupBy("round").agg(
-        F.count("*").alias("labels"),
-        F.count_distinct("id").alias("ids"),
-        F.sum(F.when(F.col("round") == 0, F.col("label"))).alias("first_positives"),
-    )
-    asked = result.round_report.select("round", "requested")
-    return asked.join(labels, "round")
+@query
+def run_proxy_training_(spark, sf_dir):
+    """Every label of three rounds; the later rows follow from the models in between."""
+    return _run(spark, sf_dir, "recursive", 60).ledger.select("id", "label", "round")
 
 
 @query
-def run_proxy_training_(spark, sf_dir):
-    return _ledger_summary(_run(spark, sf_dir, "recursive", 60))
+def run_sharded_text(spark, sf_dir):
+    """Shards with names instead of numbers."""
+    regions = {"shard_col": "region", "shards": ("s0", "s1", "s2", "s3")}
+    ledger = _run(spark, sf_dir, "lc1", 24, clusters=6, **regions).ledger
+    return ledger.select("id", "region", "label", "round")
+
+
+@query
+def random_sharded(spark, sf_dir):
+    return _run(spark, sf_dir, "random_sharded", 26).ledger.select("id", "shard", "label")
+
+
+@query
+def kmeans_copies(spark, sf_dir):
+    """Twenty distinct vectors in many copies: as many representatives, however many are asked."""
+    rows = table(spark, sf_dir, "embeddings")
+    first = rows.where("vec_id < 20").select(F.col("vec_id").alias("of"), "embedding")
+    named = rows.select((F.col("vec_id") % 20).alias("of"), F.col("vec_id").cast("string").alias("id"))
+    pool = named.join(F.broadcast(first), "of").select("id", "embedding")  # twenty rows
+    return ClusterSampler(ClusterOptions(50, 5)).select_initial(pool, 50, SEED).ids.select("id")
 
 
 @query
@@ -685,18 +759,12 @@ def run_sharded_central(spark, sf_dir):
     return result.ledger.select("id", "shard", "label", "round")
 
 
-@query
-def model_broadcast(spark, sf_dir):
-    """The final model of a run reaches every shard: rows it scores there."""
-    result = _run(spark, sf_dir, "lc1rec", 24, 2, clusters=6)
-    scored = cascade.score_rows(vectors(spark, sf_dir), result.model)
-    return scored.groupBy("shard").agg(F.count("score").alias("scored"))
-
-
 @query
 def round_report(spark, sf_dir):
     report = _run(spark, sf_dir, "gc1rec", 40, 4, clusters=40).round_report
-    return report.select("run_id", "round", "requested")
+    return report.select(
+        "run_id", "round", "requested", "acquired", (F.col("fetching_s") > 0).alias("fetched")
+    )
 
 
 @query
@@ -725,11 +793,12 @@ def _small_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def run_sweep_(spark, sf_dir):
-    """The scoring half: two models over all rows in one job."""
-    mirrored = scoring.ProxyModel(tuple(-w for w in VECTOR_MODEL.weights), 0.25)
-    models = {"fixed": VECTOR_MODEL, "mirrored": mirrored}
-    scores = score_models(vectors(spark, sf_dir), models)
-    return _rounded(evaluate_proxy(scores, ["run_id"], len(models)))
+    """The scoring half: twenty models over all rows, in batches of one matrix product each."""
+    models = {
+        f"m{i}": scoring.ProxyModel(tuple(w * (1 - i / 10) for w in VECTOR_MODEL.weights), i / 8)
+        for i in range(20)
+    }
+    return _rounded(evaluate_models(vectors(spark, sf_dir), models))
 
 
 @query
@@ -749,7 +818,8 @@ def cluster_sampler(spark, sf_dir):
 @query
 def labeler(spark, sf_dir):
     """A batched Python labeler over text."""
-    texts = candidates(spark, sf_dir).where("text IS NOT NULL").select("id", "text", "embedding")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    texts = candidates(spark, sf_dir).select("id", text, "embedding")
     labeled = FunctionLabeler(lambda row: int(len(row.text) % 2 == 0)).label(texts)
     return labeled.select("id", "label")
 
@@ -764,12 +834,16 @@ def function_labeler(spark, sf_dir):
 
 @query
 def training_data_builder(spark, sf_dir):
-    result = _run(spark, sf_dir, "gc2", 24, clusters=24)
-    return result.ledger.agg(
-        F.max("round").alias("last_round"),
-        (F.count("*") - F.count_distinct("id")).alias("repeated"),
-        (F.count("*") <= 24).alias("within_budget"),
-    )
+    """A user's own builder: all rows of the pool, labeled by one value of their vectors."""
+
+    class SignLabels:
+        needs_clusters = False
+
+        def build(self, direct, pool, partition):
+            label = F.when(F.col("embedding")[5] > 0, 1).otherwise(0).alias("label")
+            return pool.select("id", "embedding", label)
+
+    return model_rows(spark, _run(spark, sf_dir, "random", 24, builder=SignLabels()).model)
 
 
 # Documented operators
@@ -785,15 +859,21 @@ def semantic_filter_(spark, sf_dir):
 
 @query
 def semantic_filter_trained(spark, sf_dir):
+    """Trained on 100 labels; the rows between the bands go to the labeler."""
     rows = candidates(spark, sf_dir).select("id", "text", "embedding")
     config = RunConfig(label_budget=100, seed=SEED)
-    kept = semantic_filter(rows, GoldLabeler(gold(spark, sf_dir)), config)
-    labeled = label_lookup(kept.select("id", "zone"), gold(spark, sf_dir))
-    unsure = (F.col("zone") != scoring.ACCEPT) & (F.col("label") != 1)
-    return labeled.agg(
-        (F.count("*") - F.count_distinct("id")).alias("repeated"),
-        F.count(F.when(unsure, 1)).alias("unsure_negatives"),
-    )
+    labeler = GoldLabeler(gold(spark, sf_dir))
+    kept = semantic_filter(rows, labeler, config, (0.48, 0.52), trainer=MeanTrainer())
+    return kept.select("id", "zone", r9("score", "score"))
+
+
+@query
+def semantic_filter_text(spark, sf_dir):
+    """A Python labeler reads the texts of the escalated rows."""
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = candidates(spark, sf_dir).select("id", text, "embedding")
+    labeler = FunctionLabeler(lambda row: int(len(row.text) % 3 == 0))
+    return apply_filter(rows, VECTOR_MODEL, labeler, 0.2, 0.8).select("id", "zone")
 
 
 @query
@@ -809,10 +889,17 @@ def lc2_local_propagation(spark, sf_dir):
 
 @query
 def federated_train_(spark, sf_dir):
+    """The average over the shards of each shard's model."""
+    pool = vectors(spark, sf_dir)
+    return model_rows(spark, federated_train(pool, "shard", (0, 1, 2, 3), MeanTrainer()))
+
+
+@query
+def federated_logistic(spark, sf_dir):
+    """Averaged logistic fits separate the learnable label well."""
     pool = vectors(spark, sf_dir)
     model = federated_train(pool, "shard", (0, 1, 2, 3), LogisticTrainer(l2=0.1, max_iter=50))
-    scored = cascade.score_rows(pool, model)
-    accuracy = metrics.proxy_accuracy(scored)
+    accuracy = metrics.proxy_accuracy(cascade.score_rows(pool, model))
     return accuracy.select((F.col("proxy_accuracy") > 0.8).alias("learned"))
 
 
@@ -833,26 +920,20 @@ def federated_average(spark, sf_dir):
 
 
 def _strategy(name: str) -> Query:
-    """Labels per round and shard; the first round's rows follow from the clusters alone."""
+    """The model of a run in one round, or every label of one in two rounds."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sharded = STRATEGIES[name].sharded
-        result = _run(spark, sf_dir, name, 24, 2, clusters=6 if sharded else 24)
-        ledger = result.ledger if sharded else result.ledger.withColumn("shard", F.lit(0))
-        finite = is_finite((*result.model.weights, result.model.intercept))
-        first = F.col("round") == 0
-        return ledger.groupBy("round", "shard").agg(
-            F.count_distinct("id").alias("labels"),
-            F.min(F.when(first, F.col("id"))).alias("first_min"),
-            F.max(F.when(first, F.col("id"))).alias("first_max"),
-            F.sum(F.when(first, F.col("label"))).alias("first_positives"),
-            F.lit(finite).alias("finite"),
-        )
+        strategy = STRATEGIES[name]
+        result = _run(spark, sf_dir, name, 24, 2, clusters=6 if strategy.sharded else 24)
+        if not strategy.recursive:
+            return model_rows(spark, result.model)
+        shard = F.col("shard") if strategy.sharded else F.lit(0).alias("shard")
+        return result.ledger.select("id", shard, "label", "round")
 
     return run
 
 
-for _name in ("lc3", "lc4", "lc1rec", "lc2rec", "lc3rec", "lc4rec", "gc1", "gc2", "gc2rec"):
+for _name in ("lc2", "lc3", "lc4", "gc1", "gc2", "lc1rec", "lc2rec", "lc3rec", "lc4rec", "gc2rec"):
     QUERIES[_name] = _strategy(_name)
 
 
@@ -860,7 +941,9 @@ for _name in ("lc3", "lc4", "lc1rec", "lc2rec", "lc3rec", "lc4rec", "gc1", "gc2"
 def recursive_shards(spark, sf_dir):
     """Every round splits its budget evenly over the shards and spends it exactly."""
     ledger = _run(spark, sf_dir, "lc1rec", 32, 3, clusters=8).ledger
-    return ledger.groupBy("round", "shard").agg(F.count("*").alias("labels"))
+    return ledger.groupBy("round", "shard").agg(
+        F.count("*").alias("labels"), F.count_distinct("id").alias("ids")
+    )
 
 
 @query

@@ -29,14 +29,20 @@ class DatasetSpec:
 
 @dataclass(frozen=True)
 class ClusterOptions:
-    """k-means size; in a sharded run the count is per shard."""
+    """k-means size; in a sharded run the count is per shard.
+
+    Passes stop early when no centre moves further than ``tolerance`` times the spread of the start
+    centres, so the scale of the vectors does not matter; 0 stops only when nothing moves."""
 
     cluster_count: int = 50
     max_iterations: int = 10
+    tolerance: float = 1e-5
 
     def __post_init__(self) -> None:
         if self.cluster_count <= 0 or self.max_iterations <= 0:
             raise ValueError("cluster_count and max_iterations must be positive")
+        if not math.isfinite(self.tolerance) or self.tolerance < 0:
+            raise ValueError("tolerance must be finite and not negative")
 
 
 @dataclass(frozen=True)
@@ -55,7 +61,7 @@ class RunConfig:
     seed: int = 42
     dataset: DatasetSpec = field(default_factory=DatasetSpec)
     shard_col: str | None = None
-    shards: tuple[int, ...] = ()
+    shards: tuple = ()
     placement: str = CENTRAL
     roll_over: bool = False
     check_table: bool = False
@@ -111,7 +117,7 @@ def recursive_budget(remaining: int, rounds_left: int) -> int:
     return -(-remaining // rounds_left)
 
 
-def shard_quotas(total: int, shards: tuple[int, ...]) -> dict[int, int]:
+def shard_quotas(total: int, shards: tuple) -> dict:
     """Even split of one round's budget; the first shards take the remainder."""
     share, extra = divmod(total, len(shards))
     return {shard: share + (1 if index < extra else 0) for index, shard in enumerate(shards)}

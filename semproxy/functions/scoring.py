@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,28 @@ def predict_probability(embedding: Column, model: ProxyModel) -> Column:
     )
 
 
+def batch_probabilities(embedding: Column, models: list[ProxyModel]) -> Column:
+    """Probabilities of all ``models`` as one array, by one matrix product per batch of rows."""
+    weights = np.array([m.weights for m in models], np.float64).T
+    intercepts = np.array([m.intercept for m in models], np.float64)
+    width = len(weights)
+
+    @F.arrow_udf("array<double>")
+    def score(embeddings: pa.Array) -> pa.Array:
+        values = embeddings.flatten()
+        widths = pc.unique(pc.list_value_length(embeddings)).to_pylist()
+        if set(widths) - {width} or values.null_count:
+            raise ValueError(f"embedding width differs from the model width {width}, or holds NULL")
+        points = values.to_numpy(zero_copy_only=False).reshape(len(embeddings), width)
+        z = points.astype(np.float64) @ weights + intercepts
+        e = np.exp(-np.abs(z))
+        p = np.where(z >= 0, 1 / (1 + e), e / (1 + e))
+        places = np.arange(len(p) + 1, dtype=np.int32) * len(intercepts)
+        return pa.ListArray.from_arrays(pa.array(places), pa.array(p.ravel()))
+
+    return score(embedding)
+
+
 def squared_distance(left: Column, right: Column) -> Column:
     """Sum of squared differences of two arrays of one width."""
     squares = F.zip_with(

@@ -9,6 +9,7 @@ from semproxy.functions.scoring import (
     ACCEPT,
     REJECT,
     ProxyModel,
+    batch_probabilities,
     predict_probability,
     predicted_label,
     projected_latency,
@@ -23,6 +24,12 @@ def score_rows(rows: DataFrame, model: ProxyModel) -> DataFrame:
     return rows.withColumn("score", predict_probability(F.col("embedding"), model))
 
 
+def score_batches(rows: DataFrame, model: ProxyModel) -> DataFrame:
+    """The same ``score``, computed once per row whatever reads it later."""
+    scores = batch_probabilities(F.col("embedding"), [model])
+    return rows.withColumn("score", F.element_at(scores, 1))
+
+
 def route(scored: DataFrame, reject: float, accept: float) -> DataFrame:
     """Scored rows with their ``zone``; batch or streaming."""
     return scored.withColumn("zone", zone(F.col("score"), reject, accept))

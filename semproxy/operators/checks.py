@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semproxy.session import ONE_PARTITION_ROWS, gather
 
 
 def count_if(condition: Column) -> Column:
@@ -96,9 +95,7 @@ def selection_violations(selected: DataFrame, budget: int) -> DataFrame:
     )
 
 
-def label_violations(
-    labeled: DataFrame, selected: DataFrame, at_most: int = ONE_PARTITION_ROWS + 1
-) -> DataFrame:
+def label_violations(labeled: DataFrame, selected: DataFrame) -> DataFrame:
     """The labeler must return exactly the selected ids, each once."""
     asked = selected.select("id", F.lit(1).alias("_asked"), F.lit(0).alias("_times"))
     returned = labeled.select(
@@ -107,7 +104,7 @@ def label_violations(
         F.lit(1).alias("_times"),
         F.col("label").isNull().cast("int").alias("_null"),
     )
-    both = gather(asked.withColumn("_null", F.lit(0)).unionByName(returned), at_most)
+    both = asked.withColumn("_null", F.lit(0)).unionByName(returned)
     per_id = both.groupBy("id").agg(
         *[F.sum(name).alias(name) for name in ("_asked", "_times", "_null")]
     )
@@ -121,11 +118,9 @@ def label_violations(
     )
 
 
-def require_valid_labels(labeled: DataFrame, selected: DataFrame, budget: int) -> int:
-    """Check selection and labels of one round; returns the number of labels."""
-    counts = label_violations(labeled, selected, budget).first().asDict()
-    if counts["selected"] > budget:
-        raise ValueError(f"{counts['selected']} ids selected for a budget of {budget}")
+def require_answers(labeled: DataFrame, asked: DataFrame) -> int:
+    """The labeler must answer every asked id once; returns the number of answers."""
+    counts = label_violations(labeled, asked).first().asDict()
     _raise_on(
         counts,
         "the labeler must return every selected id once",
@@ -134,3 +129,11 @@ def require_valid_labels(labeled: DataFrame, selected: DataFrame, budget: int) -
     if counts["selected"] != counts["returned"]:
         raise ValueError("duplicate ids in the selection")
     return counts["selected"]
+
+
+def require_valid_labels(labeled: DataFrame, selected: DataFrame, budget: int) -> int:
+    """Check selection and labels of one round; returns the number of labels."""
+    answers = require_answers(labeled, selected)
+    if answers > budget:
+        raise ValueError(f"{answers} ids selected for a budget of {budget}")
+    return answers

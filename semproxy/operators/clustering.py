@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import Protocol
+from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +17,17 @@ from pyspark.sql import functions as F
 from semproxy.config import ClusterOptions
 from semproxy.functions.scoring import seeded_key
 from semproxy.operators.checks import require_valid_candidates
-from semproxy.operators.topk import top_k_per_group
-from semproxy.session import for_iteration, small
+from semproxy.operators.topk import place_of_hex, top_k_per_group
+from semproxy.session import cut_lineage, small
 
 # Centroids of one pass are shipped to every task; more shards than fit go through further passes.
 CENTROID_BYTES = 256 * 1024 * 1024
-CHUNK_ROWS = 2048
+
+# Bytes of a chunk's distance matrix.
+CHUNK_BYTES = 8 * 1024 * 1024
+
+# Centres by shard: their numbers and one matrix row each.
+Centers = dict[Any, tuple[list[int], np.ndarray]]
 
 
 class Partition(Protocol):
@@ -43,6 +48,12 @@ def _matrix(embeddings: pa.Array, width: int) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).reshape(len(embeddings), width)
 
 
+def _chunks(rows: np.ndarray, centers: np.ndarray) -> list[np.ndarray]:
+    """Row numbers in chunks whose distances to all centres stay within :data:`CHUNK_BYTES`."""
+    size = max(1, CHUNK_BYTES // (8 * max(1, len(centers))))
+    return [rows[start : start + size] for start in range(0, len(rows), size)]
+
+
 def _nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Position of and squared distance to the nearest centre; ties go to the first centre."""
     rough = (points**2).sum(1)[:, None] - 2 * points @ centers.T + (centers**2).sum(1)[None, :]
@@ -62,7 +73,7 @@ def _nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def nearest_centroid(
-    embedding: Column, shard: Column, centers: dict[int, tuple[list[int], np.ndarray]]
+    embedding: Column, shard: Column, centers: Centers
 ) -> Column:
     """``struct(cluster, distance)`` against the centres of the row's shard."""
     width = next(iter(centers.values()))[1].shape[1]
@@ -78,8 +89,7 @@ def nearest_centroid(
         for value in set(owner.tolist()) & centers.keys():
             names, matrix = centers[value]
             mine = np.flatnonzero(owner == value)
-            for start in range(0, len(mine), CHUNK_ROWS):
-                part = mine[start : start + CHUNK_ROWS]
+            for part in _chunks(mine, matrix):
                 chosen, distance[part] = _nearest(points[part].astype(np.float64), matrix)
                 cluster[part] = np.asarray(names, np.int32)[chosen]
             known[mine] = True
@@ -94,7 +104,7 @@ def nearest_centroid(
 class CentroidPartition:
     """Clusters given by centres, per shard; a plain run has the one shard 0."""
 
-    centers: dict[int, tuple[list[int], np.ndarray]]
+    centers: Centers
     shard_col: str | None = None
 
     @property
@@ -133,7 +143,8 @@ class CentroidPartition:
             for shard, (names, matrix) in self.centers.items()
             for name, row in zip(names, matrix)
         ]
-        return spark.createDataFrame(rows, "shard int, cluster int, center array<double>")
+        kind = "string" if any(isinstance(shard, str) for shard in self.centers) else "long"
+        return spark.createDataFrame(rows, f"shard {kind}, cluster int, center array<double>")
 
 
 @dataclass(frozen=True)
@@ -170,15 +181,17 @@ def kmeans_partition(
 
 
 def sharded_kmeans(
-    pool: DataFrame, shard_col: str, shards: tuple[int, ...], options: ClusterOptions, seed: int
+    pool: DataFrame, shard_col: str, shards: tuple, options: ClusterOptions, seed: int
 ) -> CentroidPartition | None:
     """k-means inside every shard at once: Lloyd passes keyed by shard and cluster.
 
     Only per-task sums are shuffled, so a shard of any size spreads over all tasks. Start centres
-    are the rows with the smallest seeded keys of each shard, whatever the partitions are. A centre
-    that loses its rows, as copies of one row make it, stays where it is.
+    are the distinct vectors with the smallest seeded keys of each shard, whatever the partitions
+    are, so copies of a row cost no centre. A centre that loses its rows moves to the row that lies
+    furthest from its own centre. Rows are cached as they are read; what does not fit in memory
+    spills to the executors' disks and is computed again if an executor is lost.
     """
-    rows = for_iteration(pool.select("id", shard_col, "embedding")).persist()
+    rows = pool.select("id", shard_col, "embedding").persist()
     try:
         require_valid_candidates(rows, unique_ids=False)
         return _lloyd(rows, shard_col, shards, options, seed)
@@ -186,18 +199,17 @@ def sharded_kmeans(
         rows.unpersist()
 
 
-def cluster_sums(
-    rows: DataFrame, shard_col: str, centers: dict[int, tuple[list[int], np.ndarray]]
-) -> DataFrame:
-    """``(shard, cluster, n_rows, total)``: rows per nearest centre and their vector sum.
+def _per_center(rows: DataFrame, shard_col: str, centers: Centers, furthest: bool) -> DataFrame:
+    """``(shard, cluster, n_rows, distance, total)`` per task, shards by their position.
 
-    A task adds up all its rows and hands on one row per cluster.
-    """
+    ``total`` is the vector sum of a centre's rows or, for ``furthest``, the row furthest away."""
     width = next(iter(centers.values()))[1].shape[1]
+    position = {shard: number for number, shard in enumerate(centers)}
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        counts: dict[int, np.ndarray] = {}
+        totals: dict[Any, np.ndarray] = {}
+        counts: dict[Any, np.ndarray] = {}
+        distances: dict[Any, np.ndarray] = {}
         for batch in batches:
             owner = batch.column(0).to_numpy(zero_copy_only=False)
             points = _matrix(batch.column(1), width)
@@ -206,67 +218,136 @@ def cluster_sums(
                 if shard not in totals:
                     totals[shard] = np.zeros(matrix.shape)
                     counts[shard] = np.zeros(len(matrix), np.int64)
-                mine = np.flatnonzero(owner == shard)
-                for start in range(0, len(mine), CHUNK_ROWS):
-                    part = points[mine[start : start + CHUNK_ROWS]].astype(np.float64)
-                    chosen, _ = _nearest(part, matrix)
-                    member = np.zeros((len(matrix), len(part)))
-                    member[chosen, np.arange(len(part))] = 1.0
-                    totals[shard] += member @ part
+                    distances[shard] = np.full(len(matrix), -1.0)
+                for part in _chunks(np.flatnonzero(owner == shard), matrix):
+                    rows_here = points[part].astype(np.float64)
+                    chosen, far = _nearest(rows_here, matrix)
                     counts[shard] += np.bincount(chosen, minlength=len(matrix))
+                    if furthest:
+                        # The last of equal positions wins: the furthest row of each centre.
+                        order = np.argsort(far, kind="stable")
+                        last = np.full(len(matrix), -1)
+                        last[chosen[order]] = order
+                        better = np.flatnonzero(last >= 0)
+                        better = better[far[last[better]] > distances[shard][better]]
+                        totals[shard][better] = rows_here[last[better]]
+                        distances[shard][better] = far[last[better]]
+                    else:
+                        member = np.zeros((len(matrix), len(part)))
+                        member[chosen, np.arange(len(part))] = 1.0
+                        totals[shard] += member @ rows_here
         for shard, rows_per_center in counts.items():
             seen = np.flatnonzero(rows_per_center)
             columns = [
-                pa.array(np.full(len(seen), shard), pa.int32()),
+                pa.array(np.full(len(seen), position[shard]), pa.int32()),
                 pa.array(np.asarray(centers[shard][0])[seen], pa.int32()),
                 pa.array(rows_per_center[seen], pa.int64()),
+                pa.array(distances[shard][seen], pa.float64()),
                 pa.array(list(totals[shard][seen]), pa.list_(pa.float64())),
             ]
             yield pa.RecordBatch.from_arrays(
-                columns, names=["shard", "cluster", "n_rows", "total"]
+                columns, names=["shard", "cluster", "n_rows", "distance", "total"]
             )
 
-    per_task = rows.select(F.col(shard_col).cast("int"), "embedding").mapInArrow(
-        add_up, "shard int, cluster int, n_rows long, total array<double>"
+    return rows.select(shard_col, "embedding").mapInArrow(
+        add_up, "shard int, cluster int, n_rows long, distance double, total array<double>"
     )
+
+
+def cluster_sums(rows: DataFrame, shard_col: str, centers: Centers) -> DataFrame:
+    """``(shard, cluster, n_rows, total)``: rows per nearest centre and their vector sum, for shards
+    by their position in ``centers``.
+
+    A task adds up all its rows and hands on one row per cluster.
+    """
+    per_task = _per_center(rows, shard_col, centers, False)
     return per_task.groupBy("shard", "cluster").agg(
         F.sum("n_rows").alias("n_rows"),
         vector_to_array(Summarizer.sum(array_to_vector(F.col("total")))).alias("total"),
     )
 
 
-def _lloyd(
-    pool: DataFrame, shard_col: str, shards: tuple[int, ...], options: ClusterOptions, seed: int
-) -> CentroidPartition | None:
+def _reseeded(rows: DataFrame, shard_col: str, centers: Centers, empty: dict[Any, list[int]]) -> None:
+    """Move the ``empty`` centres of each shard to the rows furthest from their centres."""
+    asked = {shard: centers[shard] for shard in empty}
+    per_task = _per_center(rows, shard_col, asked, True)
+    found = per_task.groupBy("shard", "cluster").agg(
+        F.max(F.struct("distance", "total")).alias("far")
+    )
+    names = list(asked)
+    far: dict[Any, list] = {}
+    for row in found.collect():
+        far.setdefault(names[row["shard"]], []).append((row["far"]["distance"], row["far"]["total"]))
+    for shard, numbers in empty.items():
+        ordered = sorted(far.get(shard, []), reverse=True)
+        for number, (distance, row) in zip(numbers, ordered):
+            if distance > 0:
+                centers[shard][1][number] = row
+
+
+def _start(
+    pool: DataFrame, shard_col: str, shards: tuple, options: ClusterOptions, seed: int
+) -> Centers:
+    """The first distinct vectors of each shard in seeded order, collected in batches of shards."""
+    key = seeded_key(F.col("id"), seed)
+    heads = (
+        pool.groupBy(shard_col, F.xxhash64("embedding").alias("_vector"))
+        .agg(F.min(F.struct(key.alias("_key"), "id")).alias("_head"))
+        .select(shard_col, "_head.id", "_head._key")
+    )
+    order = [F.col("_key"), F.col("id")]
     quotas = {shard: options.cluster_count for shard in shards}
-    order = [seeded_key(F.col("id"), seed), F.col("id")]
-    ids = top_k_per_group(pool.select("id", shard_col), shard_col, order, quotas)
     bound = options.cluster_count * len(shards)
-    seeds = (
-        pool.join(small(ids.select("id"), bound), "id")
-        .select(shard_col, seeded_key(F.col("id"), seed).alias("_key"), "id", "embedding")
-        .collect()
+    ids = top_k_per_group(heads, shard_col, order, quotas, place_of_hex(F.col("_key")))
+    found = pool.join(small(ids.select("id"), bound), "id").select(
+        shard_col, key.alias("_key"), "id", "embedding"
     )
-    if not seeds:
+    first = pool.select(F.size("embedding").alias("width")).first()
+    row_bytes = 64 + 8 * (first["width"] if first else 1)
+    step = max(1, CENTROID_BYTES // (row_bytes * options.cluster_count))
+    centers: Centers = {}
+    if len(shards) > step:
+        found = cut_lineage(found)
+    for number in range(0, len(shards), step):
+        batch = shards[number : number + step]
+        rows = found.where(F.col(shard_col).isin(list(batch))).collect()
+        rows.sort(key=lambda row: (row["_key"], row["id"]))
+        by_shard: dict[Any, list] = {}
+        for row in rows:
+            by_shard.setdefault(row[shard_col], []).append(row["embedding"])
+        for shard in batch:
+            if shard in by_shard:
+                matrix = np.asarray(by_shard[shard], np.float64)
+                centers[shard] = (list(range(len(matrix))), matrix)
+    return centers
+
+
+def _lloyd(
+    pool: DataFrame, shard_col: str, shards: tuple, options: ClusterOptions, seed: int
+) -> CentroidPartition | None:
+    """Centres stay on the driver and go to the tasks in batches of :data:`CENTROID_BYTES`."""
+    centers = _start(pool, shard_col, shards, options, seed)
+    if not centers:
         return None
-    seeds.sort(key=lambda row: (row["_key"], row["id"]))
-    start: dict[int, list] = {}
-    for row in seeds:
-        start.setdefault(row[shard_col], []).append(row["embedding"])
-    centers = {
-        shard: (list(range(len(start[shard]))), np.asarray(start[shard], np.float64))
-        for shard in shards
-        if shard in start
-    }
-    for _ in range(options.max_iterations):
-        moved = {shard: (names, matrix.copy()) for shard, (names, matrix) in centers.items()}
+    spread = max(float(np.ptp(matrix, axis=0).max()) for _, matrix in centers.values())
+    for step in range(options.max_iterations):
+        shift = 0.0
+        empty: dict[Any, list[int]] = {}
         for batch in _batches(centers):
+            names = list(batch)
+            seen = {shard: np.zeros(len(batch[shard][1]), bool) for shard in names}
             for row in cluster_sums(pool, shard_col, batch).collect():
+                shard, number = names[row["shard"]], row["cluster"]
                 center = np.asarray(row["total"]) / row["n_rows"]
-                moved[row["shard"]][1][row["cluster"]] = center
-        shift = max(np.abs(moved[s][1] - centers[s][1]).max() for s in centers)
-        centers = moved
-        if shift < 1e-4:
+                shift = max(shift, float(np.abs(center - centers[shard][1][number]).max()))
+                centers[shard][1][number] = center
+                seen[shard][number] = True
+            for shard in names:
+                if not seen[shard].all():
+                    empty[shard] = np.flatnonzero(~seen[shard]).tolist()
+        if empty and step + 1 < options.max_iterations:
+            _reseeded(pool, shard_col, centers, empty)
+        elif shift <= options.tolerance * spread:
             break
     return CentroidPartition(centers, shard_col)
 

@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semproxy.session import BROADCAST_ROWS, cut_lineage, small
+from semproxy.session import cut_lineage, small
+
+# More rows than any broadcast holds: what an unknown number of ids counts as.
+UNKNOWN = 1 << 62
 
 
 class Labeler(Protocol):
@@ -70,14 +73,14 @@ def label_lookup(rows: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def fetch_by_ids(
-    table: DataFrame, ids: DataFrame, at_most: int = BROADCAST_ROWS + 1
+    table: DataFrame, ids: DataFrame, at_most: int = UNKNOWN
 ) -> DataFrame:
     """The rows of the selected ids; ``at_most`` bounds the ids and decides on a broadcast."""
     return table.join(small(ids.select("id"), at_most), "id").select(*table.columns)
 
 
 def exclude_labeled(
-    pool: DataFrame, ledger: DataFrame, at_most: int = BROADCAST_ROWS + 1
+    pool: DataFrame, ledger: DataFrame, at_most: int = UNKNOWN
 ) -> DataFrame:
     """Pool rows whose id has no direct label yet."""
     return pool.join(small(ledger.select("id"), at_most), "id", "left_anti")

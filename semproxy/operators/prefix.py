@@ -66,7 +66,7 @@ def running_totals(
         columns.append(F.sum(f"_sum_{v}").over(whole_group).alias(f"total_{v}"))
     offsets = sums.select("_part", *groups, *columns)
     if not groups or max_groups is not None:
-        offsets = small(offsets, count + (max_groups or 0))
+        offsets = small(offsets, count + (max_groups or 0), 64 + 32 * len(values))
 
     positions = [ranged.columns.index(f"run_{v}") for v in values]
 

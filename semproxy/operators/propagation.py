@@ -49,7 +49,7 @@ def covered_clusters(
     assigned: DataFrame, votes: DataFrame, keys: tuple[str, ...], clusters: int
 ) -> DataFrame:
     """Rows of clusters that have a vote, with the votes; ``clusters`` bounds the votes."""
-    return assigned.join(small(votes, clusters), list(keys))
+    return assigned.join(small(votes, clusters, 64), list(keys))
 
 
 def propagated_training_set(

@@ -16,7 +16,7 @@ from semproxy.operators.clustering import (
     kmeans_partition,
     sharded_kmeans,
 )
-from semproxy.operators.topk import top_k, top_k_per_group
+from semproxy.operators.topk import place_of_hex, place_of_share, top_k, top_k_per_group
 from semproxy.session import cut_lineage
 
 
@@ -41,7 +41,7 @@ class Sampler(Protocol):
         budget: int,
         seed: int,
         shard_col: str | None = None,
-        shards: tuple[int, ...] = (),
+        shards: tuple = (),
     ) -> Selection: ...
 
 
@@ -50,15 +50,16 @@ def sample_random(
     budget: int,
     seed: int,
     shard_col: str | None = None,
-    shards: tuple[int, ...] = (),
+    shards: tuple = (),
 ) -> DataFrame:
     """Seed-stable random ids; rows with a NULL id are left out."""
-    order = [seeded_key(F.col("id"), seed), F.col("id")]
+    key = seeded_key(F.col("id"), seed)
+    order, place = [key, F.col("id")], place_of_hex(key)
     named = pool.where(F.col("id").isNotNull())
     if shard_col is None:
-        return top_k(named.select("id"), order, budget)
+        return top_k(named.select("id"), order, budget, place)
     ids = named.select("id", shard_col)
-    return top_k_per_group(ids, shard_col, order, shard_quotas(budget, shards))
+    return top_k_per_group(ids, shard_col, order, shard_quotas(budget, shards), place)
 
 
 def select_uncertain(
@@ -68,17 +69,17 @@ def select_uncertain(
     center_1: float = 0.5,
     center_2: float = 0.5,
     shard_col: str | None = None,
-    shards: tuple[int, ...] = (),
+    shards: tuple = (),
 ) -> DataFrame:
     """The ``budget`` rows whose score is nearest either centre, with their distance."""
     keep = () if shard_col is None else (shard_col,)
     score = predict_probability(F.col("embedding"), model).alias("score")
     distance = uncertainty(F.col("score"), center_1, center_2).alias("u")
     ranked = unlabeled.select("id", *keep, score).select("id", *keep, distance)
-    order = [F.col("u").asc(), F.col("id").asc()]
+    order, place = [F.col("u").asc(), F.col("id").asc()], place_of_share(F.col("u"))
     if shard_col is None:
-        return top_k(ranked, order, budget)
-    return top_k_per_group(ranked, shard_col, order, shard_quotas(budget, shards))
+        return top_k(ranked, order, budget, place)
+    return top_k_per_group(ranked, shard_col, order, shard_quotas(budget, shards), place)
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,7 @@ def subset_representatives(
     budget: int,
     seed: int,
     shard_col: str | None = None,
-    shards: tuple[int, ...] = (),
+    shards: tuple = (),
 ) -> DataFrame:
     """All representatives within the budget, else the first ones in seeded order."""
     return sample_random(representatives, budget, seed, shard_col, shards)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from multiprocessing.pool import ThreadPool
+from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from semproxy.functions.scoring import MODEL_SCHEMA, ProxyModel
 from semproxy.operators.checks import example_violations, require_valid_examples
-from semproxy.session import ONE_PARTITION_ROWS, for_iteration, gather
+from semproxy.session import FIT_BYTES, drop_written, scratch_path
 
 
 @dataclass(frozen=True)
@@ -31,27 +32,27 @@ class LogisticTrainer:
         if not math.isfinite(self.l2) or self.l2 < 0:
             raise ValueError("l2 must be finite and not negative")
 
-    def fit(
-        self,
-        examples: DataFrame,
-        at_most: int = ONE_PARTITION_ROWS + 1,
-        counts: dict | None = None,
-    ) -> ProxyModel:
-        """Fit ``(id, embedding, label)`` rows; ``at_most`` is an upper bound of their number, and
-        ``counts`` their :func:`example_violations` where the caller has them already."""
+    def for_shard(self) -> LogisticTrainer:
+        """The trainer of one shard's rows, whose spread may differ from that of the others."""
+        return replace(self, standardize=True)
+
+    def fit(self, examples: DataFrame, counts: dict | None = None) -> ProxyModel:
+        """Fit ``(id, embedding, label)`` rows; ``counts`` are their :func:`example_violations`
+        where the caller has them already.
+
+        Rows are shuffled into as many partitions as their bytes need, in the order of their ids,
+        whatever the layout they come in."""
         if counts is None:
-            counts = example_violations(gather(examples, at_most)).first().asDict()
+            counts = example_violations(examples).first().asDict()
         require_valid_examples(counts)
         rows, positives, width = counts["n_rows"], counts["positives"], counts["max_width"]
         if positives in (0, rows):
             # One class has no finite optimum: a smoothed constant keeps scores finite.
             constant = math.log((positives + 1) / (rows - positives + 1))
             return ProxyModel((0.0,) * width, constant)
-        if rows <= ONE_PARTITION_ROWS:
-            examples = gather(examples, rows).sortWithinPartitions("id")
-        else:
-            examples = for_iteration(examples)
-        features = examples.select(
+        parts = 1 + rows * width * 8 // FIT_BYTES
+        placed = examples.repartition(1) if parts == 1 else examples.repartitionByRange(parts, "id")
+        features = placed.sortWithinPartitions("id").select(
             array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
             F.col("label").cast("double").alias("label"),
         )
@@ -86,21 +87,35 @@ def average_models(models: DataFrame, weighted: bool = False) -> DataFrame:
 def federated_train(
     training: DataFrame,
     shard_col: str,
-    shards: tuple[int, ...],
+    shards: tuple,
     trainer: LogisticTrainer,
     weighted: bool = False,
     parallelism: int = 4,
 ) -> ProxyModel:
-    """One fit per shard, then the average. Each fit is a Spark job of its own over its shard;
-    one grouped pass checks the training rows of all shards."""
+    """One fit per shard, then the average.
+
+    The training rows are computed once and written by shard, so every fit reads its own shard only
+    and one grouped pass over the written rows checks all of them."""
+    models = shard_models(training, shard_col, shards, trainer, parallelism)
+    mean = average_models(models, weighted).first()
+    return ProxyModel(tuple(mean["weights"]), mean["intercept"])
+
+
+def shard_models(
+    training: DataFrame, shard_col: str, shards: tuple, trainer: LogisticTrainer, parallelism: int = 4
+) -> DataFrame:
+    """``(run_id, weights, intercept, n_rows)`` of the fit of every shard that has rows."""
     spark = training.sparkSession
-    checks = example_violations(training, (shard_col,)).collect()
+    path = scratch_path(spark, "training")
+    rows = training.select("id", "embedding", "label", shard_col)
+    rows.write.partitionBy(shard_col).parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    checks = example_violations(rows, (shard_col,)).collect()
     counts = {row[shard_col]: row.asDict() for row in checks}
-    local = LogisticTrainer(trainer.l2, trainer.max_iter, trainer.tol, standardize=True)
+    local = trainer.for_shard()
 
-    def fit(shard: int) -> tuple:
-        rows = training.where(F.col(shard_col) == shard)
-        model = local.fit(rows, counts=counts[shard])
+    def fit(shard: Any) -> tuple:
+        model = local.fit(rows.where(F.col(shard_col) == shard), counts[shard])
         return (str(shard), list(model.weights), model.intercept, counts[shard]["n_rows"])
 
     present = [shard for shard in shards if shard in counts]
@@ -108,6 +123,5 @@ def federated_train(
         raise ValueError("no training examples")
     with ThreadPool(min(parallelism, len(present))) as pool:
         fitted = pool.map(inheritable_thread_target(spark)(fit), present)
-    models = spark.createDataFrame(fitted, f"{MODEL_SCHEMA}, n_rows bigint")
-    mean = average_models(models, weighted).first()
-    return ProxyModel(tuple(mean["weights"]), mean["intercept"])
+    drop_written(rows)
+    return spark.createDataFrame(fitted, f"{MODEL_SCHEMA}, n_rows bigint")

@@ -29,8 +29,14 @@ class Strategy:
 
 
 def _strategies() -> dict[str, Strategy]:
-    """lc1..lc4 cluster inside shards, gc1 and gc2 over the whole table; ``rec`` is recursive."""
-    named = {"random": Strategy(clustered=False), "recursive": Strategy(False, recursive=True)}
+    """lc1..lc4 cluster inside shards, gc1 and gc2 over the whole table, random_sharded draws its
+    quota in each shard; ``rec`` is recursive."""
+    named = {
+        "random": Strategy(clustered=False),
+        "recursive": Strategy(False, recursive=True),
+        "random_sharded": Strategy(False, sharded=True),
+        "recursive_sharded": Strategy(False, sharded=True, recursive=True),
+    }
     for suffix, recursive in (("", False), ("rec", True)):
         for number in (1, 2, 3, 4):
             named[f"lc{number}{suffix}"] = Strategy(

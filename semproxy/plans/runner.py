@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 from semproxy.config import FEDERATED, RunConfig, initial_budget, recursive_budget
 from semproxy.functions.scoring import ProxyModel
 from semproxy.operators.checks import require_valid_candidates, require_valid_labels
-from semproxy.operators.labeling import Labeler, exclude_labeled, fetch_by_ids
+from semproxy.operators.labeling import Labeler, exclude_labeled
 from semproxy.operators.propagation import DirectLabels, TrainingDataBuilder
 from semproxy.operators.sampling import Sampler, select_uncertain
 from semproxy.operators.training import LogisticTrainer, federated_train
-from semproxy.session import cut_lineage, small
-from semproxy.sources.candidates import load_candidates, load_embeddings_only
+from semproxy.session import cut_lineage, drop_written, written
+from semproxy.sources.candidates import fetch_candidates, load_embeddings_only
 
 ROUND_SCHEMA = (
     "run_id string, round int, requested long, acquired long, "
-    "sampling_s double, labeling_s double, training_s double"
+    "sampling_s double, fetching_s double, labeling_s double, training_s double"
 )
 
 
@@ -56,7 +56,6 @@ def run_proxy_training(
     keep = () if shard_col is None else (shard_col,)
     if shard_col is not None:
         table = table.where(F.col(shard_col).isin(list(shards)))
-    candidates = load_candidates(table, config.dataset, keep)
     pool = load_embeddings_only(table, config.dataset, keep)
     if config.check_table:
         require_valid_candidates(pool.where(F.col("id").isNotNull()))
@@ -90,14 +89,17 @@ def run_proxy_training(
         ids = cut_lineage(ids.select("id"))
         sampled = time.perf_counter()
 
-        selected = fetch_by_ids(candidates, ids, budget)
-        labeled = labeler.label(small(selected, budget))
+        # Only ids are broadcast; the rows with their texts are written once, then labeled.
+        selected = written(fetch_candidates(table, ids, budget, config.dataset, keep), "selected")
+        fetched = time.perf_counter()
+        labeled = labeler.label(selected)
         batch = cut_lineage(
             labeled.select(
                 "id", "embedding", *keep, F.col("label").cast("int"), F.lit(number).alias("round")
             )
         )
         acquired = require_valid_labels(batch, ids, budget)
+        drop_written(selected)
         labeled_at = time.perf_counter()
         if acquired == 0 and number == 0:
             raise RuntimeError("initial sampling produced no labeled examples")
@@ -107,9 +109,12 @@ def run_proxy_training(
             if config.placement == FEDERATED:
                 model = federated_train(training, shard_col, shards, trainer)
             elif isinstance(builder, DirectLabels):
-                model = trainer.fit(training, at_most=config.label_budget)
-            else:
                 model = trainer.fit(training)
+            else:
+                # One scan of the pool per round: the check and the fit read the written rows.
+                covered = written(training.select("id", "embedding", "label"), "covered")
+                model = trainer.fit(covered)
+                drop_written(covered)
             models.append(model)
         trained = time.perf_counter()
         reports.append(
@@ -119,7 +124,8 @@ def run_proxy_training(
                 budget,
                 acquired,
                 sampled - started,
-                labeled_at - sampled,
+                fetched - sampled,
+                labeled_at - fetched,
                 trained - labeled_at,
             )
         )

@@ -2,33 +2,53 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semproxy.config import RunConfig
-from semproxy.functions.scoring import ACCEPT, ESCALATE, ProxyModel
-from semproxy.operators.cascade import route, score_rows
+from semproxy.functions.scoring import ACCEPT, ESCALATE, REJECT, ProxyModel
+from semproxy.operators.cascade import route, score_batches
+from semproxy.operators.checks import require_answers
 from semproxy.operators.labeling import Labeler
 from semproxy.operators.propagation import DirectLabels, TrainingDataBuilder
 from semproxy.operators.sampling import RandomSampler, Sampler
 from semproxy.operators.training import LogisticTrainer
 from semproxy.plans.runner import run_proxy_training
-from semproxy.session import cut_lineage
+from semproxy.session import written
 from semproxy.sources.candidates import load_candidates
 
 
 def apply_filter(
-    candidates: DataFrame, model: ProxyModel, labeler: Labeler, reject: float, accept: float
+    candidates: DataFrame,
+    model: ProxyModel,
+    labeler: Labeler,
+    reject: float,
+    accept: float,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Accepted rows plus escalated rows the labeler calls positive, with ``score`` and ``zone``.
+    """Accepted rows plus escalated rows whose label is positive, with ``score`` and ``zone``.
 
-    Only escalated rows reach the labeler. Its positives are written at once, so that reading
-    the result again does not call it again.
+    Every row is scored once, in one pass that writes the rows not rejected. Only escalated rows
+    without a ``known`` label ``(id, label)`` reach the labeler, once; it must answer each of them,
+    else this fails rather than drop rows. Ids must not repeat among escalated rows.
     """
-    routed = route(score_rows(candidates, model), reject, accept)
-    escalated = labeler.label(routed.where(F.col("zone") == ESCALATE))
-    positives = cut_lineage(escalated.where(F.col("label") == 1).select(*routed.columns))
-    return routed.where(F.col("zone") == ACCEPT).unionByName(positives)
+    scored = score_batches(candidates, model)
+    open_rows = written(route(scored, reject, accept).where(F.col("zone") != REJECT), "routed")
+    accepted = open_rows.where(F.col("zone") == ACCEPT)
+    escalated = open_rows.where(F.col("zone") == ESCALATE)
+    asked = escalated
+    answers = []
+    if known is not None:
+        known = known.select("id", F.col("label").cast("int").alias("label"))
+        answers.append(known)
+        asked = escalated.join(known, "id", "left_anti")
+    labeled = written(labeler.label(asked).select("id", F.col("label").cast("int").alias("label")), "answers")
+    require_answers(labeled, asked)
+    answers.append(labeled)
+    positive = reduce(DataFrame.unionByName, answers).where("label = 1").select("id")
+    return accepted.unionByName(escalated.join(positive, "id", "left_semi"))
 
 
 def semantic_filter(
@@ -43,4 +63,4 @@ def semantic_filter(
     """Train a proxy within the label budget, then filter ``table`` through the cascade."""
     result = run_proxy_training(table, config, sampler, labeler, builder, trainer)
     candidates = load_candidates(table, config.dataset)
-    return apply_filter(candidates, result.model, labeler, *band)
+    return apply_filter(candidates, result.model, labeler, *band, known=result.ledger)

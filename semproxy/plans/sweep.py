@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semproxy.config import ClusterOptions, RunConfig
-from semproxy.functions.scoring import ProxyModel, predict_probability
+from semproxy.functions.scoring import LABELER_RATES, ProxyModel, batch_probabilities
+from semproxy.operators.checks import require_valid_candidates
 from semproxy.operators.labeling import GoldLabeler, label_lookup
 from semproxy.operators.metrics import BANDS, Groups, ranked_by_confidence
 from semproxy.operators.propagation import ClusterPropagation, DirectLabels
@@ -22,6 +23,9 @@ from semproxy.operators.training import LogisticTrainer
 from semproxy.plans.runner import TrainingResult, run_proxy_training
 from semproxy.session import cut_lineage
 
+# Models scored and evaluated in one pass over the rows.
+MODEL_BATCH = 16
+
 # The report's columns in order. Timers of a single process's inner steps have no
 # Spark counterpart and stay empty.
 REPORT_COLUMNS = (
@@ -105,14 +109,10 @@ def score_models(
 
     Labels come with the rows or from ``gold``, which then meets the scores, not the embeddings.
     """
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(run_id).alias("run_id"),
-                predict_probability(F.col("embedding"), model).alias("score"),
-            )
-            for run_id, model in models.items()
-        ]
+    names = F.array(*[F.lit(run_id) for run_id in models])
+    scores = batch_probabilities(F.col("embedding"), list(models.values()))
+    pairs = F.zip_with(
+        names, scores, lambda run_id, score: F.struct(run_id.alias("run_id"), score.alias("score"))
     )
     if gold is None:
         scored = rows.select("id", "label", pairs.alias("_scores"))
@@ -123,6 +123,20 @@ def score_models(
     )
 
 
+def evaluate_models(
+    rows: DataFrame, models: dict[str, ProxyModel], gold: DataFrame | None = None
+) -> DataFrame:
+    """:func:`evaluate_proxy` of every model, :data:`MODEL_BATCH` models a pass, so that the rows
+    written and ordered at once are bounded by the batch; each batch's results are written."""
+    names = list(models)
+    parts = []
+    for start in range(0, len(names), MODEL_BATCH):
+        batch = {name: models[name] for name in names[start : start + MODEL_BATCH]}
+        scores = score_models(rows, batch, gold)
+        parts.append(cut_lineage(evaluate_proxy(scores, ["run_id"], len(batch))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def evaluate_proxy(
     scores: DataFrame, groups: Groups = (), max_groups: int | None = None
 ) -> DataFrame:
@@ -149,7 +163,7 @@ def run_totals(round_report: DataFrame) -> DataFrame:
     """Labels and seconds per run, round 0 apart from the later rounds."""
     first = F.col("round") == 0
     sums = [F.sum("acquired").alias("phase_a_labels")]
-    for name in ("sampling_s", "labeling_s", "training_s"):
+    for name in ("sampling_s", "fetching_s", "labeling_s", "training_s"):
         sums.append(F.sum(F.when(first, F.col(name)).otherwise(0.0)).alias(f"initial_{name}"))
         sums.append(F.sum(F.when(first, 0.0).otherwise(F.col(name))).alias(f"recursive_{name}"))
     return round_report.groupBy("run_id").agg(*sums)
@@ -165,9 +179,12 @@ def run_sweep(
     parallelism: int = 4,
 ) -> DataFrame:
     """Train every run of the grid, ``parallelism`` at a time, then score and evaluate all models
-    in one job."""
+    in batches."""
     spark = candidates.sparkSession
     labeler = GoldLabeler(gold)
+    started = time.perf_counter()
+    require_valid_candidates(candidates, unique_ids=False)
+    setup_ms = (time.perf_counter() - started) * 1000
 
     def train(run: SweepRun) -> TrainingResult:
         clustered = run.sampler == "cluster"
@@ -194,8 +211,7 @@ def run_sweep(
     models = {run.run_id: result.model for run, result in zip(grid, results)}
     reports = reduce(DataFrame.unionByName, [result.round_report for result in results])
     started = time.perf_counter()
-    scores = score_models(candidates, models, gold)
-    evaluated = cut_lineage(evaluate_proxy(scores, ["run_id"], len(models)))  # a row per run
+    evaluated = evaluate_models(candidates, models, gold)  # a row per run
     scoring_ms = (time.perf_counter() - started) * 1000
     width = len(next(iter(models.values())).weights)
     settings = spark.createDataFrame(
@@ -204,7 +220,7 @@ def run_sweep(
         "label_budget long, rounds long, initial_label_fraction double, "
         "uncertainty_center_1 double, uncertainty_center_2 double, seed long",
     )
-    ms = {"sampling_s": "sampling_ms", "labeling_s": "labeling_ms", "training_s": "training_ms"}
+    ms = {"sampling_s": "sampling_ms", "fetching_s": "fetching_ms", "labeling_s": "labeling_ms", "training_s": "training_ms"}
     totals = run_totals(reports)
     phases = [
         (F.col(f"{part}_{seconds}") * 1000).alias(f"{part}_{name}")
@@ -219,12 +235,13 @@ def run_sweep(
         settings.join(totals, "run_id")
         .join(evaluated.withColumnRenamed("n_rows", "rows"), "run_id")
         .withColumn("embedding_dimensions", F.lit(width))
+        .withColumn("data_setup_ms", F.lit(setup_ms))
         .withColumn("proxy_scoring_ms", F.lit(scoring_ms))
     )
     for name in ("band_02", "band_01"):
         calls = F.col("phase_a_labels") + F.col(f"{name}_escalations")
         wide = wide.withColumn(f"{name}_total_calls", calls)
-    for name, rate in (("hosted", 75), ("server", 250), ("inprocess", 1800)):
+    for name, rate in LABELER_RATES.items():
         seconds = F.col("band_02_total_calls") / F.lit(float(rate))
         wide = wide.withColumn(f"band_02_{name}_{rate}rps_seconds", seconds)
     known = set(wide.columns)

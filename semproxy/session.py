@@ -8,11 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A hinted broadcast side never has more rows than this; wider inputs are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+# A hinted broadcast side never takes more than this; wider inputs are joined by shuffle.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
-# Tables known to have at most this many rows are checked and fitted in one partition.
-ONE_PARTITION_ROWS = 20_000
+# Bytes of an id with its overhead; what a broadcast of selected ids is reckoned with.
+ID_BYTES = 100
+
+# Bytes of training rows per partition of a fit.
+FIT_BYTES = 64 * 1024 * 1024
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -43,23 +46,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def for_iteration(df: DataFrame) -> DataFrame:
-    """A bounded number of partitions for data that is passed over many times: a scan of a very
-    large table has so many splits that starting their tasks would outweigh each pass.
-
-    Eight per core, and never less than four times the shuffle partitions, because the cores
-    known to the driver may still grow."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.coalesce(max(8 * cores, 4 * shuffle_partitions(spark)))
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder once and go on from the written rows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def gather(df: DataFrame, rows: int) -> DataFrame:
-    """One partition when ``rows``, an upper bound of ``df``, is small enough: aggregates and
-    groupings over it then need no shuffle."""
-    return df.coalesce(1) if rows <= ONE_PARTITION_ROWS else df
+def drop_written(df: DataFrame) -> None:
+    """Delete the files of a :func:`written` table that nothing reads any more."""
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark)
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if folder.rsplit(":", 1)[-1].lstrip("/") in path:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast when ``rows``, an upper bound of ``df``, is small enough."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, row_bytes: int = ID_BYTES) -> DataFrame:
+    """Hint a broadcast when ``rows``, an upper bound of ``df``, times their width is small."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from semproxy.config import DatasetSpec
 from semproxy.operators.checks import require_valid_candidates
-from semproxy.operators.topk import top_k
+from semproxy.operators.labeling import fetch_by_ids
+from semproxy.operators.topk import place_of_share, top_k
 from semproxy.session import cut_lineage, small
 
 # The sentiment words of the labeled CSV files.
@@ -27,6 +28,27 @@ def load_candidates(
     )
 
 
+# Selections of at most so many ids are filtered by value, which the scan can push down.
+PUSHED_IDS = 10_000
+
+
+def fetch_candidates(
+    table: DataFrame, ids: DataFrame, at_most: int, spec: DatasetSpec = DatasetSpec(), keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """:func:`load_candidates` of the selected ids; ``at_most`` bounds them.
+
+    A small selection becomes a filter on the id column in its own type, so that the scan skips row
+    groups and decodes the texts of few others; a larger one is joined."""
+    kind = table.schema[spec.id_col].dataType
+    wanted = ids.select("id")
+    if at_most <= PUSHED_IDS and isinstance(kind, (T.StringType, T.IntegralType)):
+        values = [row["id"] for row in wanted.collect()]
+        if not isinstance(kind, T.StringType):
+            values = [int(value) for value in values]
+        return load_candidates(table.where(F.col(spec.id_col).isin(values)), spec, keep)
+    return fetch_by_ids(load_candidates(table, spec, keep), wanted, at_most)
+
+
 def load_embeddings_only(
     table: DataFrame, spec: DatasetSpec = DatasetSpec(), keep: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -80,13 +102,17 @@ def read_labeled_csv(
             sentiment_label(F.col(sentiment_col)).alias("label"),
         )
     )
-    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    # Files in the order of the numbers in their names: part-100000 comes after part-99999.
+    name = F.element_at(F.split("_file", "/"), -1)
+    digits = F.transform(F.regexp_extract_all(name, F.lit("([0-9]+)")), lambda d: F.lpad(d, 20, "0"))
+    in_order = (digits, F.col("_file"), F.col("_block"))
+    earlier = Window.orderBy(*in_order).rowsBetween(Window.unboundedPreceding, -1)
     blocks = cut_lineage(
         parsed.groupBy("_file", "_block")
         .agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
         .withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     )
-    return parsed.join(small(blocks, blocks.count()), ["_file", "_block"]).select(
+    return parsed.join(small(blocks, blocks.count(), 1000), ["_file", "_block"]).select(
         (F.col("_start") + F.col("_row") - F.col("_first")).alias("row_index"), "text", "label"
     )
 
@@ -104,7 +130,9 @@ def attach_embeddings(
     """
     chosen = embeddings
     if maximum_rows is not None:
-        chosen = top_k(embeddings, [F.col(position).asc()], maximum_rows)
+        low, high = embeddings.agg(F.min(position), F.max(position)).first()
+        place = place_of_share(F.col(position), low or 0, (high or 0) + 1)
+        chosen = top_k(embeddings, [F.col(position).asc()], maximum_rows, place)
     missing = F.raise_error(
         F.concat(F.lit("no labeled row with index "), F.col("row_index").cast("string"))
     )

@@ -3,6 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from semproxy.config import FEDERATED, ClusterOptions, DatasetSpec, RunConfig
+from semproxy.functions.scoring import ProxyModel
+from semproxy.operators.cascade import score_rows
 from semproxy.operators.labeling import (
     FunctionLabeler,
     GoldLabeler,
@@ -16,7 +18,7 @@ from semproxy.operators.sampling import ClusterSampler, RandomSampler
 from semproxy.operators.training import LogisticTrainer
 from semproxy.plans.presets import STRATEGIES
 from semproxy.plans.runner import run_proxy_training
-from semproxy.plans.semantic_filter import semantic_filter
+from semproxy.plans.semantic_filter import apply_filter, semantic_filter
 
 TRAINER = LogisticTrainer(l2=1.0, max_iter=20)
 
@@ -180,3 +182,49 @@ def test_semantic_filter(spark, blobs):
     assert len(found & truth) / len(found | truth) > 0.95
     kept.count()
     assert calls.value == used
+
+
+class Answers:
+    """A labeler that changes the gold answers before it gives them."""
+
+    def __init__(self, gold, change):
+        self.gold, self.change, self.asked = gold, change, []
+
+    def label(self, rows):
+        self.asked.append(rows)
+        return self.change(GoldLabeler(self.gold).label(rows))
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda df: df.where("id <> 'r7'"),
+        lambda df: df.unionByName(df.limit(1)),
+        lambda df: df.withColumn("id", F.concat(F.lit("x"), "id")),
+        lambda df: df.withColumn("label", F.when(F.col("id") != "r7", F.col("label"))),
+    ],
+    ids=["missing", "repeated", "extra", "null"],
+)
+def test_filter_fails_on_incomplete_answers(blobs, change):
+    rows = blobs.select("id", "text", "embedding")
+    gold = blobs.select("id", "label")
+    model = ProxyModel((0.5, 0.0), 0.0)
+    with pytest.raises(ValueError, match="every selected id once"):
+        apply_filter(rows, model, Answers(gold, change), 0.01, 0.99)
+
+
+def test_filter_scores_once_and_reuses_bought_labels(blobs):
+    rows = blobs.select("id", "text", "embedding")
+    gold = blobs.select("id", "label")
+    model = ProxyModel((2.0, 0.0), 0.0)
+    known = gold.where("id < 'r2'")
+    labeler = Answers(gold, lambda df: df)
+    kept = apply_filter(rows, model, labeler, 0.2, 0.8, known)
+    asked = {r["id"] for r in labeler.asked[0].collect()}
+    assert asked and not asked & {r["id"] for r in known.collect()}
+    scored = score_rows(rows, model).join(gold, "id")
+    expected = scored.where("score >= 0.8 or (score > 0.2 and label = 1)")
+    assert sorted(r["id"] for r in kept.collect()) == sorted(r["id"] for r in expected.collect())
+    # The result reads written rows: nothing scores again.
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "zip_with" not in plan

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from semproxy.operators import topk
 from semproxy.operators.prefix import running_totals
-from semproxy.operators.topk import top_k, top_k_per_group
+from semproxy.operators.sampling import sample_random
+from semproxy.operators.topk import place_of_hex, place_of_share, top_k, top_k_per_group
 
 def order():
     return [F.col("s").asc(), F.col("id").asc()]
@@ -66,26 +67,50 @@ def test_hot_value_spreads_over_partitions(table):
     assert max(sizes) < 3000 / 4
 
 
-@pytest.mark.parametrize("limit", [topk.FINAL_ROWS, 1])
-@pytest.mark.parametrize("k", [1, 17, 5000])
+@pytest.mark.parametrize("limit", [topk.SORTED_ROWS, 1])
+@pytest.mark.parametrize("k", [1, 17, 2999, 5000])
 def test_top_k(table, rows, monkeypatch, limit, k):
-    monkeypatch.setattr(topk, "FINAL_ROWS", limit)
+    monkeypatch.setattr(topk, "SORTED_ROWS", limit)
     expected = [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))][:k]
-    got = top_k(table, order(), k).collect()
+    got = top_k(table, order(), k, place_of_share(F.col("s"))).collect()
     assert sorted(r["id"] for r in got) == sorted(expected)
 
 
-@pytest.mark.parametrize("limit", [topk.FINAL_ROWS, 1])
+@pytest.mark.parametrize("limit", [topk.SORTED_ROWS, 1])
 def test_top_k_per_group(table, rows, monkeypatch, limit):
-    monkeypatch.setattr(topk, "FINAL_ROWS", limit)
+    monkeypatch.setattr(topk, "SORTED_ROWS", limit)
     quotas = {0: 5, 1: 4, 2: 0, 9: 3}
-    got = top_k_per_group(table, "g", order(), quotas).collect()
+    place = place_of_share(F.col("s"))
+    got = top_k_per_group(table, "g", order(), quotas, place).collect()
     for g, quota in quotas.items():
         mine = sorted((r for r in rows if r[2] == g), key=lambda r: (r[1], r[0]))[:quota]
         assert sorted(r["id"] for r in got if r["g"] == g) == sorted(r[0] for r in mine)
-    assert top_k_per_group(table, "g", order(), {0: 0}).count() == 0
+    assert top_k_per_group(table, "g", order(), {0: 0}, place).count() == 0
 
 
-def test_group_limit_reaches_the_map_side(table):
-    plan = top_k(table, order(), 10)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+@pytest.mark.parametrize("partitions", [8, 10_000])
+@pytest.mark.parametrize("k", [200, 1001, 100_000])
+def test_one_plan_for_every_budget(spark, k, partitions):
+    """Rows before the last place are filtered and only that place is sorted, whatever the size."""
+    pool = spark.range(200_000).select(F.col("id").cast("string").alias("id"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        chosen = sample_random(pool, k, 42)
+        plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    below, last = plan.split("+- ", 1)[0], plan.split("Sort [")
+    assert plan.count("Union") == 1 and len(last) == 2
+    # What is ordered is filtered to a single place first.
+    places = [line for line in last[1].splitlines() if "Filter" in line and "16, 10" in line]
+    assert len(places) == 1 and ") = " in places[0], below
+
+
+def test_places_follow_the_order(spark):
+    values = [0.0, 1e-9, 0.2, 0.2000001, 0.99999, 1.0, None, float("nan")]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    places = [r[0] for r in rows.select(place_of_share(F.col("v"))).collect()]
+    assert places == sorted(places) and places[-1] == topk.PLACES - 1
+    keys = spark.createDataFrame([(k,) for k in ("0000a", "00ff0", "ffff9")], "k string")
+    assert [r[0] for r in keys.select(place_of_hex(F.col("k"))).collect()] == [0, 255, 65535]
