@@ -1,5 +1,9 @@
 """DuckDB equivalents of the queries SQL can express."""
 
+from __future__ import annotations
+
+from semproxy.llm.quality import RULES
+
 # Water-filling in closed form: sources sorted by the level at which they reach their cap.
 MIX = r"""
 WITH sized AS (
@@ -73,4 +77,162 @@ SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_
 FROM doc d LEFT JOIN hits h USING (doc_id) LEFT JOIN ids i USING (doc_id)
 """
 
-ORACLES = {"op3_mix_sources": MIX, "op8_benchmark_phrases": PHRASES}
+# Borders at exact byte shares; a CRC table of 256 entries from its polynomial.
+SHARDS = r"""
+WITH crc_table AS (SELECT list(v ORDER BY n) AS t FROM (
+  SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END) AS v
+  FROM (SELECT unnest(range(256)) AS n))),
+sized AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, text,
+         substr(md5(coalesce(text, '')), 1, 15) AS h FROM documents),
+placed AS (
+  SELECT *, sum(size) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS before,
+         sum(size) OVER () AS total FROM sized),
+sharded AS (SELECT *, (before * 8 // total)::INTEGER AS shard FROM placed)
+SELECT doc_id, size,
+  CASE WHEN text IS NOT NULL THEN xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'),
+      lambda b: ('0x' || b)::BIGINT)),
+    lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256))) END AS text_crc32,
+  'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot,
+  NULL::INTEGER AS grown_shard
+FROM sharded, crc_table
+"""
+
+# Every 50-byte string (100 hexadecimal digits) with the smallest id that has it.
+REPEATS = r"""
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS owner FROM (
+    SELECT doc_id, unnest(range(1, len(h) // 2 - 48)) - 1 AS i,
+           unnest(list_transform(range(1, len(h) // 2 - 48), lambda p: substr(h, 2 * p - 1, 100))) AS s
+    FROM bytes WHERE len(h) >= 100)),
+gone AS (
+  SELECT doc_id, i, CASE WHEN i > lag(i) OVER w + 50 THEN 1 ELSE 0 END AS gap
+  FROM strings WHERE owner < doc_id WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (
+  SELECT doc_id, min(i) AS first, max(i) + 50 AS last FROM (
+    SELECT doc_id, i, sum(gap) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM gone)
+  GROUP BY doc_id, run),
+cuts AS (
+  SELECT doc_id, first, last, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0) AS kept_from
+  FROM runs),
+kept AS (
+  SELECT c.doc_id, count(*) AS n_spans, sum(last - first) AS n_removed, max(last) AS tail,
+         string_agg(substr(h, 2 * kept_from + 1, 2 * (first - kept_from)), '' ORDER BY first) AS k
+  FROM cuts c JOIN bytes USING (doc_id) GROUP BY c.doc_id)
+SELECT b.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k || substr(h, 2 * tail + 1), h))) AS kept_sha256
+FROM bytes b LEFT JOIN kept USING (doc_id)
+"""
+
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+INDEX_WORDS = rf"regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+PLAIN_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def classes(docs: str) -> str:
+    """CTEs up to ``found``: per distinct text its class, links, copies and n-grams."""
+    return f"""
+texts AS (
+  SELECT coalesce(text, '') AS text, min(doc_id) AS id, count(*) AS copies FROM {docs} GROUP BY ALL),
+cut_words AS (SELECT id, copies, text, {INDEX_WORDS} AS words FROM texts),
+gram_lists AS (
+  SELECT id, copies, text, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(
+    range(1, greatest(len(words) - 4, 1) + 1), lambda p: array_to_string(words[p : p + 4], ' '))) END AS grams
+  FROM cut_words),
+grams AS (SELECT id, unnest(grams) AS gram FROM gram_lists),
+shared AS (
+  SELECT a.id AS a, b.id AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.id <> b.id
+  GROUP BY ALL),
+links AS (
+  SELECT a, b, y.copies AS others FROM shared JOIN gram_lists x ON x.id = a JOIN gram_lists y ON y.id = b
+  WHERE n >= 0.8 * (len(x.grams) + len(y.grams) - n) - 1e-9),
+reached(a, b) AS (
+  SELECT id, id FROM texts UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+roots AS (SELECT a AS id, min(b) AS class_id FROM reached GROUP BY a),
+found AS (
+  SELECT g.id, g.text, class_id, copies AS n_copies, len(grams)::BIGINT AS n_grams,
+         (coalesce((SELECT sum(others) FROM links WHERE a = g.id), 0) + copies - 1)::BIGINT AS n_links
+  FROM gram_lists g JOIN roots USING (id))"""
+
+
+JOIN = f"""
+WITH RECURSIVE {classes('documents').strip()}
+SELECT doc_id, class_id, n_links, n_copies, n_grams
+FROM documents d JOIN found f ON coalesce(d.text, '') = f.text
+"""
+
+# Fixed: the rules and grids of the quality module, as SQL values.
+RULE_ROWS = ", ".join(
+    f"('{rule}', {number}, {float(cutoff)}::DOUBLE)"
+    for rule, (_, grid) in RULES.items()
+    for number, cutoff in enumerate(grid, 1)
+)
+RULE_SCORES = ", ".join(f"('{rule}', ({score})::DOUBLE)" for rule, (score, _) in RULES.items())
+
+
+def judged(docs: str) -> str:
+    """CTEs up to ``judged``: counts, base verdict and verdict per row of ``docs``."""
+    return rf"""
+counted AS (
+  SELECT *, len(words)::BIGINT AS n_words, len(array_to_string(words, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines
+  FROM (SELECT *, {PLAIN_WORDS} AS words, list_filter(string_split(coalesce(text, ''), chr(10)),
+    lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM {docs})),
+word_windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 6)) AS p,
+    unnest(list_transform(range(1, len(words) - 6), lambda p: array_to_string(words[p : p + 7], ' '))) AS w
+  FROM counted WHERE len(words) > 8),
+again AS (
+  SELECT doc_id, count(DISTINCT q) AS n FROM (
+    SELECT doc_id, unnest(range(p, p + 8)) AS q FROM (
+      SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS times FROM word_windows) WHERE times > 1)
+  GROUP BY doc_id),
+features AS (
+  SELECT c.* EXCLUDE (words, lines), coalesce(n, 0)::BIGINT AS n_repeat_words,
+    n_words < 20 OR 100 * coalesce(n, 0) > 30 * n_words AS base_failed, coalesce(lang, '') AS stratum
+  FROM counted c LEFT JOIN again USING (doc_id)),
+scored AS (
+  SELECT f.*, r.rule, r.score FROM features f, LATERAL (SELECT col0 AS rule, col1 AS score FROM
+    (VALUES {RULE_SCORES.replace('n_words', 'greatest(f.n_words, 1)').replace('n_symbols', 'f.n_symbols')
+             .replace('n_dup_lines', 'f.n_dup_lines').replace('greatest(n_lines', 'greatest(f.n_lines')
+             .replace('n_repeat_words', 'f.n_repeat_words').replace('word_chars', 'f.word_chars')})) r),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
+grid(rule, place, cutoff) AS (VALUES {RULE_ROWS}),
+tested AS (
+  SELECT stratum, rule, place, cutoff, count(*) AS n, count(*) FILTER (score > cutoff) AS k
+  FROM scored JOIN grid USING (rule) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)
+  GROUP BY ALL),
+level AS (SELECT 0.05::DOUBLE / count(*) AS delta, 0.01::DOUBLE / {len(RULES)} AS a FROM (SELECT DISTINCT stratum, rule FROM tested)),
+tails AS (
+  SELECT tested.*, delta, CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(a) + (n - i) * ln(1 - a)))) END AS p
+  FROM tested, level),
+cutoffs AS (
+  SELECT stratum, rule, arg_max(cutoff, place) AS cutoff FROM (
+    SELECT *, sum(CASE WHEN p > delta THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY place) AS failed
+    FROM tails) WHERE failed = 0 GROUP BY ALL),
+rejected AS (
+  SELECT DISTINCT doc_id FROM scored JOIN cutoffs USING (stratum, rule) WHERE score > cutoff),
+judged AS (
+  SELECT *, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM features)"""
+
+
+QUALITY = f"""
+WITH {judged('documents').strip()}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged
+"""
+
+ORACLES = {
+    "op1_histogram_shards": SHARDS,
+    "op3_mix_sources": MIX,
+    "op6_suffix_dedup": REPEATS,
+    "op7_ngram_join": JOIN,
+    "op8_benchmark_phrases": PHRASES,
+    "op9_quality_rules": QUALITY,
+}
