@@ -1,7 +1,7 @@
 """Exact substring dedup by column-wise construction of a multi-document suffix order.
 
 A 50-byte string is a repeat if it also starts in a document with a smaller id. Its sketch is its
-minimizer: the least hashed 20-byte string inside it, which equal strings have at the same place. So
+minimizer: the least hashed 16-byte string inside it, which equal strings have at the same place. So
 
 1. documents are packed into blocks; each block sends the minimizers of all its 50-byte strings,
    each once, to buckets of hash values, and learns which occur in a second document;
@@ -34,7 +34,7 @@ from semproxy.llm.common import written
 from semproxy.session import shuffle_partitions
 
 LENGTH = 50
-GRAM = 20
+GRAM = 16
 STRINGS = LENGTH - GRAM + 1  # places a minimizer can have in a string
 COLUMNS = 2 * LENGTH - GRAM
 NO_ID = (1 << 63) - 1
@@ -134,13 +134,36 @@ def block_keys(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=6).compress(data)
 
 
 def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def pack_records(records: np.ndarray) -> bytes:
+    """Records field by field, numbers and ids as differences: both rise or repeat mostly."""
+    fields = []
+    for name in records.dtype.names:
+        values = records[name]
+        if values.dtype.itemsize > 1:
+            values = np.diff(values.astype(np.int64), prepend=np.int64(0))
+        fields.append(np.ascontiguousarray(values).tobytes())
+    return pack(b"".join(fields))
+
+
+def unpack_records(data: bytes, kind: np.dtype) -> np.ndarray:
+    data = unpack(data)
+    widths = [8 if kind[name].itemsize > 1 else 1 for name in kind.names]
+    records = np.empty(len(data) // sum(widths), kind)
+    at = 0
+    for name, width in zip(kind.names, widths):
+        values = np.frombuffer(data, np.int64 if width == 8 else np.uint8, len(records), at)
+        records[name] = np.cumsum(values) if width == 8 else values
+        at += width * len(records)
+    return records
+
+
 def owners(rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Per piece and string column, the smallest id of the pieces with the same 50 bytes there.
 
@@ -150,6 +173,7 @@ def owners(rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
     prefixes = np.zeros(n, np.uint8)
     owner = np.empty((n, STRINGS), np.int64)
     symbols = np.ascontiguousarray(rows.T)
+    del rows
     for column in range(COLUMNS - 1, -1, -1):
         behind = symbols[column][order]
         moved = np.argsort(behind, kind="stable")
@@ -306,7 +330,8 @@ def chosen_pieces(block: Block, answers: list[dict], buckets: int) -> np.ndarray
     return repeated[np.searchsorted(key, block.pieces["key"])]
 
 
-HEAD = np.dtype([("content", "<u8"), ("doc", "<i8"), ("strings", "u1"), ("offset", "u1"), ("several", "u1")])
+# A sent piece: its number in the block, its smallest id, whether the block has it under several.
+HEAD = np.dtype([("number", "<i8"), ("doc", "<i8"), ("strings", "u1"), ("offset", "u1"), ("several", "u1")])
 
 
 def send_pieces(asked: DataFrame, buckets: int) -> DataFrame:
@@ -327,10 +352,11 @@ def send_pieces(asked: DataFrame, buckets: int) -> DataFrame:
                 content, ids = p["content"][order], doc[order]
                 first = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]]))
                 last = np.append(first[1:], len(content)) - 1
-                kept = order[first]
+                kept, least, several = order[first], ids[first], ids[first] != ids[last]
+                in_text = np.argsort(kept)
+                kept = kept[in_text]
                 head = np.zeros(len(kept), HEAD)
-                head["content"], head["doc"] = content[first], ids[first]
-                head["several"] = ids[first] != ids[last]
+                head["number"], head["doc"], head["several"] = found[kept], least[in_text], several[in_text]
                 head["strings"] = p["strings"][kept]
                 head["offset"] = (p["place"] - p["start"])[kept]
                 start, end = p["start"][kept], (p["start"] + p["strings"])[kept] + LENGTH - 1
@@ -340,7 +366,7 @@ def send_pieces(asked: DataFrame, buckets: int) -> DataFrame:
                 heads, bodies = [], []
                 for part in np.split(order, cut[1:]):
                     spans = zip(start[part].tolist(), end[part].tolist())
-                    heads.append(pack(head[part].tobytes()))
+                    heads.append(pack_records(head[part]))
                     bodies.append(pack(b"".join([block.text[a:b] for a, b in spans])))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -355,24 +381,40 @@ def send_pieces(asked: DataFrame, buckets: int) -> DataFrame:
     return asked.mapInArrow(send, "bucket long, block long, heads binary, bytes binary")
 
 
-OWNED = np.dtype([("content", "<u8"), ("owner", "<i8"), ("first", "u1"), ("strings", "u1")])
+# A run of strings of a piece that smaller ids own.
+OWNED = np.dtype([("number", "<i8"), ("owner", "<i8"), ("first", "u1"), ("strings", "u1")])
+
+# Pieces laid out at a time.
+SLICE = 16_384
+
+
+def aligned(head: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """One row per piece and one column per place around the minimizer: byte + 1, or 0."""
+    sizes = head["strings"].astype(np.int64) + LENGTH - 1
+    ends = np.cumsum(sizes)
+    begin = STRINGS - 1 - head["offset"].astype(np.int64)
+    rows = np.zeros((len(head), COLUMNS), np.uint16)
+    for low in range(0, len(head), SLICE):
+        part = slice(low, low + SLICE)
+        origin = ends[low] - sizes[low]
+        piece = np.repeat(np.arange(len(sizes[part])), sizes[part])
+        shift = begin[part] - (ends[part] - sizes[part] - origin)
+        column = np.arange(len(piece)) + shift[piece]
+        rows[part][piece, column] = data[origin : origin + len(piece)].astype(np.uint16) + 1
+    return rows
 
 
 def find_owners(sent: DataFrame) -> DataFrame:
     """``(block, owned)``: for pieces that can lose bytes, runs of strings with their owner."""
 
     def build(group: pa.Table) -> pa.Table:
-        heads = [np.frombuffer(unpack(h), HEAD) for h in group["heads"].to_pylist()]
+        heads = [unpack_records(h, HEAD) for h in group["heads"].to_pylist()]
         counts = [len(h) for h in heads]
         head = np.concatenate(heads)
-        data = np.frombuffer(b"".join(map(unpack, group["bytes"].to_pylist())), np.uint8)
-        sizes = head["strings"].astype(np.int64) + LENGTH - 1
-        piece = np.repeat(np.arange(len(head)), sizes)
         begin = STRINGS - 1 - head["offset"].astype(np.int64)
-        column = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes - begin, sizes)
-        rows = np.zeros((len(head), COLUMNS), np.uint16)
-        rows[piece, column] = data.astype(np.uint16) + 1
+        rows = aligned(head, np.frombuffer(b"".join(map(unpack, group["bytes"].to_pylist())), np.uint8))
         owner = owners(rows, head["doc"])
+        del rows
         # Runs of strings of a piece with one owner, where some document comes after the owner.
         strings = np.arange(STRINGS)[None, :]
         real = (strings >= begin[:, None]) & (strings < (begin + head["strings"])[:, None])
@@ -384,10 +426,10 @@ def find_owners(sent: DataFrame) -> DataFrame:
         at, first = np.nonzero(start)
         last = np.nonzero(end)[1]
         out = np.zeros(len(at), OWNED)
-        out["content"], out["owner"] = head["content"][at], owner[at, first]
+        out["number"], out["owner"] = head["number"][at], owner[at, first]
         out["first"], out["strings"] = first - begin[at], last - first + 1
         cuts = np.searchsorted(at, np.cumsum([0, *counts])).tolist()
-        owned = [pack(out[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+        owned = [pack_records(out[a:b]) for a, b in zip(cuts, cuts[1:])]
         return pa.table([group["block"], pa.array(owned, pa.binary())], names=["block", "owned"])
 
     return sent.groupBy("bucket").applyInArrow(build, "block long, owned binary")
@@ -395,11 +437,14 @@ def find_owners(sent: DataFrame) -> DataFrame:
 
 def removed_bytes(block: Block, owned: list[bytes]) -> np.ndarray:
     """Whether each byte of the block goes."""
-    runs = np.concatenate([np.frombuffer(unpack(o), OWNED) for o in owned] or [np.zeros(0, OWNED)])
-    runs = runs[np.argsort(runs["content"], kind="stable")]
+    runs = np.concatenate([unpack_records(o, OWNED) for o in owned] or [np.zeros(0, OWNED)])
     p = block.pieces
-    low = np.searchsorted(runs["content"], p["content"], "left")
-    count = np.searchsorted(runs["content"], p["content"], "right") - low
+    # A run holds for all pieces of the block with the content of the sent one.
+    content = p["content"][runs["number"]]
+    order = np.argsort(content, kind="stable")
+    runs, content = runs[order], content[order]
+    low = np.searchsorted(content, p["content"], "left")
+    count = np.searchsorted(content, p["content"], "right") - low
     piece = np.repeat(np.arange(len(low)), count)
     run = runs[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(len(piece))]
     loses = block.ids[p["doc"][piece]] > run["owner"]
