@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from semproxy.llm import decontaminate, mixing, ngram_join, quality, sharding
 from semproxy.llm.common import documents, written
+from semproxy.llm.oracles import PIPELINE
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-# The chosen cutoffs and the similarity join cannot be said in SQL; tests/llm has a brute force.
-ORACLE_SQL = None
+ORACLE_SQL = PIPELINE
 
 PIPELINE_QUERIES = {"pipeline": run}
-PIPELINE_ORACLES = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
+PIPELINE_ORACLES = {"pipeline": ORACLE_SQL}

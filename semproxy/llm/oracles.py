@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from semproxy.llm.quality import RULES
 
-# Water-filling in closed form: sources sorted by the level at which they reach their cap.
-MIX = r"""
-WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+def mixed(docs: str) -> str:
+    """CTEs up to ``running``: water-filling in closed form, sources sorted by the level at which
+    they reach their cap, and the running words of a source in seeded order."""
+    return rf"""
+sized AS (
+  SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          substr(md5('42:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15) AS key
-  FROM documents),
+  FROM {docs}),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
@@ -35,22 +37,27 @@ goals AS (
          round(target)::BIGINT AS goal
   FROM targets),
 running AS (
-  SELECT d.doc_id, d.size, g.source_size, g.target, g.whole,
+  SELECT d.*, g.source_size, g.target, g.whole,
          g.goal - g.whole * g.source_size AS rest,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size
                            ROWS UNBOUNDED PRECEDING) - d.size AS before
-  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)"""
+
+
+MIX = f"""
+WITH {mixed('documents').strip()}
 SELECT doc_id, size::BIGINT AS size, source_size, target,
        (size * whole + greatest(0, least(size, rest - before)))::BIGINT AS taken
 FROM running
 """
 
-
-# Windows as joined words; every window of a document is looked up among them.
-PHRASES = r"""
-WITH doc AS (
+def phrase_hits(docs: str) -> str:
+    """CTEs up to ``hits`` and ``ids``: windows as joined words, and every window of a document
+    looked up among them."""
+    return rf"""
+doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM {docs}),
 item AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
@@ -62,15 +69,19 @@ windows AS (
 widths AS (SELECT DISTINCT width FROM windows),
 starts AS (
   SELECT doc_id, words, width, unnest(range(len(words) - width + 1)) AS s FROM doc, widths WHERE len(words) >= width),
-found AS (
+occurrences AS (
   SELECT d.doc_id, w.item_id, d.s, d.width
   FROM starts d JOIN windows w
     ON w.width = d.width AND w.phrase = array_to_string(d.words[d.s + 1 : d.s + d.width], ' ')),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
-  SELECT doc_id, unnest(range(s, s + width)) AS p FROM found) GROUP BY doc_id),
+  SELECT doc_id, unnest(range(s, s + width)) AS p FROM occurrences) GROUP BY doc_id),
 ids AS (
   SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS list
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM found) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM occurrences) GROUP BY doc_id)"""
+
+
+PHRASES = f"""
+WITH {phrase_hits('documents').strip()}
 SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
        coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(i.list, '')) AS items_sha256,
        coalesce(h.n, 0) > 0 AS contaminated
@@ -228,6 +239,37 @@ WITH {judged('documents').strip()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged
 """
 
+# The stages one after the other; repeated rows of one document stay in one shard.
+PIPELINE = rf"""
+WITH RECURSIVE {judged('documents').strip()},
+passed AS (SELECT doc_id, text, lang, source, n_chars FROM judged WHERE kept),
+{classes('passed').strip()},
+single AS (
+  SELECT p.* FROM passed p JOIN found f ON coalesce(p.text, '') = f.text AND p.doc_id = f.id
+  WHERE f.class_id = f.id),
+{phrase_hits('single').strip()},
+clean AS (SELECT * FROM single WHERE doc_id NOT IN (SELECT doc_id FROM hits)),
+{mixed('clean').strip()},
+parts AS (
+  SELECT *, greatest(0, least(size, rest - before)) AS part,
+         regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS pieces
+  FROM running WHERE size > 0),
+taken AS (
+  SELECT doc_id, text, lang, source, n_chars FROM (
+    SELECT *, unnest(range((whole + CASE WHEN part = size THEN 1 ELSE 0 END)::BIGINT)) FROM parts)
+  UNION ALL
+  SELECT doc_id, t, lang, source, length(t) FROM (
+    SELECT *, array_to_string(pieces[1 : part], '') AS t FROM parts WHERE part > 0 AND part < size)),
+keyed AS (SELECT *, strlen(text) + 1 AS bytes, substr(md5(text), 1, 15) AS h FROM taken),
+keys AS (SELECT h, doc_id, sum(bytes) AS bytes FROM keyed GROUP BY h, doc_id),
+borders AS (
+  SELECT h, doc_id, ((sum(bytes) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - bytes) * 8
+    // sum(bytes) OVER ())::INTEGER AS shard FROM keys)
+SELECT doc_id, text, lang, source, n_chars, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot
+FROM keyed JOIN borders USING (h, doc_id)
+"""
+
 ORACLES = {
     "op1_histogram_shards": SHARDS,
     "op3_mix_sources": MIX,
