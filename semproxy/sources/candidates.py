@@ -69,19 +69,30 @@ def sentiment_label(sentiment: Column) -> Column:
     return label.otherwise(F.raise_error(message).cast("int"))
 
 
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some quoted value holds a line break: then a line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_labeled_csv(
     spark: SparkSession,
     path: str,
     text_col: str = "reviewText",
     sentiment_col: str = "scoreSentiment",
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """``(row_index, text, label)`` with 0-based positions in file order.
 
+    Files are split among tasks where no quoted value spans lines; by default one scan of the lines
+    looks for that. ``multi_line`` True makes a file one task, whatever its size.
+
     A task reads each file block from its start, so a row's position is the start of its block
     (rows of all earlier blocks) plus its offset inside the block. The parsed rows are written
     once, so both parts see the same numbering.
     """
+    if multi_line is None:
+        multi_line = spans_lines(spark, path)
     reader = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)

@@ -139,3 +139,22 @@ def test_checkpoint_folder_is_named_or_local(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Session())
     assert session.checkpoint_dir(spark)
+
+
+def test_csv_is_split_only_where_no_value_spans_lines(spark, tmp_path):
+    from semproxy.sources.candidates import spans_lines
+
+    (tmp_path / "flat.csv").write_text('reviewText,scoreSentiment\n"a ""b"", c",POSITIVE\nd,NEGATIVE\n')
+    (tmp_path / "deep.csv").write_text('reviewText,scoreSentiment\n"a\nb",POSITIVE\nd,NEGATIVE\n')
+    assert not spans_lines(spark, str(tmp_path / "flat.csv"))
+    assert spans_lines(spark, str(tmp_path / "deep.csv"))
+    for name, first in (("flat", 'a "b", c'), ("deep", "a\nb")):
+        rows = read_labeled_csv(spark, str(tmp_path / f"{name}.csv")).orderBy("row_index").collect()
+        assert [r["text"] for r in rows] == [first, "d"]
+
+
+def test_files_count_by_the_numbers_in_their_names(spark, tmp_path):
+    for number in (99999, 100000, 7):
+        (tmp_path / f"part-{number}.csv").write_text(f"reviewText,scoreSentiment\nt{number},POSITIVE\n")
+    rows = read_labeled_csv(spark, str(tmp_path)).orderBy("row_index").collect()
+    assert [r["text"] for r in rows] == ["t7", "t99999", "t100000"]
