@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from semproxy.llm.quality import RULES
+from semproxy.llm.quality import RULES, RiskControl
 
 def mixed(docs: str) -> str:
     """CTEs up to ``running``: water-filling in closed form, sources sorted by the level at which
@@ -219,7 +219,7 @@ tested AS (
   SELECT stratum, rule, place, cutoff, count(*) AS n, count(*) FILTER (score > cutoff) AS k
   FROM scored JOIN grid USING (rule) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)
   GROUP BY ALL),
-level AS (SELECT 0.05::DOUBLE / count(*) AS delta, 0.01::DOUBLE / {len(RULES)} AS a FROM (SELECT DISTINCT stratum, rule FROM tested)),
+level AS (SELECT {RiskControl().delta}::DOUBLE / count(*) AS delta, {RiskControl().alpha}::DOUBLE / {len(RULES)} AS a FROM (SELECT DISTINCT stratum, rule FROM tested)),
 tails AS (
   SELECT tested.*, delta, CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
     exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(a) + (n - i) * ln(1 - a)))) END AS p

@@ -33,7 +33,7 @@ MAX_REPEAT_PERCENT = 30
 class RiskControl:
     """``alpha``: allowed share of good documents lost per stratum; ``delta``: error level."""
 
-    alpha: float = 0.01
+    alpha: float = 0.02
     delta: float = 0.05
 
 

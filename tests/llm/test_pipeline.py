@@ -59,13 +59,14 @@ def kept_by_quality(rows, labels):
         }[rule]
 
     strata = {r[2] or "" for r, _ in passed if r[0] in good}
-    level = 0.05 / (len(strata) * len(quality.RULES))
+    control = quality.RiskControl()
+    level = control.delta / (len(strata) * len(quality.RULES))
     cuts = {}
     for stratum in strata:
         mine = [f for r, f in passed if r[0] in good and (r[2] or "") == stratum]
         for rule, (_, grid) in quality.RULES.items():
             above = [sum(score(rule, f) > c for f in mine) for c in grid]
-            cuts[stratum, rule] = quality.choose_cutoff(grid, above, len(mine), 0.01 / len(quality.RULES), level)
+            cuts[stratum, rule] = quality.choose_cutoff(grid, above, len(mine), control.alpha / len(quality.RULES), level)
     return [
         r for r, f in passed
         if all(cuts.get((r[2] or "", rule)) is None or score(rule, f) <= cuts[r[2] or "", rule] for rule in quality.RULES)
