@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from semproxy.operators import training
+from semproxy.operators.propagation import ClusterPropagation
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -55,18 +57,48 @@ def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
 
 
+def said(rows):
+    return sorted([normal(r[c]) for c in sorted(r.asDict())] for r in rows)
+
+
+def expected(database, name):
+    """Types and rows of the oracle, in the order of column names."""
+    answer = database.execute(ORACLES[name])
+    columns = [c[0] for c in answer.description]
+    kinds = {c[0]: str(c[1]) for c in answer.description}
+    rows = [[normal(v) for _, v in sorted(zip(columns, r), key=lambda p: p[0])] for r in answer.fetchall()]
+    return kinds, sorted(rows)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(results, database, name):
     types, rows = results[name].result()
     assert rows
     if name not in ORACLES:
         return
-    answer = database.execute(ORACLES[name])
-    columns = [c[0] for c in answer.description]
-    kinds = {c[0]: str(c[1]) for c in answer.description}
+    kinds, values = expected(database, name)
     assert {n: TYPES[t] for n, t in types} == kinds
-    expected = sorted([normal(v) for _, v in sorted(zip(columns, r), key=lambda p: p[0])] for r in answer.fetchall())
-    assert sorted([normal(r[c]) for c in sorted(columns)] for r in rows) == expected
+    assert said(rows) == values
+
+
+def first_model(models, weighted=False):
+    return models.limit(1)
+
+
+@pytest.mark.parametrize(
+    "name, place, broken",
+    [
+        ("gc2", (ClusterPropagation, "build"), lambda self, direct, pool, partition: direct),
+        ("lc2", (ClusterPropagation, "build"), lambda self, direct, pool, partition: direct),
+        ("lc3", (training, "average_models"), first_model),
+        ("lc4", (training, "average_models"), first_model),
+        ("federated_train", (training, "average_models"), first_model),
+    ],
+)
+def test_oracles_notice_a_broken_step(spark, database, monkeypatch, name, place, broken):
+    """Labels not spread, or models not averaged, give other rows than the oracle."""
+    monkeypatch.setattr(*place, broken)
+    assert said(QUERIES[name](spark, SF_DIR).collect()) != expected(database, name)[1]
 
 
 def test_entry(spark):
