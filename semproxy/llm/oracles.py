@@ -88,19 +88,37 @@ SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_
 FROM doc d LEFT JOIN hits h USING (doc_id) LEFT JOIN ids i USING (doc_id)
 """
 
-# Borders at exact byte shares; a CRC table of 256 entries from its polynomial.
-SHARDS = r"""
+def borders(keys: str) -> str:
+    """CTEs up to ``placed``: the shard of every key of ``keys(h, doc_id, size)``. A border is exact
+    or lies at the nearer edge of a group of equal hashes, if that is near enough."""
+    return f"""
+totals AS (SELECT sum(size)::BIGINT AS total, floor(0.02::DOUBLE * sum(size) / 8)::BIGINT * 8 AS near FROM {keys}),
+groups AS (
+  SELECT h, sum(size) AS size, sum(sum(size)) OVER (ORDER BY h ROWS UNBOUNDED PRECEDING) - sum(size) AS before
+  FROM {keys} GROUP BY h),
+edges AS (
+  SELECT i, i * total - before * 8 AS short, (before + size) * 8 - i * total AS long, before, size, total, near
+  FROM groups, totals, range(1, 8) r(i) WHERE before * 8 < i * total AND (before + size) * 8 >= i * total),
+marks AS (
+  SELECT CASE WHEN least(short, long) > near THEN i * total WHEN short < long THEN before * 8
+    ELSE (before + size) * 8 END AS mark FROM edges),
+ordered AS (
+  SELECT h, doc_id, sum(size) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM {keys}),
+placed AS (
+  SELECT h, doc_id, (SELECT count(*) FROM marks WHERE ordered.before * 8 >= mark)::INTEGER AS shard FROM ordered)"""
+
+
+# A CRC table of 256 entries from its polynomial.
+SHARDS = rf"""
 WITH crc_table AS (SELECT list(v ORDER BY n) AS t FROM (
   SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
     lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END) AS v
   FROM (SELECT unnest(range(256)) AS n))),
-sized AS (
+measured AS (
   SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, text,
          substr(md5(coalesce(text, '')), 1, 15) AS h FROM documents),
-placed AS (
-  SELECT *, sum(size) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS before,
-         sum(size) OVER () AS total FROM sized),
-sharded AS (SELECT *, (before * 8 // total)::INTEGER AS shard FROM placed)
+{borders('measured').strip()},
+sharded AS (SELECT * FROM measured JOIN placed USING (h, doc_id))
 SELECT doc_id, size,
   CASE WHEN text IS NOT NULL THEN xor(4294967295::BIGINT, list_reduce(
     list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'),
@@ -261,13 +279,11 @@ taken AS (
   SELECT doc_id, t, lang, source, length(t) FROM (
     SELECT *, array_to_string(pieces[1 : part], '') AS t FROM parts WHERE part > 0 AND part < size)),
 keyed AS (SELECT *, strlen(text) + 1 AS bytes, substr(md5(text), 1, 15) AS h FROM taken),
-keys AS (SELECT h, doc_id, sum(bytes) AS bytes FROM keyed GROUP BY h, doc_id),
-borders AS (
-  SELECT h, doc_id, ((sum(bytes) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - bytes) * 8
-    // sum(bytes) OVER ())::INTEGER AS shard FROM keys)
+keys AS (SELECT h, doc_id, sum(bytes)::BIGINT AS size FROM keyed GROUP BY h, doc_id),
+{borders('keys').strip()}
 SELECT doc_id, text, lang, source, n_chars, shard,
        row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot
-FROM keyed JOIN borders USING (h, doc_id)
+FROM keyed JOIN placed USING (h, doc_id)
 """
 
 ORACLES = {

@@ -6,6 +6,9 @@ intervals that still hold a wanted border, and so the exact bytes below every pr
 around each border shrinks until the border is within its tolerance or one key is left. Then rows
 are exchanged once: the borders of shards, and of equal parts inside them, say which task gets a
 row, and the counted rows below them make the row numbers inside a shard gapless.
+
+A group of equal texts is one hash. A border that falls into a group moves to the nearer edge of the
+group if that is within the tolerance, so only groups too large for it are parted, by ``doc_id``.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ class Cell:
     size: int
     rows: int
     hash: int | None = None
+    whole: bool = False  # all rows of one hash
 
     @property
     def last_key(self) -> tuple[int, int]:
@@ -53,11 +57,14 @@ class Border:
 
 @dataclass
 class Search:
-    """The cells around each target, refined pass by pass."""
+    """The cells around each target, refined pass by pass.
+
+    ``slack`` holds, per target, the bytes by which the end of any cell and the edge of a group of
+    equal texts may miss it."""
 
     total: int
     parts: int
-    slack: dict[int, int]
+    slack: dict[int, tuple[int, int]]
     cells: dict[int, Cell] = field(default_factory=dict)
     found: dict[int, Border] = field(default_factory=dict)
 
@@ -71,15 +78,19 @@ class Search:
             if not self.below(target, cell.bytes_before):
                 break
             crossing = cell
-        before, after = crossing.bytes_before, crossing.bytes_before + crossing.size
-        miss = abs(after * self.parts - target * self.total)
+        short = target * self.total - crossing.bytes_before * self.parts
+        long = crossing.size * self.parts - short
+        loose, group = (bytes_ * self.parts for bytes_ in self.slack[target])
+        at_edge = crossing.whole and min(short, long) <= group
         single = crossing.hash is not None and crossing.low == crossing.high
-        if single or miss <= self.slack[target] * self.parts:
+        if at_edge and short < long:
+            self.found[target] = Border((crossing.hash - 1, LARGEST), crossing.rows_before)
+        elif at_edge or single or long <= loose:
             self.found[target] = Border(crossing.last_key, crossing.rows_before + crossing.rows)
-            self.cells.pop(target, None)
         else:
-            assert self.below(target, before)
             self.cells[target] = crossing
+            return
+        self.cells.pop(target, None)
 
 
 def size_bytes(text: Column) -> Column:
@@ -123,7 +134,7 @@ def _cells(rows: list, bits: int, around: Cell | None) -> list[Cell]:
         if around is not None and around.hash is not None:
             cell = Cell(row["low_d"], row["high_d"], 0, 0, 0, 0, around.hash)
         elif row["low_h"] == row["high_h"]:
-            cell = Cell(row["low_d"], row["high_d"], 0, 0, 0, 0, row["low_h"])
+            cell = Cell(row["low_d"], row["high_d"], 0, 0, 0, 0, row["low_h"], whole=True)
         else:
             cell = Cell(row["place"] << bits, ((row["place"] + 1) << bits) - 1, 0, 0, 0, 0)
         cell.bytes_before, cell.rows_before = size_before, rows_before
@@ -137,7 +148,8 @@ def find_borders(keys: DataFrame, shards: int, parts: int, tolerance: float) ->
     """``parts - 1`` borders that cut ``keys(h, d, size)`` into parts of near equal bytes.
 
     ``parts`` is a multiple of ``shards``. A border of a shard may miss its share by ``tolerance``
-    of a shard, one inside a shard by a twentieth of a part. The driver sees the counts of the
+    of a shard to keep a group of equal texts whole and is exact otherwise; one inside a shard may
+    miss it by a twentieth of a part. The driver sees the counts of the
     probed intervals only: some hundreds per border and pass."""
     spark = keys.sparkSession
     first = _cells(
@@ -148,7 +160,7 @@ def find_borders(keys: DataFrame, shards: int, parts: int, tolerance: float) ->
     total = sum(cell.size for cell in first)
     per_shard = parts // shards
     slack = {
-        i: int(tolerance * total / shards) if i % per_shard == 0 else total // parts // 20
+        i: (0, int(tolerance * total / shards)) if i % per_shard == 0 else (total // parts // 20,) * 2
         for i in range(1, parts)
     }
     search = Search(total, parts, slack)
@@ -190,13 +202,13 @@ def find_borders(keys: DataFrame, shards: int, parts: int, tolerance: float) ->
     return [search.found[i] for i in range(1, parts)]
 
 
-def shard_rows(docs: DataFrame, shards: int, tolerance: float = 0.0) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int, tolerance: float = 0.02) -> DataFrame:
     """``docs`` with ``shard`` and ``slot`` (row number inside the shard, from 0).
 
-    Shards hold near equal bytes (text plus one per row): with ``tolerance`` 0 the borders are
-    exact, so shard i begins at the first key with at least i shares of all bytes before it. Equal
-    texts are neighbours and are parted only where a border falls among them, by ``doc_id``. Null
-    texts count as empty ones; null ids come first. Rows equal in text and id stay in one shard, in
+    Shards hold near equal bytes (text plus one per row). A border lies at its exact share, that is
+    before the first key with so many bytes before it, or at the nearer edge of the group of equal
+    texts it falls into if that misses the share by at most ``tolerance`` of a shard. Null texts
+    count as empty ones; null ids come first. Rows equal in text and id stay in one shard, in
     no fixed order. An empty table gives no rows. Existing columns named ``shard`` or ``slot`` are
     replaced, other columns are kept whatever their names."""
     spark = docs.sparkSession
