@@ -469,7 +469,8 @@ def remove_repeats(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     answers = answer_keys(send_keys(blocks, buckets))
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "repeated")).alias("answers"))
     columns = ["block", "ids", "known", "lengths", "texts"]
-    asked = blocks.select(*columns).join(answers, "block").select(*columns, "answers")
+    # Both joins with the blocks ask for the same exchange of their texts, which Spark reuses.
+    asked = blocks.select(*columns).join(answers, "block", "left").select(*columns, "answers")
     owned = find_owners(send_pieces(asked, buckets))
     owned = owned.groupBy("block").agg(F.collect_list("owned").alias("owned"))
     ready = blocks.select(*columns).join(owned, "block", "left").select(*columns, "owned")
