@@ -4,6 +4,10 @@ A rolling hash over the hashes of the last lines decides after each line whether
 so the same run of lines is cut alike wherever it stands, and lines put in before it shift nothing.
 Chunks of several lines whose hash is found again anywhere are compared byte by byte; of equal ones
 the first by document id and place stays, and the lines of the others are removed.
+
+With ``Chunking.whole`` all pairs of neighbouring lines are compared in the same way in place of the
+chunks, so that a repeated run of two or more lines goes wholly, wherever chunks are cut in and
+around it. Every removed line has an equal one that stays before it.
 """
 
 from __future__ import annotations
@@ -26,10 +30,13 @@ LAST = (1 << 63) - 1
 
 @dataclass(frozen=True)
 class Chunking:
-    """``window`` lines feed the rolling hash; one line in ``spacing`` ends a chunk on average."""
+    """``window`` lines feed the rolling hash; one line in ``spacing`` ends a chunk on average.
+
+    ``whole`` compares pairs of neighbouring lines instead of chunks."""
 
     window: int = 2
     spacing: int = 3
+    whole: bool = False
 
 
 def chunk_lines(lines: list[bytes], how: Chunking) -> list[tuple[int, int]]:
@@ -59,6 +66,18 @@ def repeatable(lines: list[bytes]) -> bool:
     return sum(1 for line in lines if line.strip()) > 1
 
 
+def line_pairs(lines: list[bytes]) -> list[tuple[int, int]]:
+    """``[first, end)`` of every two neighbouring lines with more than white space, and what is
+    between them."""
+    full = [i for i, line in enumerate(lines) if line.strip()]
+    return [(first, last + 1) for first, last in zip(full, full[1:])]
+
+
+def compared(lines: list[bytes], how: Chunking) -> list[tuple[int, int]]:
+    """The runs of lines that are looked for elsewhere."""
+    return line_pairs(lines) if how.whole else chunk_lines(lines, how)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``(id, copy, text)``: null ids come last; ``copy`` tells apart texts under one id."""
     return docs.select(
@@ -73,14 +92,14 @@ def _signed(value: int) -> int:
 
 
 def chunk_hashes(rows: DataFrame, how: Chunking) -> DataFrame:
-    """``(id, copy, chunk, hash)`` of all chunks of several lines."""
+    """``(id, copy, chunk, hash)`` of all chunks of several lines, or of all pairs."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, number, hashes = [], [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
                 lines = text_lines(text)
-                for chunk, (first, end) in enumerate(chunk_lines(lines, how)):
+                for chunk, (first, end) in enumerate(compared(lines, how)):
                     if repeatable(lines[first:end]):
                         owner.append(row)
                         number.append(chunk)
@@ -96,7 +115,7 @@ def chunk_hashes(rows: DataFrame, how: Chunking) -> DataFrame:
 
 
 def repeated_chunks(rows: DataFrame, how: Chunking) -> DataFrame:
-    """``(id, copy, chunks)``: numbers of the chunks of a document to be removed.
+    """``(id, copy, chunks)``: numbers of the chunks, or pairs, of a document to be removed.
 
     Hashes of all chunks are counted before the shuffle; only the text of chunks with a repeated
     hash travels to be compared, grouped by hash and bytes."""
@@ -110,29 +129,33 @@ def repeated_chunks(rows: DataFrame, how: Chunking) -> DataFrame:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, number, found = [], [], []
+            owner, number, starts, ends, found = [], [], [], [], []
             texts, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for row, text in enumerate(texts):
                 lines = text_lines(text)
-                chunks = chunk_lines(lines, how)
+                chunks = compared(lines, how)
                 for chunk in wanted[row]:
                     first, end = chunks[chunk]
                     owner.append(row)
                     number.append(chunk)
+                    starts.append(first)
+                    ends.append(end)
                     found.append(b"\n".join(lines[first:end]))
             taken = pa.array(owner, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(taken), batch.column(1).take(taken),
-                 pa.array(number, pa.int32()), pa.array(found, pa.binary())],
-                names=["id", "copy", "chunk", "bytes"],
+                 pa.array(number, pa.int32()), pa.array(starts, pa.int32()),
+                 pa.array(ends, pa.int32()), pa.array(found, pa.binary())],
+                names=["id", "copy", "chunk", "start", "end", "bytes"],
             )
 
-    found = texts.mapInArrow(extract, "id long, copy long, chunk int, bytes binary")
+    found = texts.mapInArrow(extract, "id long, copy long, chunk int, start int, end int, bytes binary")
     found = written(found.withColumn("hash", F.xxhash64("bytes")), "chunk-bytes")
-    place = F.struct("id", "copy", "chunk")
+    place = F.struct("id", "copy", "start", "end")
     first = found.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    # Runs that share lines with the first one are part of it.
     again = found.join(first.where("n > 1").select("hash", "bytes", "first"), ["hash", "bytes"]).where(
-        place != F.col("first")
+        "id != first.id OR copy != first.copy OR start >= first.end"
     )
     return written(
         again.groupBy("id", "copy").agg(F.sort_array(F.collect_set("chunk")).alias("chunks")), "chunk-removed"
@@ -160,15 +183,16 @@ def dedup_lines(docs: DataFrame, how: Chunking = Chunking()) -> DataFrame:
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            texts, gone = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for text, chunks in zip(texts, gone):
+            texts, numbers = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for text, chunks in zip(texts, numbers):
                 lines = text_lines(text)
                 cut = chunk_lines(lines, how)
                 kept, n_removed = lines, 0
                 if chunks:
-                    drop = set(chunks)
-                    kept = [x for i, (a, b) in enumerate(cut) if i not in drop for x in lines[a:b]]
-                    n_removed = len(drop)
+                    runs = compared(lines, how)
+                    gone = {i for chunk in chunks for i in range(*runs[chunk])}
+                    kept = [line for i, line in enumerate(lines) if i not in gone]
+                    n_removed = sum(gone.issuperset(range(a, b)) for a, b in cut)
                 joined = b"\n".join(kept)
                 rows.append((joined, len(lines), len(cut), n_removed, len(lines) - len(kept)))
             columns = list(zip(*rows)) if rows else [()] * 5

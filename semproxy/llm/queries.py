@@ -62,7 +62,7 @@ def op5_license_scan(spark, sf_dir):
 
 @query
 def op2_line_chunks(spark, sf_dir):
-    return line_chunks.line_report(documents(spark, sf_dir))
+    return line_chunks.line_report(documents(spark, sf_dir), line_chunks.Chunking(whole=True))
 
 
 @query

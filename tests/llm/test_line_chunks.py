@@ -69,3 +69,48 @@ def test_many_copies_and_a_common_passage(spark):
     assert sorted(found(docs)) == sorted(plain(rows))
     removed = {r[0]: r[2] for r in found(docs)}
     assert removed[0] == 0 and all(removed[i] >= 15 for i in range(1, 200))
+
+
+def test_whole_passages_go_up_to_their_edges(spark):
+    rng = random.Random(9)
+    rows, passages = [], []
+    for length in (2, 2, 3, 4, 5, 9, 10, 30):
+        passages.append([f"passage {rng.random()}" for _ in range(length)])
+    for i in range(300):
+        lines = [f"own {i} {k} {rng.random()}" for k in range(rng.randint(2, 6))]
+        at = rng.randint(0, len(lines))
+        rows.append((i, "\n".join(lines[:at] + passages[i % 8] + lines[at:])))
+    rows.append((900, "one\n\none\none\none"))
+    rows.append((901, "passage alone\nlast"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    how = line_chunks.Chunking(whole=True)
+    kept = {r["doc_id"]: r["kept"].decode().split("\n") for r in line_chunks.dedup_lines(docs, how).collect()}
+    first = set()
+    for i, text in rows[:300]:
+        wanted = text.split("\n")
+        if i % 8 in first:
+            wanted = [line for line in wanted if line.startswith("own")]
+        first.add(i % 8)
+        assert kept[i] == wanted
+    assert kept[901] == ["passage alone", "last"]
+    # The pair of lines 2 and 3 is the first; the one after it shares a line with it.
+    assert kept[900] == ["one", "", "one", "one", "one"]
+
+
+def test_whole_runs_found_by_all_pairs(odd):
+    rows = [r for r in odd_rows() if r[0] is not None]
+    texts = sorted({(r[0], r[1] or "") for r in rows})
+    # Copies of one id are told apart by hashes, so only ids with one text say which is first.
+    ids = [i for i, _ in texts]
+    single = [(i, t) for i, t in texts if ids.count(i) == 1]
+    docs = odd.where("doc_id IS NOT NULL").where(f"doc_id IN ({','.join(str(i) for i, _ in single)})")
+    seen, wanted = {}, {}
+    for i, text in single:
+        lines, gone = line_chunks.text_lines(text.encode()), set()
+        for a, b in line_chunks.line_pairs(lines):
+            at = seen.setdefault(tuple(lines[a:b]), (i, b))
+            if at[0] != i or a >= at[1]:
+                gone.update(range(a, b))
+        wanted[i] = b"\n".join(x for k, x in enumerate(lines) if k not in gone)
+    found = line_chunks.dedup_lines(docs, line_chunks.Chunking(whole=True)).collect()
+    assert {r["doc_id"]: bytes(r["kept"]) for r in found} == wanted
