@@ -2,10 +2,10 @@
 
 A tokenizer cuts a text into pre-tokens and encodes each alone, so counts add up. The leaves of a
 document's tree are runs of pre-tokens with their place and token count, the inner nodes are sums.
-An edit touches few leaves: from the leaf that ends before the white space around the edit, the new
-text is cut again until a cut falls on an old leaf start beyond the edit. A pre-token depends only
-on the text from its start on, so everything after that cut is unchanged; the counts of the touched
-leaves are replaced and the sums above them updated.
+An edit touches few leaves: from the leaf that holds the third character before the white space
+around the edit, the new text is cut again until a cut falls on an old leaf start beyond the edit. A
+pre-token depends only on the text from its start on, so everything after that cut is unchanged; the
+counts of the touched leaves are replaced and the sums above them updated.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ PATTERN = (
     r"| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 LEAF = 64
+REACH = 3
 
 EDITS = "array<struct<start:bigint,end:bigint,text:string>>"
 TREE = "leaves array<int>, sums array<long>"
@@ -121,7 +122,8 @@ def apply_edits(
         context = start
         while context and text[context - 1].isspace():
             context -= 1
-        leaf = int(np.searchsorted(tree.leaves, max(context - 1, 0), "right")) - 1
+        # Up to three characters before may be the start of a contraction that the edit completes.
+        leaf = int(np.searchsorted(tree.leaves, max(context - REACH, 0), "right")) - 1
         marks.append((leaf, end + shift + len(added) - (end - start), shift + len(added) - (end - start)))
         shift = marks[-1][2]
     new_text = "".join([*parts, text[at:]])

@@ -89,3 +89,22 @@ def test_trees_survive_a_table_and_null_edits(odd, whole, tmp_path):
     for row in token_counts.edit_trees(trees.withColumn("edits", none), VOCABULARY).collect():
         assert row["tokens"] == row["tokens_before"] == whole(row["text"]) and row["recut"] == 0
         assert np.all(np.diff(row["leaves"]) >= 0)
+
+
+def test_edits_complete_contractions_at_leaf_borders(counter, whole, monkeypatch):
+    text = "a" + " b" * 62 + " we'l"
+    for before, added in ((text, "l"), (text[:-1] + "r", "e"), (text[:-1] + "v", "e")):
+        tree = token_counts.TokenTree.build(counter, before)
+        new, changed, _ = token_counts.apply_edits(counter, before, tree, [(len(before), len(before), added)])
+        assert new == before + added and changed.tokens == whole(new)
+    monkeypatch.setattr(token_counts, "LEAF", 2)
+    rng = random.Random(17)
+    pieces = ["'", "r", "l", "e", "v", "'s", "a", " ", "  ", "1", "!", " we'l", "\n"]
+    for _ in range(6000):
+        text = "".join(rng.choices(pieces, k=rng.randint(0, 40)))
+        tree = token_counts.TokenTree.build(counter, text)
+        start = rng.randint(0, len(text))
+        edit = {"start": start, "end": start + rng.choice([0, 1, 1, 2]), "text": rng.choice(["", "l", "e", "ll", "'", " "])}
+        tidy = token_counts.tidy_edits([edit], len(text))
+        new, changed, _ = token_counts.apply_edits(counter, text, tree, tidy)
+        assert new == edited(text, tidy) and changed.tokens == whole(new), (text, tidy)
