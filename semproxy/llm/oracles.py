@@ -286,6 +286,44 @@ SELECT doc_id, text, lang, source, n_chars, shard,
 FROM keyed JOIN placed USING (h, doc_id)
 """
 
+# Sketches of 128 hashes of five words; the next document is the one with the next smaller id.
+FINGERPRINTS = r"""
+WITH edited AS (
+  SELECT doc_id, text, substr(text, 1, length(text) - length(text) // 3) || substr(next, 1, length(text) // 3) AS edited
+  FROM (SELECT doc_id, coalesce(text, '') AS text,
+          coalesce(lead(text) OVER falling, first_value(text) OVER falling, '') AS next
+        FROM documents WINDOW falling AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))),
+cut AS (
+  SELECT doc_id, which, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM (SELECT doc_id, 0 AS which, text AS t FROM edited UNION ALL SELECT doc_id, 1, edited FROM edited)),
+hashes AS (
+  SELECT DISTINCT doc_id, which, substr(md5(array_to_string(words[s : s + 4], ' ')), 1, 16) AS h
+  FROM (SELECT doc_id, which, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS s FROM cut WHERE len(words) > 0)),
+kept AS (
+  SELECT doc_id, which, list(h ORDER BY h) AS hs
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, which ORDER BY h) AS place FROM hashes) WHERE place <= 128
+  GROUP BY doc_id, which),
+sketches AS (
+  SELECT e.doc_id, e.text, e.edited, coalesce(a.hs, []) AS a, coalesce(b.hs, []) AS b
+  FROM edited e LEFT JOIN kept a ON a.doc_id = e.doc_id AND a.which = 0
+  LEFT JOIN kept b ON b.doc_id = e.doc_id AND b.which = 1),
+neighbours AS (
+  SELECT *, coalesce(lead(a) OVER falling, first_value(a) OVER falling) AS c FROM sketches
+  WINDOW falling AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+unions AS (
+  SELECT *, list_sort(list_distinct(a || b))[1 : 128] AS ab, list_sort(list_distinct(a || c))[1 : 128] AS ac FROM neighbours)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+  array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+  CASE WHEN len(ab) = 0 THEN 1.0::DOUBLE
+    ELSE len(list_filter(ab, lambda x: list_contains(a, x) AND list_contains(b, x)))::DOUBLE / len(ab) END AS near_edited,
+  CASE WHEN len(ac) = 0 THEN 1.0::DOUBLE
+    ELSE len(list_filter(ac, lambda x: list_contains(a, x) AND list_contains(c, x)))::DOUBLE / len(ac) END AS near_next,
+  CASE WHEN len(a) < 128 THEN len(a)::DOUBLE
+    ELSE 127.0::DOUBLE * 4503599627370496.0::DOUBLE / greatest(('0x' || substr(a[128], 1, 13))::BIGINT, 1)::DOUBLE END AS n_shingles
+FROM unions
+"""
+
 ORACLES = {
     "op1_histogram_shards": SHARDS,
     "op3_mix_sources": MIX,
@@ -293,4 +331,5 @@ ORACLES = {
     "op7_ngram_join": JOIN,
     "op8_benchmark_phrases": PHRASES,
     "op9_quality_rules": QUALITY,
+    "op11_document_fingerprints": FINGERPRINTS,
 }

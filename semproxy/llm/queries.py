@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from semproxy.llm import (
     decontaminate,
+    fingerprints,
     licenses,
     line_chunks,
     mixing,
@@ -84,3 +85,8 @@ def op8_benchmark_phrases(spark, sf_dir):
 @query
 def op6_suffix_dedup(spark, sf_dir):
     return suffix_dedup.repeat_report(documents(spark, sf_dir))
+
+
+@query
+def op11_document_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_report(documents(spark, sf_dir))
