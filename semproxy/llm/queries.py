@@ -13,7 +13,9 @@ from semproxy.llm import (
     line_chunks,
     mixing,
     ngram_join,
+    prefix_trie,
     quality,
+    repair,
     secrets,
     sharding,
     suffix_dedup,
@@ -36,6 +38,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
 @query
 def op1_histogram_shards(spark, sf_dir):
     return sharding.shard_report(documents(spark, sf_dir))
@@ -90,3 +96,13 @@ def op6_suffix_dedup(spark, sf_dir):
 @query
 def op11_document_fingerprints(spark, sf_dir):
     return fingerprints.fingerprint_report(documents(spark, sf_dir))
+
+
+@query
+def op12_conversation_trie(spark, sf_dir):
+    return prefix_trie.trie_report(conversations(spark, sf_dir))
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    return repair.repair_report(conversations(spark, sf_dir))
