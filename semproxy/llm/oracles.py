@@ -324,6 +324,126 @@ SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
 FROM unions
 """
 
+# A CRC table of 256 entries from its polynomial, and the CRC of the UTF-8 bytes of a text with it.
+CRC_TABLE = """crc_table AS (SELECT list(v ORDER BY n) AS t FROM (
+  SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END) AS v
+  FROM (SELECT unnest(range(256)) AS n)))"""
+
+
+def crc(text: str) -> str:
+    return f"""xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)),
+      lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)))"""
+
+
+# Paths are the digests of the turns one after the other, 32 digits each.
+TRIE = f"""
+WITH {CRC_TABLE},
+turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS tid,
+    strlen(coalesce(text, '')) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, {crc('c::VARCHAR')} % 9 AS h FROM (SELECT DISTINCT c FROM turns), crc_table),
+rebuilt AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS depth, tid, bytes FROM (
+    SELECT v.c, 0 AS part, b.pos, b.tid, b.bytes FROM convs v JOIN turns b ON b.c = v.c - v.c % 5 WHERE b.pos < v.h
+    UNION ALL
+    SELECT v.c, 1, o.pos, o.tid, o.bytes FROM convs v JOIN turns o ON o.c = v.c WHERE o.pos >= v.h)),
+members AS (
+  SELECT c, depth, bytes, string_agg(tid, '') OVER (PARTITION BY c ORDER BY depth) AS path FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+nodes AS (
+  SELECT path, depth, min(c) AS conv_id, count(*) AS n, max(bytes) AS bytes FROM members GROUP BY path, depth),
+tree AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, count(k.path) AS children
+  FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, (n.depth - 1) * 32)
+  LEFT JOIN nodes k ON k.depth = n.depth + 1 AND left(k.path, n.depth * 32) = n.path
+  GROUP BY ALL),
+above AS (
+  SELECT left(path, d * 32) AS path, sum((n - 1) * bytes)::BIGINT AS saved, count(*) FILTER (children = 0) AS leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM tree) GROUP BY 1),
+ends AS (
+  SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids
+  FROM (SELECT * FROM members QUALIFY row_number() OVER (PARTITION BY c ORDER BY depth DESC) = 1) GROUP BY path)
+SELECT conv_id, depth, parent_conv_id, n AS n_convs, children AS n_children, leaves AS n_leaves,
+  saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM tree JOIN above USING (path) LEFT JOIN ends USING (path)
+"""
+
+
+def _edited(state: str, cost: str, letter: str, line: str = "") -> str:
+    """A way of a repair with one more edit, NULL where there is no way to ``state``."""
+    lines = f"{state}.lines || [{line}]" if line else f"{state}.lines"
+    way = f"{{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letter}', 'lines': {lines}}}"
+    return f"CASE WHEN {state} IS NOT NULL THEN {way} END"
+
+
+def _best(*ways: str) -> str:
+    """The cheapest way, of equal ones that with the least audit."""
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+
+def _live(state: str, initial: str, role: str) -> tuple[str, str]:
+    """A row kept, if it has the ``initial``, or turned to ``role``."""
+    keep = _edited(state, "extra", "K", "role || ':' || text")
+    turn = _edited(state, "(extra + 3)", "R", f"'{role}:' || text")
+    return f"CASE WHEN live AND initial = '{initial}' THEN {keep} END", f"CASE WHEN live THEN {turn} END"
+
+
+def _ways(states: str) -> str:
+    """``states`` 0 to 3: nothing yet, after system, user, assistant; then turns are put in."""
+    user = _best("n2", *[_edited(f"n{q}", "3", "I", "'user:'") for q in (0, 1, 3)])
+    put = f"SELECT conv_id, i, n0 AS s0, n1 AS s1, {user} AS s2, n3 FROM ({states})"
+    return f"SELECT conv_id, i, s0, s1, s2, {_best('n3', _edited('s2', '3', 'I', chr(39) + 'assistant:' + chr(39)))} AS s3 FROM ({put})"
+
+
+_NOTHING = "{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}"
+_NO_WAY = "NULL::STRUCT(cost BIGINT, audit VARCHAR, lines VARCHAR[])"
+_AFTER_ROW = f"""SELECT w.conv_id, w.i + 1 AS i, {_edited('s0', '4', 'D')} AS n0,
+  {_best(_edited('s1', '4', 'D'), f"CASE WHEN live AND initial = 's' THEN {_edited('s0', 'extra', 'K', "role || ':' || text")} END")} AS n1,
+  {_best(_edited('s2', '4', 'D'), *_live('s0', 'u', 'user'), *_live('s1', 'u', 'user'), *_live('s3', 'u', 'user'))} AS n2,
+  {_best(_edited('s3', '4', 'D'), *_live('s2', 'a', 'assistant'))} AS n3
+  FROM ways w JOIN judged r ON r.conv_id = w.conv_id AND r.i = w.i + 1"""
+
+REPAIR = f"""
+WITH RECURSIVE {CRC_TABLE},
+damaged AS (
+  SELECT conv_id, turn, unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS copy,
+    CASE WHEN f = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text
+  FROM (SELECT *, {crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f
+        FROM conversations, crc_table) WHERE f > 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, copy) AS i FROM damaged),
+faults AS (
+  SELECT *, left(role, 1) AS initial,
+    CASE WHEN rest = '' THEN 'blank' WHEN earlier > 1 THEN 'duplicate'
+      WHEN right(rest, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM (SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS rest,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS earlier FROM ordered)),
+judged AS (
+  SELECT *, fault NOT IN ('blank', 'duplicate') AS live, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM faults),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS last
+  FROM judged GROUP BY conv_id),
+ways AS (
+  {_ways(f"SELECT DISTINCT conv_id, 0::BIGINT AS i, {_NOTHING} AS n0, {_NO_WAY} AS n1, {_NO_WAY} AS n2, {_NO_WAY} AS n3 FROM conversations")}
+  UNION ALL
+  {_ways(_AFTER_ROW)}),
+done AS (
+  SELECT w.conv_id, {_best('s0', 's3')} AS way, c.* EXCLUDE (conv_id)
+  FROM ways w LEFT JOIN counts c ON c.conv_id = w.conv_id WHERE w.i = coalesce(c.last, 0))
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, way.cost AS cost, way.audit AS audit,
+  sha256(array_to_string(way.lines, chr(10))) AS repaired_sha256
+FROM done
+"""
+
 ORACLES = {
     "op1_histogram_shards": SHARDS,
     "op3_mix_sources": MIX,
@@ -332,4 +452,6 @@ ORACLES = {
     "op8_benchmark_phrases": PHRASES,
     "op9_quality_rules": QUALITY,
     "op11_document_fingerprints": FINGERPRINTS,
+    "op12_conversation_trie": TRIE,
+    "op13_conversation_repair": REPAIR,
 }

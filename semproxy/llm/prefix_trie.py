@@ -39,7 +39,7 @@ NODE = (
 class Bursting:
     """Turns up to which a container is not burst but swept in a task."""
 
-    container: int = 4096
+    container: int = 512
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
