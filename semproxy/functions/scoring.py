@@ -39,6 +39,16 @@ def stable_sigmoid(z: Column) -> Column:
     return F.when(z >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
 
 
+def probability(embedding: Column, weights: Column, intercept: Column) -> Column:
+    """Probability of label 1 by the model in other columns of the row; an embedding of another
+    width is an error."""
+    products = F.zip_with(embedding, weights, lambda x, w: x.cast("double") * w)
+    total = F.aggregate(products, intercept, lambda total, p: total + p, stable_sigmoid)
+    return F.when(F.size(embedding) == F.size(weights), total).otherwise(
+        F.raise_error(F.lit("embedding width differs from the model width")).cast("double")
+    )
+
+
 def predict_probability(embedding: Column, model: ProxyModel) -> Column:
     """Probability of label 1; an embedding of another width is an error."""
     weights = F.lit(np.asarray(model.weights, dtype=np.float64))
