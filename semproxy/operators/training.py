@@ -8,14 +8,13 @@ from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semproxy.functions.scoring import MODEL_SCHEMA, ProxyModel
 from semproxy.operators.checks import example_violations, require_valid_examples
-from semproxy.session import FIT_BYTES, drop_written, scratch_path
+from semproxy.operators.logistic import Settings, fit_models
+from semproxy.session import drop_written, scratch_path, written
 
 
 @dataclass(frozen=True)
@@ -38,33 +37,37 @@ class LogisticTrainer:
 
     def fit(self, examples: DataFrame, counts: dict | None = None) -> ProxyModel:
         """Fit ``(id, embedding, label)`` rows; ``counts`` are their :func:`example_violations`
-        where the caller has them already.
-
-        Rows are shuffled into as many partitions as their bytes need, in the order of their ids,
-        whatever the layout they come in."""
+        where the caller has them already. Rows are summed in the order of their ids, whatever the
+        layout they come in."""
         if counts is None:
             counts = example_violations(examples).first().asDict()
-        require_valid_examples(counts)
-        rows, positives, width = counts["n_rows"], counts["positives"], counts["max_width"]
-        if positives in (0, rows):
-            # One class has no finite optimum: a smoothed constant keeps scores finite.
-            constant = math.log((positives + 1) / (rows - positives + 1))
-            return ProxyModel((0.0,) * width, constant)
-        parts = 1 + rows * width * 8 // FIT_BYTES
-        placed = examples.repartition(1) if parts == 1 else examples.repartitionByRange(parts, "id")
-        features = placed.sortWithinPartitions("id").select(
-            array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-            F.col("label").cast("double").alias("label"),
-        )
-        fitted = LogisticRegression(
-            regParam=self.l2 / rows,
-            elasticNetParam=0.0,
-            standardization=self.standardize,
-            maxIter=self.max_iter,
-            tol=self.tol,
-            family="binomial",
-        ).fit(features)
-        return ProxyModel(tuple(float(w) for w in fitted.coefficients), float(fitted.intercept))
+        rows = examples.select(F.lit("").alias("key"), "id", "embedding", "label")
+        return self.fit_checked(rows, {"": counts})[""]
+
+    def fit_groups(self, rows: DataFrame) -> dict[str, tuple[ProxyModel, int]]:
+        """The model, and the number of rows, of every key of ``rows(key, id, embedding, label)``:
+        one grouped check, then one optimiser for all of them."""
+        counts = {row["key"]: row.asDict() for row in example_violations(rows, ("key",)).collect()}
+        fitted = self.fit_checked(rows, counts)
+        return {key: (model, counts[key]["n_rows"]) for key, model in fitted.items()}
+
+    def fit_checked(self, rows: DataFrame, counts: dict[str, dict]) -> dict[str, ProxyModel]:
+        """The models of all keys, whose ``counts`` have to be valid."""
+        models, wanted = {}, {}
+        for key, found in counts.items():
+            require_valid_examples(found)
+            n, positives, width = found["n_rows"], found["positives"], found["max_width"]
+            if positives in (0, n):
+                # One class has no finite optimum: a smoothed constant keeps scores finite.
+                models[key] = ProxyModel((0.0,) * width, math.log((positives + 1) / (n - positives + 1)))
+            else:
+                wanted.setdefault(width, {})[key] = n
+        settings = Settings(self.l2, self.max_iter, self.tol, self.standardize)
+        for width, sizes in wanted.items():
+            own = rows if len(sizes) == len(counts) else rows.where(F.col("key").isin(list(sizes)))
+            for key, point in fit_models(own.select("key", "id", "embedding", "label"), sizes, width, settings).items():
+                models[key] = ProxyModel(tuple(float(w) for w in point[1:]), float(point[0]))
+        return models
 
 
 def average_models(models: DataFrame, weighted: bool = False) -> DataFrame:
@@ -94,8 +97,8 @@ def federated_train(
 ) -> ProxyModel:
     """One fit per shard, then the average.
 
-    The training rows are computed once and written by shard, so every fit reads its own shard only
-    and one grouped pass over the written rows checks all of them."""
+    The training rows are computed once and written. A trainer with ``fit_groups`` fits all shards
+    together; another one is called per shard, ``parallelism`` at a time."""
     models = shard_models(training, shard_col, shards, trainer, parallelism)
     mean = average_models(models, weighted).first()
     return ProxyModel(tuple(mean["weights"]), mean["intercept"])
@@ -105,6 +108,26 @@ def shard_models(
     training: DataFrame, shard_col: str, shards: tuple, trainer: LogisticTrainer, parallelism: int = 4
 ) -> DataFrame:
     """``(run_id, weights, intercept, n_rows)`` of the fit of every shard that has rows."""
+    local = trainer.for_shard()
+    if hasattr(local, "fit_groups"):
+        named = training.where(F.col(shard_col).isin(list(shards)))
+        rows = written(named.select(F.col(shard_col).cast("string").alias("key"), "id", "embedding", "label"), "training")
+        models = local.fit_groups(rows)
+        fitted = [
+            (key, list(model.weights), model.intercept, n_rows) for key, (model, n_rows) in sorted(models.items())
+        ]
+    else:
+        rows, fitted = _shard_by_shard(training, shard_col, shards, local, parallelism)
+    if not fitted:
+        raise ValueError("no training examples")
+    drop_written(rows)
+    return training.sparkSession.createDataFrame(fitted, f"{MODEL_SCHEMA}, n_rows bigint")
+
+
+def _shard_by_shard(
+    training: DataFrame, shard_col: str, shards: tuple, local: Any, parallelism: int
+) -> tuple[DataFrame, list[tuple]]:
+    """Fits of a trainer that knows one training set at a time, each from its shard's folder."""
     spark = training.sparkSession
     path = scratch_path(spark, "training")
     rows = training.select("id", "embedding", "label", shard_col)
@@ -112,7 +135,6 @@ def shard_models(
     rows = spark.read.schema(rows.schema).parquet(path)
     checks = example_violations(rows, (shard_col,)).collect()
     counts = {row[shard_col]: row.asDict() for row in checks}
-    local = trainer.for_shard()
 
     def fit(shard: Any) -> tuple:
         model = local.fit(rows.where(F.col(shard_col) == shard), counts[shard])
@@ -120,8 +142,6 @@ def shard_models(
 
     present = [shard for shard in shards if shard in counts]
     if not present:
-        raise ValueError("no training examples")
+        return rows, []
     with ThreadPool(min(parallelism, len(present))) as pool:
-        fitted = pool.map(inheritable_thread_target(spark)(fit), present)
-    drop_written(rows)
-    return spark.createDataFrame(fitted, f"{MODEL_SCHEMA}, n_rows bigint")
+        return rows, pool.map(inheritable_thread_target(spark)(fit), present)
