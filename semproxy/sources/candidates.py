@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semproxy.config import DatasetSpec
 from semproxy.operators.checks import require_valid_candidates
 from semproxy.operators.labeling import fetch_by_ids
+from semproxy.operators.prefix import running_totals
 from semproxy.operators.topk import place_of_share, top_k
-from semproxy.session import cut_lineage, small
+from semproxy.session import cut_lineage
+from semproxy.sources.quoted_lines import file_order, read_records
 
 # The sentiment words of the labeled CSV files.
 SENTIMENT_LABELS = {"POSITIVE": 1, "NEGATIVE": 0}
 
+# Values may span lines; a quote inside a quoted value is doubled.
+CSV_OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true"}
+
 
 def load_candidates(
     table: DataFrame, spec: DatasetSpec = DatasetSpec(), keep: tuple[str, ...] = ()
@@ -32,21 +39,36 @@ def load_candidates(
 PUSHED_IDS = 10_000
 
 
+def selected_ids(
+    table: DataFrame, ids: DataFrame, at_most: int, spec: DatasetSpec = DatasetSpec()
+) -> list[str] | None:
+    """The ids of a small selection, None where there may be many or their type has no literals."""
+    kind = table.schema[spec.id_col].dataType
+    if at_most > PUSHED_IDS or not isinstance(kind, (T.StringType, T.IntegralType)):
+        return None
+    return [row["id"] for row in ids.select("id").collect()]
+
+
 def fetch_candidates(
-    table: DataFrame, ids: DataFrame, at_most: int, spec: DatasetSpec = DatasetSpec(), keep: tuple[str, ...] = ()
+    table: DataFrame,
+    ids: DataFrame,
+    at_most: int,
+    spec: DatasetSpec = DatasetSpec(),
+    keep: tuple[str, ...] = (),
+    values: list[str] | None = None,
 ) -> DataFrame:
     """:func:`load_candidates` of the selected ids; ``at_most`` bounds them.
 
-    A small selection becomes a filter on the id column in its own type, so that the scan skips row
-    groups and decodes the texts of few others; a larger one is joined."""
-    kind = table.schema[spec.id_col].dataType
-    wanted = ids.select("id")
-    if at_most <= PUSHED_IDS and isinstance(kind, (T.StringType, T.IntegralType)):
-        values = [row["id"] for row in wanted.collect()]
-        if not isinstance(kind, T.StringType):
-            values = [int(value) for value in values]
-        return load_candidates(table.where(F.col(spec.id_col).isin(values)), spec, keep)
-    return fetch_by_ids(load_candidates(table, spec, keep), wanted, at_most)
+    The ``values`` of a small selection (see :func:`selected_ids`) become a filter on the id column
+    in its own type, so that the scan skips row groups and decodes the texts of few others; a larger
+    one is joined."""
+    if values is None:
+        values = selected_ids(table, ids, at_most, spec)
+    if values is None:
+        return fetch_by_ids(load_candidates(table, spec, keep), ids.select("id"), at_most)
+    if not isinstance(table.schema[spec.id_col].dataType, T.StringType):
+        values = [int(value) for value in values]
+    return load_candidates(table.where(F.col(spec.id_col).isin(values)), spec, keep)
 
 
 def load_embeddings_only(
@@ -69,61 +91,60 @@ def sentiment_label(sentiment: Column) -> Column:
     return label.otherwise(F.raise_error(message).cast("int"))
 
 
-def spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether some quoted value holds a line break: then a line has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
 def read_labeled_csv(
     spark: SparkSession,
     path: str,
     text_col: str = "reviewText",
     sentiment_col: str = "scoreSentiment",
-    multi_line: bool | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """``(row_index, text, label)`` with 0-based positions in file order.
 
-    Files are split among tasks where no quoted value spans lines; by default one scan of the lines
-    looks for that. ``multi_line`` True makes a file one task, whatever its size.
-
-    A task reads each file block from its start, so a row's position is the start of its block
-    (rows of all earlier blocks) plus its offset inside the block. The parsed rows are written
-    once, so both parts see the same numbering.
+    Files are read in blocks by many tasks, also where quoted values span lines (see
+    :mod:`semproxy.sources.quoted_lines`); quotes stand around whole values and are doubled inside.
+    Every file has the same header line. ``multi_line`` is for files with quotes inside unquoted
+    values: Spark's own reader then makes a file one task, whatever its size.
     """
-    if multi_line is None:
-        multi_line = spans_lines(spark, path)
-    reader = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("enforceSchema", False)
+    if multi_line:
+        return _read_whole_files(spark, path, text_col, sentiment_col)
+    records = read_records(spark, path)
+    columns, found = [], records.where("number = 0").select("file", "text").groupBy("text").agg(F.min("file").alias("file"))
+    heads = found.orderBy("file").limit(2).collect()
+    if len(heads) > 1:
+        raise ValueError(f"{heads[1]['file']} has another header than {heads[0]['file']}")
+    if heads:
+        columns = next(csv.reader([heads[0]["text"].removeprefix("\ufeff")]))
+    for name in (text_col, sentiment_col):
+        if name not in columns:
+            raise ValueError(f"no column {name!r} at {path}")
+    schema = ", ".join("`" + name.replace("`", "``") + "` string" for name in columns)
+    values = F.from_csv("text", schema, CSV_OPTIONS)
+    rows = records.where("number > 0").select("row_index", values.alias("v"))
+    return rows.select(
+        "row_index", F.col(f"v.`{text_col}`").alias("text"), sentiment_label(F.col(f"v.`{sentiment_col}`")).alias("label")
     )
-    columns = reader.option("inferSchema", False).csv(path).columns
+
+
+def _read_whole_files(spark: SparkSession, path: str, text_col: str, sentiment_col: str) -> DataFrame:
+    """The rows by Spark's multi-line reader. The parsed rows are written once, so that positions
+    and rows see the same numbering; files are numbered by a prefix sum over their row counts."""
+    reader = spark.read.option("header", True).option("enforceSchema", False).options(**CSV_OPTIONS)
+    columns = reader.csv(path).columns
     schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
     parsed = cut_lineage(
         reader.schema(schema)
         .csv(path)
         .select(
             F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_row"),
             F.col(text_col).alias("text"),
             sentiment_label(F.col(sentiment_col)).alias("label"),
         )
     )
-    # Files in the order of the numbers in their names: part-100000 comes after part-99999.
-    name = F.element_at(F.split("_file", "/"), -1)
-    digits = F.transform(F.regexp_extract_all(name, F.lit("([0-9]+)")), lambda d: F.lpad(d, 20, "0"))
-    in_order = (digits, F.col("_file"), F.col("_block"))
-    earlier = Window.orderBy(*in_order).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = cut_lineage(
-        parsed.groupBy("_file", "_block")
-        .agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
-        .withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    )
-    return parsed.join(small(blocks, blocks.count(), 1000), ["_file", "_block"]).select(
+    files = parsed.groupBy("_file").agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
+    files = running_totals(files, file_order(F.col("_file")), ["_rows"])
+    start = F.col("run__rows") - F.col("_rows")
+    return parsed.join(files.select("_file", "_first", start.alias("_start")), "_file").select(
         (F.col("_start") + F.col("_row") - F.col("_first")).alias("row_index"), "text", "label"
     )
 

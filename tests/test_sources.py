@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from semproxy import session
 from semproxy.config import DatasetSpec
 from semproxy.functions.scoring import ProxyModel
+from semproxy.sources import quoted_lines
 from semproxy.sources.artifacts import score_dump_join
 from semproxy.sources.candidates import (
     attach_embeddings,
@@ -31,24 +32,105 @@ def test_csv(spark, tmp_path):
     assert rows[2]["text"] == 'two\nlines, and "quotes"'
 
 
+@pytest.fixture
+def small_blocks(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    yield lambda size: (
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size)),
+        spark.conf.set("spark.sql.files.openCostInBytes", "0"),
+    )
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+    spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
 @pytest.mark.parametrize("multi_line", [True, False])
-def test_csv_position_over_files_and_blocks(spark, tmp_path, multi_line):
+def test_csv_position_over_files_and_blocks(spark, tmp_path, multi_line, small_blocks):
     expected = []
     for part, size in enumerate((300, 5, 900)):
         lines = [f"text {part} {i},{'POSITIVE' if i % 2 else 'NEGATIVE'}" for i in range(size)]
         expected += [line.split(",")[0] for line in lines]
         body = "\n".join(["reviewText,scoreSentiment", *lines]) + "\n"
         (tmp_path / f"p{part}.csv").write_text(body)
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
-    try:
-        rows = read_labeled_csv(spark, str(tmp_path), multi_line=multi_line)
-        found = [(r["row_index"], r["text"]) for r in rows.orderBy("row_index").collect()]
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    small_blocks(4000)
+    rows = read_labeled_csv(spark, str(tmp_path), multi_line=multi_line)
+    found = [(r["row_index"], r["text"]) for r in rows.orderBy("row_index").collect()]
     assert found == list(enumerate(expected))
 
 
+def quoted_files(folder, seed, files=3, rows=120, blank=("", "  ")):
+    """Files with breaks, quotes, commas, blank lines and both line ends inside and around values."""
+    import random
+
+    rng = random.Random(seed)
+    pieces = ["word", '""', ",", "\n", "\r\n", "\n\n", " ", "Ünï", '""\n', "x" * 40]
+    expected = []
+    for part in range(files):
+        end = rng.choice(["\n", "\r\n"])
+        lines = ["other,reviewText,scoreSentiment"]
+        for i in range(rows):
+            label = rng.choice(["POSITIVE", "NEGATIVE"])
+            inner = "".join(rng.choices(pieces, k=rng.randint(1, 9)))
+            text = f"{part}-{i} {inner}." if rng.random() < 0.7 else None
+            lines.append(f'{i},"{text}",{label}' if text else f"{i},plain {i},{label}")
+            expected.append((text.replace('""', '"') if text else f"plain {i}", int(label == "POSITIVE")))
+            if rng.random() < 0.1:
+                lines.append(rng.choice(blank))
+        with open(folder / f"r-{part}.csv", "w", newline="") as file:
+            file.write(end.join(lines) + (end if part else ""))
+    return expected
+
+
+@pytest.mark.parametrize("size", [64, 700, 10**6])
+def test_values_that_span_lines_are_read_in_blocks(spark, tmp_path, size, small_blocks):
+    expected = quoted_files(tmp_path, size)
+    small_blocks(size)
+    rows = read_labeled_csv(spark, str(tmp_path)).orderBy("row_index").collect()
+    assert [(r["text"], r["label"]) for r in rows] == expected
+    assert [r["row_index"] for r in rows] == list(range(len(expected)))
+
+
+def test_blocks_equal_the_multi_line_reader(spark, tmp_path, small_blocks):
+    (tmp_path / "a").mkdir()
+    quoted_files(tmp_path / "a", 5, blank=("",))
+    whole = read_labeled_csv(spark, str(tmp_path / "a"), multi_line=True)
+    small_blocks(300)
+    parts = read_labeled_csv(spark, str(tmp_path / "a"))
+    rows = [sorted(map(tuple, frame.select("text", "label").collect())) for frame in (whole, parts)]
+    assert rows[0] == rows[1]
+
+
+def test_one_value_over_many_blocks(spark, tmp_path, small_blocks):
+    long = "\n".join(f"line {i}" for i in range(400))
+    (tmp_path / "r.csv").write_text(f'reviewText,scoreSentiment\n"{long}",POSITIVE\nlast,NEGATIVE\n')
+    small_blocks(100)
+    lines = quoted_lines.lines_of(spark, str(tmp_path / "r.csv"))
+    assert lines.select("block").distinct().count() > 20
+    rows = read_labeled_csv(spark, str(tmp_path / "r.csv")).orderBy("row_index").collect()
+    assert [r["text"] for r in rows] == [long, "last"]
+
+
+def test_blocks_beyond_the_broadcast_bound(spark, tmp_path, small_blocks, monkeypatch):
+    expected = quoted_files(tmp_path, 9)
+    small_blocks(200)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(quoted_lines, "BROADCAST_BYTES", -1)
+    rows = read_labeled_csv(spark, str(tmp_path)).orderBy("row_index").collect()
+    assert [(r["text"], r["label"]) for r in rows] == expected
+
+
+def test_a_quote_that_stays_open_is_an_error(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('reviewText,scoreSentiment\n"a,POSITIVE\n')
+    with pytest.raises(ValueError, match="does not end"):
+        read_labeled_csv(spark, str(tmp_path / "r.csv"))
+
+
+def test_headers_must_agree(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("reviewText,scoreSentiment\na,POSITIVE\n")
+    (tmp_path / "b.csv").write_text("scoreSentiment,reviewText\nPOSITIVE,a\n")
+    with pytest.raises(ValueError, match="another header"):
+        read_labeled_csv(spark, str(tmp_path))
+
+
 def test_unknown_sentiment(spark, tmp_path):
     (tmp_path / "r.csv").write_text("reviewText,scoreSentiment\na,NEUTRAL\n")
     with pytest.raises(Exception, match="unknown sentiment"):
@@ -141,18 +223,6 @@ def test_checkpoint_folder_is_named_or_local(spark, monkeypatch):
     assert session.checkpoint_dir(spark)
 
 
-def test_csv_is_split_only_where_no_value_spans_lines(spark, tmp_path):
-    from semproxy.sources.candidates import spans_lines
-
-    (tmp_path / "flat.csv").write_text('reviewText,scoreSentiment\n"a ""b"", c",POSITIVE\nd,NEGATIVE\n')
-    (tmp_path / "deep.csv").write_text('reviewText,scoreSentiment\n"a\nb",POSITIVE\nd,NEGATIVE\n')
-    assert not spans_lines(spark, str(tmp_path / "flat.csv"))
-    assert spans_lines(spark, str(tmp_path / "deep.csv"))
-    for name, first in (("flat", 'a "b", c'), ("deep", "a\nb")):
-        rows = read_labeled_csv(spark, str(tmp_path / f"{name}.csv")).orderBy("row_index").collect()
-        assert [r["text"] for r in rows] == [first, "d"]
-
-
 def test_files_count_by_the_numbers_in_their_names(spark, tmp_path):
     for number in (99999, 100000, 7):
         (tmp_path / f"part-{number}.csv").write_text(f"reviewText,scoreSentiment\nt{number},POSITIVE\n")
