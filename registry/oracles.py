@@ -207,6 +207,10 @@ ORACLES: dict[str, str] = {
     "fetch_by_ids": f"WITH {VECTORS}, {sampled(50)} SELECT id, label, {TOTAL} FROM l",
     "exclude_labeled": f"""WITH {VECTORS}, {sampled(50)}
       SELECT id, label FROM v WHERE id NOT IN (SELECT id FROM l)""",
+    "fetch_by_ids_large": f"""WITH {ORDERS} SELECT id, label, {TOTAL} FROM o ORDER BY key, id
+      LIMIT (SELECT count(*) // 10 FROM orders)""",
+    "exclude_labeled_large": f"""WITH {ORDERS} SELECT id, label FROM o
+      QUALIFY row_number() OVER (ORDER BY key, id) > count(*) OVER () // 10""",
     "assign_join": f"""WITH {EIGHT}, {sampled(60)} SELECT id, CAST(cluster AS INTEGER) cluster,
       l.label FROM l JOIN a USING (id) WHERE cluster < 6""",
     "covered_clusters": f"""WITH {EIGHT}, {votes(3)} SELECT id, CAST(cluster AS INTEGER) cluster,
@@ -283,6 +287,8 @@ ORACLES: dict[str, str] = {
     "seeded_hash": f"WITH {ORDERS} SELECT id, key FROM o",
     "zone": f"""WITH {VECTOR_SCORES} SELECT id, CASE WHEN score <= 0.2 THEN 'reject'
       WHEN score >= 0.8 THEN 'accept' ELSE 'escalate' END zone FROM vs""",
+    "streaming_scores": f"""WITH {VECTOR_SCORES} SELECT id, CASE WHEN score <= 0.2 THEN 'reject'
+      WHEN score >= 0.8 THEN 'accept' ELSE 'escalate' END zone, round(score, 9) score FROM vs""",
     "projected_latency": f"""WITH {ORDER_SCORES}, b(reject, accept) AS (VALUES
       (CAST(0.2 AS DOUBLE), CAST(0.8 AS DOUBLE)), (CAST(0.1 AS DOUBLE), CAST(0.9 AS DOUBLE))),
       t AS (SELECT shard, reject, 200 + count(*) FILTER (score > reject AND score < accept)
@@ -324,13 +330,22 @@ ORACLES: dict[str, str] = {
     "random_sharded": f"""WITH {VECTORS} SELECT id, shard, label FROM v
       QUALIFY row_number() OVER (PARTITION BY shard ORDER BY key, id)
       <= 26 // 4 + CASE WHEN shard < 26 % 4 THEN 1 ELSE 0 END""",
-    "kmeans_copies": """SELECT min(CAST(vec_id AS VARCHAR)) id FROM embeddings
-      GROUP BY vec_id % 20""",
+    "kmeans_copies": """SELECT least(50, count(*)) clusters, 5 * count(*) n_rows, 0::BIGINT parted FROM embeddings""",
     "run_sharded_central": f"""WITH {SHARDED}
       SELECT id, shard, label, 0 round FROM a {REPS}""",
     "round_report": """SELECT 'gc1rec' run_id, CAST(i AS INTEGER) round, n requested,
       least(n, count(*)) acquired, true fetched
       FROM embeddings CROSS JOIN (VALUES (0, 20::BIGINT), (1, 7), (2, 7), (3, 6)) t(i, n) GROUP BY i, n""",
+    "model_broadcast": f"""WITH {VECTORS}, sent AS (
+      SELECT shard, CAST(vec_id // 4 % 5 AS INTEGER) model_round, unnest(embedding) x,
+        generate_subscripts(embedding, 1) pos FROM v WHERE (shard + vec_id // 4 % 5) % 3 <> 0),
+      mean AS (SELECT shard, model_round, pos, avg(CAST(x AS DOUBLE)) m FROM sent GROUP BY ALL),
+      model AS (SELECT shard, model_round, list(m ORDER BY pos) w FROM mean GROUP BY ALL),
+      asked AS (SELECT id, shard, embedding, CAST(vec_id % 7 - 1 AS INTEGER) round FROM v)
+      SELECT a.id, a.shard, a.round, m.model_round,
+        round(1 / (1 + exp(-(m.model_round / 10 + list_sum(list_transform(range(1, 65),
+          lambda i: CAST(a.embedding[i] AS DOUBLE) * m.w[i]))))), 9) score
+      FROM asked a ASOF LEFT JOIN model m ON a.shard = m.shard AND a.round >= m.model_round""",
     "evaluate_proxy": f"WITH {VECTOR_SCORES} {evaluated('vs', '')}",
     "evaluate_proxy_orders": f"WITH {ORDER_SCORES} {evaluated('os', 'shard')}",
     "run_sweep": f"""WITH {VECTORS}, m AS (SELECT 'm' || i run_id, id, label,
@@ -347,6 +362,8 @@ ORACLES: dict[str, str] = {
       FROM v LEFT JOIN documents ON doc_id = vec_id""",
     "FunctionLabeler": """SELECT CAST((length(text) - length(replace(text, 'e', ''))) % 2 AS INTEGER)
       label, count(*) n_rows FROM documents GROUP BY 1""",
+    "labeler_log": """SELECT CAST((length(text) - length(replace(text, 'e', ''))) % 2 AS INTEGER)
+      label, count(*) n_rows FROM documents GROUP BY 1""",
     "TrainingDataBuilder": f"""WITH {VECTORS}, t AS (SELECT * REPLACE (
       CASE WHEN embedding[6] > 0 THEN 1 ELSE 0 END AS label) FROM v), {mean_model('w', 't')}
       SELECT "position", round(weight, 9) weight, 0.0::DOUBLE intercept FROM w""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -48,6 +49,7 @@ from semproxy.operators.labeling import (
     fetch_by_ids,
     label_lookup,
 )
+from semproxy.operators.model_table import append_versions, score_as_of
 from semproxy.operators.sampling import (
     ClusterSampler,
     RandomSampler,
@@ -77,6 +79,7 @@ from semproxy.sources.candidates import (
     read_labeled_csv,
     write_examples,
 )
+from semproxy.streaming.scoring import score_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -343,6 +346,21 @@ def exclude_labeled_(spark, sf_dir):
     return exclude_labeled(pool, sample_random(pool, 50, SEED), 50).select("id", "label")
 
 
+@query
+def fetch_by_ids_large(spark, sf_dir):
+    """More ids than are broadcast, a tenth of the rows: their Bloom filter goes before the join."""
+    pool = orders(spark, sf_dir)
+    chosen = sample_random(pool, pool.count() // 10, SEED)
+    return fetch_by_ids(pool, chosen).select("id", "label", total())
+
+
+@query
+def exclude_labeled_large(spark, sf_dir):
+    pool = orders(spark, sf_dir)
+    chosen = sample_random(pool, pool.count() // 10, SEED)
+    return exclude_labeled(pool, chosen).select("id", "label")
+
+
 @query
 def assign_join(spark, sf_dir):
     clusters = assigned(spark, sf_dir).where(F.col("cluster") < 6)
@@ -557,6 +575,19 @@ def zone(spark, sf_dir):
     return cascade.route(vector_scores(spark, sf_dir), 0.2, 0.8).select("id", "zone")
 
 
+@query
+def streaming_scores(spark, sf_dir):
+    """A stream over a folder that grows, stopped and started again between its two batches."""
+    folder = scratch_path(spark, "stream")
+    rows = vectors(spark, sf_dir).select("id", "embedding", "vec_id")
+    for part in (0, 1):
+        rows.where(F.col("vec_id") % 2 == part).drop("vec_id").write.mode("append").parquet(f"{folder}/in")
+        found = score_new_files(
+            spark, f"{folder}/in", rows.drop("vec_id").schema, f"{folder}/out", f"{folder}/checkpoint", VECTOR_MODEL
+        )
+    return found.select("id", "zone", r9("score", "score"))
+
+
 @query
 def projected_latency(spark, sf_dir):
     summary = cascade.cascade_summary(order_scores(spark, sf_dir), groups=["shard"])
@@ -744,12 +775,15 @@ def random_sharded(spark, sf_dir):
 
 @query
 def kmeans_copies(spark, sf_dir):
-    """Twenty distinct vectors in many copies: as many representatives, however many are asked."""
-    rows = table(spark, sf_dir, "embeddings")
-    first = rows.where("vec_id < 20").select(F.col("vec_id").alias("of"), "embedding")
-    named = rows.select((F.col("vec_id") % 20).alias("of"), F.col("vec_id").cast("string").alias("id"))
-    pool = named.join(F.broadcast(first), "of").select("id", "embedding")  # twenty rows
-    return ClusterSampler(ClusterOptions(50, 5)).select_initial(pool, 50, SEED).ids.select("id")
+    """Every vector in five copies: starts stay distinct, so as many representatives as asked for."""
+    copies = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("copy")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", copies)
+    pool = rows.select(F.concat_ws("-", "copy", "vec_id").alias("id"), "embedding")
+    partition = kmeans_partition(pool, ClusterOptions(50, 3), SEED)
+    found = partition.assign(pool).groupBy("cluster").agg(F.count("*").alias("n"))
+    return found.agg(
+        F.count("*").alias("clusters"), F.sum("n").alias("n_rows"), F.sum(F.col("n") % 5).alias("parted")
+    )
 
 
 @query
@@ -767,6 +801,29 @@ def round_report(spark, sf_dir):
     )
 
 
+@query
+def model_broadcast(spark, sf_dir):
+    """Every row by the last model its shard was sent at or before the row's round; a model is the
+    mean vector of some rows, and not every shard is sent one in every round."""
+    rows = vectors(spark, sf_dir)
+    number = (F.floor(F.col("vec_id") / 4) % 5).cast("int")
+    values = rows.where((F.col("shard") + number) % 3 != 0).select(
+        "shard", number.alias("round"), F.posexplode("embedding").alias("pos", "x")
+    )
+    means = values.groupBy("shard", "round", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "m")))
+    versions = means.groupBy("shard", "round").agg(F.transform(ordered, lambda item: item["m"]).alias("weights"))
+    versions = versions.select(
+        F.lit("run").alias("run_id"), F.col("shard").cast("string").alias("shard"), "round", "weights",
+        (F.col("round") / 10).alias("intercept"),
+    )
+    path = scratch_path(spark, "versions")
+    append_versions(versions.where("round < 2"), path)
+    table_ = append_versions(versions.where("round >= 2"), path)
+    asked = rows.withColumn("round", (F.col("vec_id") % 7 - 1).cast("int"))
+    return score_as_of(asked, table_, "run").select("id", "shard", "round", "model_round", r9("score", "score"))
+
+
 @query
 def evaluate_proxy_(spark, sf_dir):
     return _rounded(evaluate_proxy(vector_scores(spark, sf_dir)))
@@ -824,6 +881,17 @@ def labeler(spark, sf_dir):
     return labeled.select("id", "label")
 
 
+@query
+def labeler_log(spark, sf_dir):
+    """Answers kept by id: the second run of the labeler only reads them."""
+    documents = table(spark, sf_dir, "documents")
+    rows = documents.select(F.col("doc_id").cast("string").alias("id"), "text")
+    name = uuid.uuid4().hex
+    FunctionLabeler(lambda row: row.text.count("e") % 2, 8, name).label(rows).write.format("noop").mode("overwrite").save()
+    again = FunctionLabeler(lambda row: 1 / 0, 8, name).label(rows)
+    return again.groupBy("label").agg(F.count("*").alias("n_rows"))
+
+
 @query
 def function_labeler(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")

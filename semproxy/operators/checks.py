@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
@@ -58,19 +59,34 @@ def require_valid_candidates(
     return counts
 
 
-def example_violations(df: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
-    """Counts for a training set ``(embedding, label)``, per ``groups`` if there are any."""
+def example_counts() -> list[Column]:
+    """The counts of a training set ``(embedding, label)`` as aggregates."""
     not_finite = F.exists(
         "embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     )
-    return df.groupBy(*groups).agg(
+    return [
         F.count("*").alias("n_rows"),
         count_if(F.col("label") == 1).alias("positives"),
         count_if(F.col("label").isNull() | ~F.col("label").isin(0, 1)).alias("bad_label"),
         count_if(F.col("embedding").isNull()).alias("null_embedding"),
         count_if(not_finite).alias("not_finite"),
         *_width_columns(),
-    )
+    ]
+
+
+def merged_counts(before: dict | None, more: dict) -> dict:
+    """The :func:`example_counts` of two sets of rows together."""
+    if before is None:
+        return dict(more)
+    least = [w for w in (before["min_width"], more["min_width"]) if w is not None]
+    most = [w for w in (before["max_width"], more["max_width"]) if w is not None]
+    summed = {name: before[name] + more[name] for name in before if not name.endswith("_width") or name == "zero_width"}
+    return {**summed, "min_width": min(least, default=None), "max_width": max(most, default=None)}
+
+
+def example_violations(df: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
+    """Counts for a training set ``(embedding, label)``, per ``groups`` if there are any."""
+    return df.groupBy(*groups).agg(*example_counts())
 
 
 def require_valid_examples(counts: dict) -> None:
@@ -137,3 +153,31 @@ def require_valid_labels(labeled: DataFrame, selected: DataFrame, budget: int) -
     if answers > budget:
         raise ValueError(f"{answers} ids selected for a budget of {budget}")
     return answers
+
+
+def _id_sums(id_: Column) -> list[Column]:
+    """Sums of two 32-bit hashes of the ids, which tell multisets of ids apart."""
+    pieces = [F.conv(F.substring(F.md5(id_), start, 8), 16, 10).cast("long") for start in (1, 9)]
+    return [F.coalesce(F.sum(piece), F.lit(0)).alias(f"ids_{i}") for i, piece in enumerate(pieces)]
+
+
+def label_counts() -> list[Column]:
+    """Aggregates of labeled rows from which :func:`require_counted_labels` sees whether they answer
+    the selected ids."""
+    return [count_if(F.col("label").isNull()).alias("null_label"), *_id_sums(F.col("id"))]
+
+
+def require_counted_labels(counts: dict, selected: list[str], labeled: DataFrame, budget: int) -> int:
+    """The check of :func:`require_valid_labels` for ids the driver holds, by what the write of the
+    labeled rows has counted; only a fault costs a job, which names it. Returns the labels."""
+    if len(set(selected)) != len(selected):
+        raise ValueError("duplicate ids in the selection")
+    digests = [hashlib.md5(id_.encode()).hexdigest() for id_ in selected]
+    wanted = [sum(int(d[start : start + 8], 16) for d in digests) for start in (0, 8)]
+    if counts["null_label"] or counts["n_rows"] != len(selected) or wanted != [counts["ids_0"], counts["ids_1"]]:
+        asked = labeled.sparkSession.createDataFrame([(id_,) for id_ in selected], "id string")
+        require_answers(labeled, asked)
+        raise ValueError("the labeler must return every selected id once")
+    if len(selected) > budget:
+        raise ValueError(f"{len(selected)} ids selected for a budget of {budget}")
+    return len(selected)

@@ -18,7 +18,7 @@ from semproxy.config import ClusterOptions
 from semproxy.functions.scoring import seeded_key
 from semproxy.operators.checks import require_valid_candidates
 from semproxy.operators.topk import place_of_hex, top_k_per_group
-from semproxy.session import cut_lineage, small
+from semproxy.session import ID_BYTES, cut_lineage, small
 
 # Centroids of one pass are shipped to every task; more shards than fit go through further passes.
 CENTROID_BYTES = 256 * 1024 * 1024
@@ -193,8 +193,8 @@ def sharded_kmeans(
     """
     rows = pool.select("id", shard_col, "embedding").persist()
     try:
-        require_valid_candidates(rows, unique_ids=False)
-        return _lloyd(rows, shard_col, shards, options, seed)
+        counts = require_valid_candidates(rows, unique_ids=False)
+        return _lloyd(rows, shard_col, shards, options, seed, counts["max_width"] or 1)
     finally:
         rows.unpersist()
 
@@ -286,47 +286,62 @@ def _reseeded(rows: DataFrame, shard_col: str, centers: Centers, empty: dict[Any
 
 
 def _start(
-    pool: DataFrame, shard_col: str, shards: tuple, options: ClusterOptions, seed: int
+    pool: DataFrame, shard_col: str, shards: tuple, options: ClusterOptions, seed: int, width: int
 ) -> Centers:
-    """The first distinct vectors of each shard in seeded order, collected in batches of shards."""
-    key = seeded_key(F.col("id"), seed)
-    heads = (
-        pool.groupBy(shard_col, F.xxhash64("embedding").alias("_vector"))
-        .agg(F.min(F.struct(key.alias("_key"), "id")).alias("_head"))
-        .select(shard_col, "_head.id", "_head._key")
-    )
+    """The first distinct vectors of each shard in seeded order, collected in batches of shards.
+
+    The first rows in that order, twice as many as centres are asked for, hold them unless copies
+    abound; only shards where they do not are searched by an aggregate over their vectors."""
     order = [F.col("_key"), F.col("id")]
-    quotas = {shard: options.cluster_count for shard in shards}
-    bound = options.cluster_count * len(shards)
-    ids = top_k_per_group(heads, shard_col, order, quotas, place_of_hex(F.col("_key")))
-    found = pool.join(small(ids.select("id"), bound), "id").select(
-        shard_col, key.alias("_key"), "id", "embedding"
-    )
-    first = pool.select(F.size("embedding").alias("width")).first()
-    row_bytes = 64 + 8 * (first["width"] if first else 1)
-    step = max(1, CENTROID_BYTES // (row_bytes * options.cluster_count))
-    centers: Centers = {}
+    keyed = pool.select("id", shard_col, seeded_key(F.col("id"), seed).alias("_key"))
+    rows = 2 * options.cluster_count
+    heads = top_k_per_group(keyed, shard_col, order, dict.fromkeys(shards, rows), place_of_hex(F.col("_key")))
+    centers, seen = _distinct(pool, heads, shard_col, shards, options, rows, width)
+    short = tuple(s for s in shards if seen.get(s, 0) == rows and len(centers[s][0]) < options.cluster_count)
+    if short:
+        own = pool.where(F.col(shard_col).isin(list(short)))
+        vectors = (
+            own.groupBy(shard_col, F.xxhash64("embedding").alias("_vector"))
+            .agg(F.min(F.struct(seeded_key(F.col("id"), seed).alias("_key"), "id")).alias("_head"))
+            .select("_head.id", shard_col, "_head._key")
+        )
+        quotas = dict.fromkeys(short, options.cluster_count)
+        heads = top_k_per_group(vectors, shard_col, order, quotas, place_of_hex(F.col("_key")))
+        centers |= _distinct(own, heads, shard_col, short, options, options.cluster_count, width)[0]
+    return {shard: centers[shard] for shard in shards if shard in centers}
+
+
+def _distinct(
+    pool: DataFrame, heads: DataFrame, shard_col: str, shards: tuple, options: ClusterOptions, rows: int, width: int
+) -> tuple[Centers, dict[Any, int]]:
+    """The first distinct vectors among the ``heads`` of each shard, and how many heads it has."""
+    bound = rows * len(shards)
+    found = pool.join(small(heads.select("id", "_key"), bound, 2 * ID_BYTES), "id").select(shard_col, "_key", "id", "embedding")
+    step = max(1, CENTROID_BYTES // ((64 + 8 * width) * rows))
     if len(shards) > step:
         found = cut_lineage(found)
+    centers: Centers = {}
+    seen: dict[Any, int] = {}
     for number in range(0, len(shards), step):
         batch = shards[number : number + step]
-        rows = found.where(F.col(shard_col).isin(list(batch))).collect()
-        rows.sort(key=lambda row: (row["_key"], row["id"]))
+        taken = found if len(shards) <= step else found.where(F.col(shard_col).isin(list(batch)))
         by_shard: dict[Any, list] = {}
-        for row in rows:
+        for row in sorted(taken.collect(), key=lambda row: (row["_key"], row["id"])):
             by_shard.setdefault(row[shard_col], []).append(row["embedding"])
         for shard in batch:
             if shard in by_shard:
-                matrix = np.asarray(by_shard[shard], np.float64)
+                seen[shard] = len(by_shard[shard])
+                distinct = dict.fromkeys(map(tuple, by_shard[shard]))
+                matrix = np.asarray(list(distinct)[: options.cluster_count], np.float64)
                 centers[shard] = (list(range(len(matrix))), matrix)
-    return centers
+    return centers, seen
 
 
 def _lloyd(
-    pool: DataFrame, shard_col: str, shards: tuple, options: ClusterOptions, seed: int
+    pool: DataFrame, shard_col: str, shards: tuple, options: ClusterOptions, seed: int, width: int
 ) -> CentroidPartition | None:
     """Centres stay on the driver and go to the tasks in batches of :data:`CENTROID_BYTES`."""
-    centers = _start(pool, shard_col, shards, options, seed)
+    centers = _start(pool, shard_col, shards, options, seed, width)
     if not centers:
         return None
     spread = max(float(np.ptp(matrix, axis=0).max()) for _, matrix in centers.values())

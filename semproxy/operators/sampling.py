@@ -17,7 +17,7 @@ from semproxy.operators.clustering import (
     sharded_kmeans,
 )
 from semproxy.operators.topk import place_of_hex, place_of_share, top_k, top_k_per_group
-from semproxy.session import cut_lineage
+from semproxy.session import cut_lineage, written
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,9 @@ def select_uncertain(
     keep = () if shard_col is None else (shard_col,)
     score = predict_probability(F.col("embedding"), model).alias("score")
     distance = uncertainty(F.col("score"), center_1, center_2).alias("u")
-    ranked = unlabeled.select("id", *keep, score).select("id", *keep, distance)
+    scored = unlabeled.select("id", *keep, score)
+    # Counting and taking read narrow rows; the pool is read and scored once.
+    ranked = written(scored.select("id", *keep, distance), "ranked")
     order, place = [F.col("u").asc(), F.col("id").asc()], place_of_share(F.col("u"))
     if shard_col is None:
         return top_k(ranked, order, budget, place)

@@ -8,8 +8,10 @@ from dataclasses import asdict, dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+from typing import Any
+
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semproxy.config import ClusterOptions, RunConfig
@@ -20,8 +22,8 @@ from semproxy.operators.metrics import BANDS, Groups, ranked_by_confidence
 from semproxy.operators.propagation import ClusterPropagation, DirectLabels
 from semproxy.operators.sampling import ClusterSampler, RandomSampler
 from semproxy.operators.training import LogisticTrainer
-from semproxy.plans.runner import TrainingResult, run_proxy_training
-from semproxy.session import cut_lineage
+from semproxy.plans.runner import Rounds, TrainingRequest, TrainingResult, training_rounds
+from semproxy.session import cut_lineage, drop_written, written
 
 # Models scored and evaluated in one pass over the rows.
 MODEL_BATCH = 16
@@ -169,6 +171,46 @@ def run_totals(round_report: DataFrame) -> DataFrame:
     return round_report.groupBy("run_id").agg(*sums)
 
 
+def train_together(
+    runs: dict[str, Rounds], trainer: LogisticTrainer, parallelism: int, spark: SparkSession
+) -> dict[str, TrainingResult]:
+    """Advance all runs in step: their selections and labels ``parallelism`` at a time, then one
+    grouped fit of the training rows of all of them, so that the jobs of fits follow the rounds and
+    not the runs. A trainer without ``fit_groups`` fits one request at a time."""
+    results: dict[str, TrainingResult] = {}
+    models: dict[str, ProxyModel | None] = dict.fromkeys(runs)
+
+    def advance(name: str) -> TrainingRequest | TrainingResult:
+        try:
+            return next(runs[name]) if models[name] is None else runs[name].send(models[name])
+        except StopIteration as end:
+            return end.value
+
+    with ThreadPool(max(1, min(parallelism, len(runs)))) as pool:
+        while models:
+            names = list(models)
+            found = dict(zip(names, pool.map(inheritable_thread_target(spark)(advance), names)))
+            results |= {name: step for name, step in found.items() if isinstance(step, TrainingResult)}
+            requests = {name: step for name, step in found.items() if name not in results}
+            models = fit_together(requests, trainer) if requests else {}
+    return results
+
+
+def fit_together(requests: dict[str, TrainingRequest], trainer: Any) -> dict[str, ProxyModel]:
+    """The models of all requests, by one optimiser over their rows."""
+    if not hasattr(trainer, "fit_groups"):
+        return {name: trainer.fit(r.examples, r.counts) for name, r in requests.items()}
+    keyed = [
+        request.examples.select(F.lit(name).alias("key"), "id", "embedding", "label")
+        for name, request in requests.items()
+    ]
+    rows = written(reduce(DataFrame.unionByName, keyed), "requests")
+    found = {name: model for name, (model, _) in trainer.fit_groups(rows).items()}
+    for frame in [rows, *(request.examples for request in requests.values() if request.owned)]:
+        drop_written(frame)
+    return found
+
+
 def run_sweep(
     candidates: DataFrame,
     gold: DataFrame,
@@ -178,23 +220,16 @@ def run_sweep(
     trainer: LogisticTrainer = LogisticTrainer(),
     parallelism: int = 4,
 ) -> DataFrame:
-    """Train every run of the grid, ``parallelism`` at a time, then score and evaluate all models
-    in batches."""
+    """Train the runs of the grid round by round, the models of a round together, then score and
+    evaluate all models in batches."""
     spark = candidates.sparkSession
     labeler = GoldLabeler(gold)
     started = time.perf_counter()
     require_valid_candidates(candidates, unique_ids=False)
     setup_ms = (time.perf_counter() - started) * 1000
 
-    def train(run: SweepRun) -> TrainingResult:
-        clustered = run.sampler == "cluster"
-        sampler = (
-            ClusterSampler(ClusterOptions(run.label_budget, max_iterations))
-            if clustered
-            else RandomSampler()
-        )
-        builder = DirectLabels() if run.training_data_mode == "direct" else ClusterPropagation()
-        config = RunConfig(
+    def settings_of(run: SweepRun) -> RunConfig:
+        return RunConfig(
             rounds=run.rounds,
             label_budget=run.label_budget,
             initial_label_fraction=run.initial_label_fraction,
@@ -202,12 +237,18 @@ def run_sweep(
             uncertainty_center_2=run.uncertainty_center_2,
             seed=run.seed,
         )
-        return run_proxy_training(
-            candidates, config, sampler, labeler, builder, trainer, run.run_id
+
+    def rounds_of(run: SweepRun) -> Rounds:
+        sampler = (
+            ClusterSampler(ClusterOptions(run.label_budget, max_iterations))
+            if run.sampler == "cluster"
+            else RandomSampler()
         )
+        builder = DirectLabels() if run.training_data_mode == "direct" else ClusterPropagation()
+        return training_rounds(candidates, settings_of(run), sampler, labeler, builder, run.run_id)
 
-    with ThreadPool(max(1, min(parallelism, len(grid)))) as pool:
-        results = pool.map(inheritable_thread_target(spark)(train), grid)
+    results = train_together({run.run_id: rounds_of(run) for run in grid}, trainer, parallelism, spark)
+    results = [results[run.run_id] for run in grid]
     models = {run.run_id: result.model for run, result in zip(grid, results)}
     reports = reduce(DataFrame.unionByName, [result.round_report for result in results])
     started = time.perf_counter()

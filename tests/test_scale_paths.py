@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from semproxy import session
 from semproxy.config import ClusterOptions, RunConfig
-from semproxy.operators import clustering, topk, training
+from semproxy.operators import clustering, logistic, topk, training
 from semproxy.operators.clustering import AssignmentTable, CentroidPartition
 from semproxy.operators.labeling import GoldLabeler, exclude_labeled, fetch_by_ids
 from semproxy.operators.propagation import ClusterPropagation
@@ -20,7 +20,7 @@ from semproxy.sources import candidates
 @pytest.fixture
 def no_bounds(monkeypatch):
     monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
-    monkeypatch.setattr(training, "FIT_BYTES", 200)
+    monkeypatch.setattr(logistic, "FIT_BYTES", 200)
     monkeypatch.setattr(topk, "SORTED_ROWS", 0)
     monkeypatch.setattr(clustering, "CHUNK_BYTES", 64)
     monkeypatch.setattr(candidates, "PUSHED_IDS", 0)
@@ -97,7 +97,7 @@ def test_fit_does_not_depend_on_the_layout(blobs, monkeypatch):
     rows = blobs.select("id", "embedding", "label")
     models = []
     for size in (session.FIT_BYTES, 500):
-        monkeypatch.setattr(training, "FIT_BYTES", size)
+        monkeypatch.setattr(logistic, "FIT_BYTES", size)
         models += [LogisticTrainer(l2=1.0).fit(rows.repartition(n)).weights for n in (1, 9)]
     assert all(np.allclose(models[0], m, atol=1e-9) for m in models)
     assert models[0] == models[1]
