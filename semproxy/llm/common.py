@@ -8,6 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semproxy.session import scratch_path
 
@@ -65,6 +66,32 @@ def measured(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def bytes_of(value: Column, kind: T.DataType) -> Column:
+    """Bytes a value takes, with 16 for every string, array and struct; NULL takes 16."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        found = F.octet_length(value) + 16
+    elif isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            sizes = F.transform(value, lambda x: bytes_of(x, kind.elementType).cast("long"))
+            found = F.aggregate(sizes, F.lit(16).cast("long"), lambda total, x: total + x)
+        else:
+            found = F.size(value) * 8 + 16
+    elif isinstance(kind, T.StructType):
+        found = sum((bytes_of(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    else:
+        found = F.lit(8)
+    return F.coalesce(found, F.lit(16)).cast("long")
+
+
+def weighed(df: DataFrame) -> DataFrame:
+    """Hint a broadcast of a written table when its true bytes, arrays and all, are few enough.
+
+    Above the bound there is no hint and the join shuffles both sides."""
+    sizes = [bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    taken = df.agg(F.sum(sum(sizes, F.lit(16).cast("long")))).first()[0] or 0
+    return F.broadcast(df) if taken <= BROADCAST_BYTES else df
+
+
 def fresh(taken: Iterable[str], *names: str) -> list[str]:
     """Column names like ``names`` that do not clash with the ``taken`` ones in any case."""
     used = {name.lower() for name in taken}
@@ -77,6 +104,11 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return found
 
 
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, with dots and other signs in them."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
 def text_bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 

@@ -7,8 +7,7 @@ A posting less its place in the item is the diagonal an occurrence would lie on;
 terms are intersected on (document, item, diagonal). Diagonals that pass are compared word by word,
 which gives the exact windows; rare terms a few places off their distance are proximity matches.
 
-The index folds case as the JVM does, a superset of the ASCII folding that the comparison uses, and
-both cut words at the same places.
+Index and comparison cut words at the same places and fold the letters A to Z only.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semproxy.llm.common import fresh, measured, written
+from semproxy.llm.common import fresh, weighed, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -38,16 +37,19 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def places(text: Column) -> Column:
-    """Words in order, case folded for the index; an empty string may stand at either end."""
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS)
-
-
 def exact_places(text: Column) -> Column:
-    """The same places with ASCII letters folded only."""
+    """Words in order, A-Z folded; an empty string may stand at either end."""
     return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS)
 
 
+def places(text: Column) -> Column:
+    """:func:`exact_places`, with the quicker folding where a text is plain ASCII. Beyond ASCII it
+    would not do: the lower case of some letters, as of a capital sigma, depends on their neighbours."""
+    whole = F.coalesce(text, F.lit(""))
+    plain = F.octet_length(whole) == F.char_length(whole)
+    return F.split(F.when(plain, F.lower(whole)).otherwise(F.translate(whole, UPPER, LOWER)), SEPARATORS)
+
+
 def not_empty(words: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
@@ -67,9 +69,8 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     text = F.col("text")
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
-        not_empty(places(text)).alias("terms"),
-        not_empty(exact_places(text)).alias("words"),
-    ).where(F.size("terms") > 0)
+        not_empty(places(text)).alias("words"),
+    ).where(F.size("words") > 0)
     return written(items.distinct().withColumn("item", F.monotonically_increasing_id()), "items")
 
 
@@ -77,17 +78,17 @@ def searched_windows(items: DataFrame, rows: DataFrame, search: Search) -> DataF
     """``(item, a, b)``: places in the item of the rarest and second rarest word of each window.
 
     Corpus counts combine before the shuffle; windows with a word the corpus lacks are left out."""
-    terms = items.select("item", F.posexplode("terms").alias("place", "term"))
+    terms = items.select("item", F.posexplode("words").alias("place", "term"))
     vocabulary = written(terms.select("term").distinct(), "vocabulary")
     found = rows.select(F.explode(places(F.col("text"))).alias("term"))
-    counts = found.join(measured(vocabulary, 64), "term").groupBy("term").agg(F.count("*").alias("n"))
+    counts = found.join(weighed(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
     counted = terms.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     # Every place belongs to the windows that begin up to a window before it.
     width = F.least(F.lit(search.window), F.col("size"))
     starts = F.sequence(
         F.greatest(F.lit(0), F.col("place") - width + 1), F.least(F.col("place"), F.col("size") - width)
     )
-    windows = counted.join(items.select("item", F.size("terms").alias("size")), "item").select(
+    windows = counted.join(items.select("item", F.size("words").alias("size")), "item").select(
         "item", "place", "n", F.explode(starts).alias("start")
     )
     ranked = F.sort_array(F.collect_list(F.struct("n", "place")))
@@ -106,17 +107,17 @@ def stored_index(items: DataFrame, windows: DataFrame, rows: DataFrame, search:
         .union(windows.select("item", F.col("b").alias("item_place"), F.lit(0).alias("off")))
         .distinct()
     )
-    terms = items.select("item", F.posexplode("terms").alias("item_place", "term"))
+    terms = items.select("item", F.posexplode("words").alias("item_place", "term"))
     wanted = written(wanted.join(terms, ["item", "item_place"]), "searched")
     needed = written(wanted.select("term").distinct(), "searched-terms")
     postings = rows.select("id", "copy", F.posexplode(places(F.col("text"))).alias("place", "term"))
-    return written(postings.join(measured(needed, 64), "term"), "postings"), wanted
+    return written(postings.join(weighed(needed), "term"), "postings"), wanted
 
 
 def diagonals(index: DataFrame, wanted: DataFrame, windows: DataFrame) -> DataFrame:
     """``(id, copy, item, diagonal, exact, near)``: where the lists of a window's two rarest terms
     meet, on one diagonal or at most the slop apart."""
-    shifted = index.join(measured(wanted, 100), "term").select(
+    shifted = index.join(weighed(wanted), "term").select(
         "id", "copy", "item",
         (F.col("place") - F.col("item_place") + F.col("off")).alias("diagonal"),
         F.struct("item_place", "off").alias("hit"),
@@ -135,7 +136,7 @@ def diagonals(index: DataFrame, wanted: DataFrame, windows: DataFrame) -> DataFr
             "hits", lambda h: (h["item_place"] == pair["b"]) & (h["off"] == 0)
         )
 
-    met = grouped.join(measured(pairs, 1000), "item").select(
+    met = grouped.join(weighed(pairs), "item").select(
         "id", "copy", "item", "diagonal",
         F.exists("pairs", exact).alias("exact"), F.exists("pairs", near).alias("near"),
     )
@@ -147,11 +148,11 @@ def exact_matches(met: DataFrame, items: DataFrame, rows: DataFrame, search: Sea
     window: the diagonals are compared with the words of the text."""
     listed = (
         met.where("exact")
-        .join(measured(items.select("item", "item_id", "words"), 1000), "item")
+        .join(weighed(items.select("item", "item_id", "words")), "item")
         .groupBy("id", "copy")
         .agg(F.collect_list(F.struct("item_id", "diagonal", "words")).alias("listed"))
     )
-    listed = measured(written(listed, "listed"), 4000)
+    listed = weighed(written(listed, "listed"))
     texts = rows.join(listed, ["id", "copy"]).dropDuplicates(["id", "copy"])
 
     def compare(words: Column) -> Column:
@@ -165,7 +166,7 @@ def exact_matches(met: DataFrame, items: DataFrame, rows: DataFrame, search: Sea
         )
 
     # The words are an argument of the lambda, so a text is cut once and not once per diagonal.
-    compared = F.transform(F.array(exact_places(F.col("text"))), compare)[0]
+    compared = F.transform(F.array(places(F.col("text"))), compare)[0]
 
     def starts(c: Column) -> Column:
         width = F.least(F.lit(search.window), F.size(c["equal"]))
@@ -195,17 +196,19 @@ def searched(docs: DataFrame, benchmark: DataFrame, search: Search):
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, search: Search) -> DataFrame:
-    """The written exact matches per document that has any."""
+    """The written exact matches ``(id, copy, matches)`` per document that has any. Rows equal in id
+    and text share one; null and empty texts, and items without words, match nothing; empty tables
+    give no rows. Extra columns are ignored."""
     rows, items, met = searched(docs, benchmark, search)
     return exact_matches(met, items, rows, search)
 
 
 def near_items(docs: DataFrame, benchmark: DataFrame, search: Search = Search(slop=2)) -> DataFrame:
     """Proximity matches ``(doc_id, item_id)``: the two rarest words of a window of the item stand
-    in the document at their distance or at most ``slop`` places off it. Case is folded as the JVM
-    does; nulls as in :func:`contamination_report`."""
+    in the document at their distance or at most ``slop`` places off it. Nulls, empty texts, repeated
+    rows and extra columns as in :func:`contamination_report`."""
     _, items, met = searched(docs, benchmark, search)
-    pairs = met.join(measured(items.select("item", "item_id"), 64), "item")
+    pairs = met.join(weighed(items.select("item", "item_id")), "item")
     own = keyed(docs).select("doc_id", "id", "copy")
     return own.join(pairs.select("id", "copy", "item_id").distinct(), ["id", "copy"]).select("doc_id", "item_id")
 
@@ -237,7 +240,7 @@ def contamination_report(
         F.xxhash64("text").alias("copy"),
         count_words(F.col("text")).alias("n_words"),
     )
-    joined = own.join(measured(written(hits, "hits"), 200), ["id", "copy"], "left")
+    joined = own.join(weighed(written(hits, "hits")), ["id", "copy"], "left")
     zero = F.lit(0).cast("long")
     return joined.select(
         "doc_id",
@@ -250,11 +253,13 @@ def contamination_report(
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark window, with all their columns."""
+    """The rows of ``docs`` that contain no benchmark window, with all their columns, whatever their
+    names. Null and empty texts stay, repeated rows stay or go together, null ids are judged by their
+    texts; an empty benchmark keeps everything."""
     matches = find_matches(docs.select("doc_id", "text"), benchmark, search)
     id_, copy = fresh(docs.columns, "id", "copy")
     hit = matches.select(F.col("id").alias(id_), F.col("copy").alias(copy))
     own = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(
         copy, F.xxhash64("text")
     )
-    return own.join(measured(hit, 40), [id_, copy], "left_anti").drop(id_, copy)
+    return own.join(weighed(hit), [id_, copy], "left_anti").drop(id_, copy)

@@ -60,6 +60,20 @@ def test_hits_match_brute_force(tables):
     assert found(frame, benchmark) == expected
 
 
+@pytest.mark.parametrize("word", ["ΟΔΟΣ", "ΣΑΣ", "İΣ", "Aß"])
+def test_capitals_whose_lower_case_depends_on_their_neighbours(spark, word):
+    """In items and documents, before and after blanks, full stops and quotes."""
+    start = "alpha beta gamma delta epsilon zeta eta theta iota"
+    ends = ["", ".", "'", " ", ".Αβγ", "'Αβγ", " Αβγ", ":x", "-" + word]
+    docs = [(i, f"{a}{start} {word}{end}") for i, (a, end) in enumerate((a, e) for a in ("", "Σ.", "Σ'", "Σ ") for e in ends)]
+    items = [(0, f"{start} {word}"), (1, f"{start.upper()} {word}.Αβγ Σ'{word}"), (2, f"{word}'{word}.{word}")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    expected = plain(docs, items)
+    assert all(r[5] for r in expected)
+    assert found(frame, benchmark) == expected
+
+
 def test_clean_rows_stay_with_all_columns(tables):
     docs, items, frame, benchmark = tables
     kept = decontaminate.keep_clean(frame, benchmark)

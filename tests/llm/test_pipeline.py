@@ -4,9 +4,11 @@ from collections import Counter, defaultdict
 from hashlib import md5
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from semproxy.llm import mixing, quality
+from semproxy.llm.common import written
 from tests.llm import test_decontaminate, test_mixing, test_ngram_join, test_quality, test_sharding
 from tests.llm.conftest import DOCS, invented_text, invented_words
 
@@ -14,7 +16,8 @@ from tests.llm.conftest import DOCS, invented_text, invented_words
 def documents(rng):
     """Good and junk texts, near copies, benchmark passages, a hot source, nulls."""
     rows, labels = [], []
-    items = [(i, " ".join(invented_words(rng, 25))) for i in range(5)]
+    items = [(i, " ".join(invented_words(rng, 25))) for i in range(4)]
+    items.append((4, " ".join([*invented_words(rng, 9), "ΟΔΟΣ"])))  # its lower case depends on what follows
     for i in range(150):
         text = invented_text(rng, rng.randint(90 if i % 10 == 2 else 10, 120))
         kind = i % 10
@@ -25,7 +28,7 @@ def documents(rng):
             words[len(words) // 2] = "changed"
             text = " ".join(words)
         elif kind == 3:
-            text = f"{text} {rng.choice(items)[1]} {invented_text(rng, 10)}"
+            text = f"{text} {rng.choice(items)[1]}{rng.choice([' ', '.', chr(39)])}{invented_text(rng, 10)}"
         elif kind == 4:
             text = " ".join(w + "#$" for w in text.split())
         source = "hot" if i % 3 == 0 else rng.choice(["a", "b", "é", None])
@@ -127,3 +130,17 @@ def test_stages_return_the_columns_of_documents(spark, folder):
         assert empty.columns[: len(docs.columns)] == docs.columns and empty.count() == 0
 
 
+def test_stages_keep_extra_columns_of_any_name(spark, folder):
+    path = folder[0]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    names = ["a.b", "row", "stratum", "shard", "h", "odd name", "copy", "doc", "size"]
+    wide = docs.select("*", *[F.lit(f"extra {name}").alias(name) for name in names])
+    for name, stage in corpus_pipeline.STAGES:
+        wide = written(stage(spark, wide, path), "wide")
+        kept = [n for n in names if n != "shard" or name != "shards"]
+        assert set(docs.columns) | set(kept) <= set(wide.columns)
+        assert wide.select("`a.b`").distinct().collect() == [("extra a.b",)]
+        assert wide.where(F.col("row") != "extra row").isEmpty()
+    assert wide.count() > 50
+
+
