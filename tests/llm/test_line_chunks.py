@@ -5,7 +5,7 @@ from hashlib import sha256
 from semproxy.llm import line_chunks
 from tests.llm.conftest import odd_rows
 
-HOW = line_chunks.Chunking()
+HOW = line_chunks.Chunking(edges=False)
 
 
 def plain(rows, how=HOW):
@@ -43,7 +43,7 @@ def test_chunks_cover_the_lines_and_resist_shifts():
     lines = [f"line {rng.random()}".encode() for _ in range(400)]
     chunks = line_chunks.chunk_lines(lines, HOW)
     assert [a for a, _ in chunks] == [0, *(b for _, b in chunks[:-1])] and chunks[-1][1] == 400
-    assert 2 < 400 / len(chunks) < 5
+    assert 3 < 400 / len(chunks) < 6 and min(b - a for a, b in chunks[:-1]) == 2
     texts = {b"\n".join(lines[a:b]) for a, b in chunks}
     moved = [b"new first", *lines[:200], b"new middle", *lines[200:]]
     again = {b"\n".join(moved[a:b]) for a, b in line_chunks.chunk_lines(moved, HOW)}
@@ -83,8 +83,9 @@ def test_whole_passages_go_up_to_their_edges(spark):
     rows.append((900, "one\n\none\none\none"))
     rows.append((901, "passage alone\nlast"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    how = line_chunks.Chunking(whole=True)
-    kept = {r["doc_id"]: r["kept"].decode().split("\n") for r in line_chunks.dedup_lines(docs, how).collect()}
+    result = line_chunks.dedup_lines(docs).collect()
+    kept = {r["doc_id"]: r["kept"].decode().split("\n") for r in result}
+    assert sum(r["n_removed_chunks"] for r in result) > 100
     first = set()
     for i, text in rows[:300]:
         wanted = text.split("\n")
@@ -98,19 +99,46 @@ def test_whole_passages_go_up_to_their_edges(spark):
 
 
 def test_whole_runs_found_by_all_pairs(odd):
+    """What all pairs of lines find repeated goes; beside it only blank lines in removed chunks."""
     rows = [r for r in odd_rows() if r[0] is not None]
     texts = sorted({(r[0], r[1] or "") for r in rows})
     # Copies of one id are told apart by hashes, so only ids with one text say which is first.
     ids = [i for i, _ in texts]
     single = [(i, t) for i, t in texts if ids.count(i) == 1]
     docs = odd.where("doc_id IS NOT NULL").where(f"doc_id IN ({','.join(str(i) for i, _ in single)})")
-    seen, wanted = {}, {}
+    seen, wanted, whole = {}, {}, {}
     for i, text in single:
         lines, gone = line_chunks.text_lines(text.encode()), set()
         for a, b in line_chunks.line_pairs(lines):
             at = seen.setdefault(tuple(lines[a:b]), (i, b))
             if at[0] != i or a >= at[1]:
                 gone.update(range(a, b))
-        wanted[i] = b"\n".join(x for k, x in enumerate(lines) if k not in gone)
-    found = line_chunks.dedup_lines(docs, line_chunks.Chunking(whole=True)).collect()
-    assert {r["doc_id"]: bytes(r["kept"]) for r in found} == wanted
+        wanted[i] = [x for k, x in enumerate(lines) if k not in gone and x.strip()]
+        whole[i] = lines
+    found = line_chunks.dedup_lines(docs).collect()
+    kept = {r["doc_id"]: line_chunks.text_lines(bytes(r["kept"])) for r in found}
+    assert {i: [x for x in lines if x.strip()] for i, lines in kept.items()} == wanted
+    assert sum(len(whole[i]) - len(lines) for i, lines in kept.items()) > 20
+
+
+def test_every_removed_line_has_an_equal_one_before_it(spark):
+    rng = random.Random(21)
+    few = [f"line {i}" for i in range(12)] + ["", " "]
+    rows = [(i, "\n".join(rng.choices(few, k=rng.randint(1, 25)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"]: r["kept"].decode().split("\n") for r in line_chunks.dedup_lines(docs).collect()}
+    stayed = set()
+    for i, text in rows:
+        stayed.update(kept[i])
+        assert {line for line in text.split("\n") if line.strip()} <= stayed
+
+
+def test_chunks_do_the_bulk_of_the_work(spark):
+    """Of long passages, only lines at the edges are left to the pairs."""
+    rng = random.Random(4)
+    passage = "\n".join(f"a line of the passage {rng.random()}" for _ in range(40))
+    rows = [(i, f"own {i}\n{passage}\nlast {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chunks = {r["doc_id"]: r["n_removed_lines"] for r in line_chunks.dedup_lines(docs, HOW).collect()}
+    both = {r["doc_id"]: r["n_removed_lines"] for r in line_chunks.dedup_lines(docs).collect()}
+    assert all(chunks[i] >= 30 and both[i] == 40 for i in range(1, 50)) and both[0] == 0
