@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semproxy.llm.common import WHITE_SPACE, fresh, measured, plain_words, text_bytes, written
+from semproxy.llm.common import WHITE_SPACE, fresh, measured, plain_words, quoted, text_bytes, written
 
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -31,9 +31,10 @@ MAX_REPEAT_PERCENT = 30
 
 @dataclass(frozen=True)
 class RiskControl:
-    """``alpha``: allowed share of good documents lost per stratum; ``delta``: error level."""
+    """``alpha``: allowed share of good documents lost per stratum; ``delta``: error level. Both are
+    set before the labels are seen, which the bound needs."""
 
-    alpha: float = 0.02
+    alpha: float = 0.01
     delta: float = 0.05
 
 
@@ -210,16 +211,18 @@ def quality_report(
 def keep_quality(
     docs: DataFrame, labels: DataFrame, control: RiskControl = RiskControl()
 ) -> DataFrame:
-    """The rows of ``docs`` the rules keep, with all their columns.
+    """The rows of ``docs`` the rules keep, with all their columns, whatever their names.
 
-    The text is read twice: once to choose the cutoffs, once to judge each row where it stands."""
+    The text is read twice: once to choose the cutoffs, once to judge each row where it stands. Null
+    and empty texts have no words and go; repeated rows are judged each; null languages are one
+    stratum; without labels only the base rules reject. An empty table gives no rows."""
     counted = docs.select(
         "doc_id", stratum(F.col("lang")).alias("stratum"), features(F.col("text")).alias("f")
     ).select("doc_id", "stratum", "f.*")
     counted = written(counted, "quality-features")
     chosen = written(cutoffs(counted, labels, control), "quality-cutoffs")
     row, of = fresh(docs.columns, "row", "of")
-    packed = docs.select(F.struct(*docs.columns).alias(row), features(F.col("text")).alias(of))
+    packed = docs.select(F.struct(*quoted(docs.columns)).alias(row), features(F.col("text")).alias(of))
     judged = packed.select(
         row, stratum(F.col(row)["lang"]).alias("stratum"), F.col(f"{of}.*")
     ).join(measured(chosen, 1000), "stratum", "left")
