@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semproxy.llm.common import fresh, written
+from semproxy.llm.common import fresh, quoted, written
 from semproxy.session import shuffle_partitions
 
 HASH_BITS = 60
@@ -29,6 +29,10 @@ LARGEST = (1 << 63) - 1
 SMALLEST = -(1 << 63)
 
 
+# Bytes of text sorted together.
+PART_BYTES = 256 * 1024 * 1024
+
+
 @dataclass
 class Cell:
     """An interval of keys: hashes ``[low, high]``, or ids ``[low, high]`` of one hash."""
@@ -222,7 +226,8 @@ def shard_rows(docs: DataFrame, shards: int, tolerance: float = 0.02) -> DataFra
         ),
         "shard-keys",
     )
-    per_shard = -(-shuffle_partitions(spark) // shards)
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    per_shard = max(-(-shuffle_partitions(spark) // shards), -(-total // (shards * PART_BYTES)))
     parts = shards * per_shard
     borders = find_borders(keys, shards, parts, tolerance)
     keyed = docs.select(
@@ -230,7 +235,7 @@ def shard_rows(docs: DataFrame, shards: int, tolerance: float = 0.02) -> DataFra
     ).withColumn(digit, F.shiftright(h, HASH_BITS - FIRST_BITS))
     if not borders:
         empty = keyed.where(F.lit(False)).select(
-            *docs.columns, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")
+            *quoted(docs.columns), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")
         )
         return empty
 
@@ -245,7 +250,7 @@ def shard_rows(docs: DataFrame, shards: int, tolerance: float = 0.02) -> DataFra
     edges = spark.createDataFrame(table, f"{digit} long, below int, keys array<struct<h:long,d:long>>")
     passed = F.filter("keys", lambda k: k < F.struct(F.col(h).alias("h"), F.col(d).alias("d")))
     part = (F.col("below") + F.size(passed)).alias(place)
-    placed = keyed.join(F.broadcast(edges), digit, "left").select(*docs.columns, h, d, part)
+    placed = keyed.join(F.broadcast(edges), digit, "left").select(*quoted(docs.columns), h, d, part)
 
     starts = [0, *(border.rows for border in borders)]
     offsets = spark.createDataFrame(
@@ -257,7 +262,7 @@ def shard_rows(docs: DataFrame, shards: int, tolerance: float = 0.02) -> DataFra
         "slot", F.row_number().over(window).cast("long") - 1
     )
     return numbered.join(F.broadcast(offsets), place).select(
-        *docs.columns, "shard", (F.col("slot") + F.col("start")).alias("slot")
+        *quoted(docs.columns), "shard", (F.col("slot") + F.col("start")).alias("slot")
     )
 
 
