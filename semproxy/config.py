@@ -32,17 +32,24 @@ class ClusterOptions:
     """k-means size; in a sharded run the count is per shard.
 
     Passes stop early when no centre moves further than ``tolerance`` times the spread of the start
-    centres, so the scale of the vectors does not matter; 0 stops only when nothing moves."""
+    centres, so the scale of the vectors does not matter; 0 stops only when nothing moves.
+
+    ``start`` is ``"seeded"`` (rows in seeded order) or ``"oversampled"`` (rows far from those chosen
+    so far, in ``start_rounds`` rounds of ``cluster_count`` rows, reduced to as many as are asked)."""
 
     cluster_count: int = 50
     max_iterations: int = 10
     tolerance: float = 1e-5
+    start: str = "seeded"
+    start_rounds: int = 4
 
     def __post_init__(self) -> None:
         if self.cluster_count <= 0 or self.max_iterations <= 0:
             raise ValueError("cluster_count and max_iterations must be positive")
         if not math.isfinite(self.tolerance) or self.tolerance < 0:
             raise ValueError("tolerance must be finite and not negative")
+        if self.start not in ("seeded", "oversampled") or self.start_rounds <= 0:
+            raise ValueError("start must be seeded or oversampled, in at least one round")
 
 
 @dataclass(frozen=True)

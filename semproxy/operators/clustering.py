@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any, Protocol
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semproxy.config import ClusterOptions
@@ -187,7 +187,7 @@ def sharded_kmeans(
 
     Only per-task sums are shuffled, so a shard of any size spreads over all tasks. Start centres
     are the distinct vectors with the smallest seeded keys of each shard, whatever the partitions
-    are, so copies of a row cost no centre. A centre that loses its rows moves to the row that lies
+    are, so copies of a row cost no centre, or are drawn far from each other (``options.start``). A centre that loses its rows moves to the row that lies
     furthest from its own centre. Rows are cached as they are read; what does not fit in memory
     spills to the executors' disks and is computed again if an executor is lost.
     """
@@ -337,11 +337,70 @@ def _distinct(
     return centers, seen
 
 
+def _oversampled(
+    pool: DataFrame, shard_col: str, shards: tuple, options: ClusterOptions, seed: int, width: int
+) -> Centers:
+    """Start centres spread like the rows: each round adds rows drawn with probabilities in
+    proportion to their distance from those there are, as many as there are to be centres; they are
+    weighed by the rows nearest to them and reduced to the wanted number on the driver.
+
+    A round is one pass. Its draw is a race, the smallest of -ln(u) / distance, with u from the id and the
+    seed, so it does not depend on partitions; tasks pass on only their first rows, without vectors."""
+    centers = _start(pool, shard_col, shards, replace(options, cluster_count=1), seed, width)
+    if not centers:
+        return centers
+    bound = options.cluster_count * len(shards)
+    for number in range(options.start_rounds):
+        drawn = F.conv(F.substring(seeded_key(F.col("id"), seed + 1 + number), 1, 13), 16, 10).cast("double")
+        race = -F.log((drawn + 1) / F.lit(2.0**52 + 2)) / F.col("distance")
+        rows = CentroidPartition(centers, shard_col).assign(pool).where("distance > 0")
+        rows = rows.select("id", shard_col, race.alias("_race"))
+        place = F.row_number().over(Window.partitionBy(shard_col).orderBy("_race", "id"))
+        first = cut_lineage(rows.withColumn("_place", place).where(F.col("_place") <= options.cluster_count))
+        found = pool.join(small(first.select("id", "_place"), bound), "id").select(shard_col, "_place", "embedding")
+        added: dict[Any, list] = {}
+        for row in sorted(found.collect(), key=lambda row: row["_place"]):
+            added.setdefault(row[shard_col], []).append(row["embedding"])
+        for shard, vectors in added.items():
+            matrix = np.unique(np.concatenate([centers[shard][1], np.asarray(vectors, np.float64)]), axis=0)
+            centers[shard] = (list(range(len(matrix))), matrix)
+        if not added:
+            break
+    weights = {shard: np.zeros(len(names)) for shard, (names, _) in centers.items()}
+    for batch in _batches(centers):
+        names = list(batch)
+        for row in cluster_sums(pool, shard_col, batch).select("shard", "cluster", "n_rows").collect():
+            weights[names[row["shard"]]][row["cluster"]] = row["n_rows"]
+    rng = np.random.default_rng(seed)
+    found = {shard: _reduced(matrix, weights[shard], options.cluster_count, rng) for shard, (_, matrix) in centers.items()}
+    return {shard: (list(range(len(matrix))), matrix) for shard, matrix in found.items()}
+
+
+def _reduced(points: np.ndarray, weights: np.ndarray, count: int, rng: np.random.Generator) -> np.ndarray:
+    """``count`` weighted means of the ``points``."""
+    if len(points) <= count:
+        return points
+    centers = points[[int(weights.argmax())]]
+    far = ((points - centers[0]) ** 2).sum(1)
+    while len(centers) < count and (odds := weights * far).sum() > 0:
+        chosen = points[rng.choice(len(points), p=odds / odds.sum())]
+        centers = np.vstack([centers, chosen])
+        far = np.minimum(far, ((points - chosen) ** 2).sum(1))
+    for _ in range(10):
+        nearest, _ = _nearest(points, centers)
+        for number in range(len(centers)):
+            mine = nearest == number
+            if weights[mine].sum() > 0:
+                centers[number] = np.average(points[mine], axis=0, weights=weights[mine])
+    return centers
+
+
 def _lloyd(
     pool: DataFrame, shard_col: str, shards: tuple, options: ClusterOptions, seed: int, width: int
 ) -> CentroidPartition | None:
     """Centres stay on the driver and go to the tasks in batches of :data:`CENTROID_BYTES`."""
-    centers = _start(pool, shard_col, shards, options, seed, width)
+    start = _oversampled if options.start == "oversampled" else _start
+    centers = start(pool, shard_col, shards, options, seed, width)
     if not centers:
         return None
     spread = max(float(np.ptp(matrix, axis=0).max()) for _, matrix in centers.values())

@@ -122,3 +122,42 @@ def test_assignment_runs_once(blobs):
     votes = blobs.sparkSession.createDataFrame([(0, 1)], "cluster int, positives int")
     plan = rows.join(F.broadcast(votes), "cluster")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+@pytest.fixture(scope="module")
+def islands(spark):
+    """Forty dense groups of very different size."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for group in range(40):
+        middle = rng.normal(0, 20, 6)
+        for i in range(4 if group % 4 else 60):
+            rows.append((f"{group}-{i}", [float(x) for x in middle + rng.normal(0, 0.3, 6)], group % 2))
+    return spark.createDataFrame(rows, "id string, embedding array<float>, shard int").repartition(5).cache()
+
+
+def inertia(partition, pool):
+    return partition.assign(pool).agg(F.sum("distance")).first()[0]
+
+
+def test_oversampled_starts_find_small_groups(islands):
+    pool = islands.select("id", "embedding")
+    seeded = inertia(kmeans_partition(pool, ClusterOptions(40, 10), 3), pool)
+    spread = kmeans_partition(pool, ClusterOptions(40, 10, start="oversampled"), 3)
+    assert spread.clusters == 40
+    assert inertia(spread, pool) < 0.5 * seeded
+    again = kmeans_partition(pool.repartition(9), ClusterOptions(40, 10, start="oversampled"), 3)
+    assert np.allclose(spread.centers[0][1], again.centers[0][1])
+
+
+def test_oversampled_starts_per_shard_and_with_few_rows(islands):
+    options = ClusterOptions(20, 5, start="oversampled")
+    found = sharded_kmeans(islands, "shard", (0, 1, 2), options, 5)
+    assert {shard: len(names) for shard, (names, _) in found.centers.items()} == {0: 20, 1: 20}
+    pair = islands.where("id IN ('1-0', '1-1')").select("id", "embedding")
+    copies = pair.unionByName(pair.select(F.concat("id", F.lit("-copy")).alias("id"), "embedding"))
+    two = kmeans_partition(copies, ClusterOptions(9, 3, start="oversampled"), 5)
+    assert two.clusters == 2 and inertia(two, copies) < 1e-9
+    assert kmeans_partition(copies.where("false"), options, 5) is None
+    with pytest.raises(ValueError):
+        ClusterOptions(start="other")
