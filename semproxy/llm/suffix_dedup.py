@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -255,6 +256,30 @@ class Block:
         self.data = np.frombuffer(self.text, np.uint8)
         self.pieces = find_pieces(self.data, self.lengths, powers)
 
+    @cached_property
+    def classes(self) -> np.ndarray:
+        """For every piece the number of one with the same bytes. Hashes only tell which pieces to
+        compare; one that differs from the first of its hash stands for itself."""
+        p = self.pieces
+        size = p["strings"].astype(np.int64) + LENGTH - 1
+        order = np.argsort(p["content"], kind="stable")
+        content = p["content"][order]
+        fresh = np.concatenate([[True], content[1:] != content[:-1]]) if len(order) else np.zeros(0, bool)
+        heads = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+        classes = np.arange(len(order))
+        again = np.flatnonzero(~fresh)
+        columns = np.arange(int(size.max(initial=0)))
+        for low in range(0, len(again), SLICE):
+            mine = order[again[low : low + SLICE]]
+            head = heads[again[low : low + SLICE]]
+            alike = (size[mine] == size[head]) & ((p["place"] - p["start"])[mine] == (p["place"] - p["start"])[head])
+            mine, head = mine[alike], head[alike]
+            inside = columns < size[mine][:, None]
+            a, b = (self.data[np.minimum(p["start"][x][:, None] + columns, len(self.data) - 1)] for x in (mine, head))
+            same = ((a == b) | ~inside).all(1)
+            classes[mine[same]] = head[same]
+        return classes
+
 
 def send_keys(blocks: DataFrame, buckets: int) -> DataFrame:
     """``(bucket, block, keys, several)`` of every block; ``several``: in two of its documents."""
@@ -348,8 +373,9 @@ def send_pieces(asked: DataFrame, buckets: int) -> DataFrame:
                 p = {name: values[found] for name, values in block.pieces.items()}
                 doc = block.ids[p["doc"]]
                 # Equal pieces of the block once, with the smallest id.
-                order = np.lexsort((doc, p["content"]))
-                content, ids = p["content"][order], doc[order]
+                classes = block.classes[found]
+                order = np.lexsort((doc, classes))
+                content, ids = classes[order], doc[order]
                 first = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]]))
                 last = np.append(first[1:], len(content)) - 1
                 kept, least, several = order[first], ids[first], ids[first] != ids[last]
@@ -439,12 +465,12 @@ def removed_bytes(block: Block, owned: list[bytes]) -> np.ndarray:
     """Whether each byte of the block goes."""
     runs = np.concatenate([unpack_records(o, OWNED) for o in owned] or [np.zeros(0, OWNED)])
     p = block.pieces
-    # A run holds for all pieces of the block with the content of the sent one.
-    content = p["content"][runs["number"]]
+    # A run holds for all pieces of the block with the bytes of the sent one.
+    content = block.classes[runs["number"]]
     order = np.argsort(content, kind="stable")
     runs, content = runs[order], content[order]
-    low = np.searchsorted(content, p["content"], "left")
-    count = np.searchsorted(content, p["content"], "right") - low
+    low = np.searchsorted(content, block.classes, "left")
+    count = np.searchsorted(content, block.classes, "right") - low
     piece = np.repeat(np.arange(len(low)), count)
     run = runs[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(len(piece))]
     loses = block.ids[p["doc"][piece]] > run["owner"]

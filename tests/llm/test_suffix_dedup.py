@@ -118,3 +118,25 @@ def test_columns_find_the_owner_of_every_string():
             s = rows[r, column : column + LENGTH]
             if (s > 0).all():
                 assert owner[r, column] == least[s.tobytes()]
+
+
+def test_equal_hashes_alone_remove_nothing(repeats):
+    """With one hash for all pieces, classes still hold equal bytes only."""
+    powers = suffix_dedup.Powers()
+    texts = [t.encode() for _, t in repeats[:60]]
+    lengths = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    block = object.__new__(suffix_dedup.Block)
+    block.data, block.pieces = data, suffix_dedup.find_pieces(data, lengths, powers)
+    size = block.pieces["strings"].astype(int) + LENGTH - 1
+
+    def said():
+        bodies = [bytes(data[a : a + n]) for a, n in zip(block.pieces["start"].tolist(), size.tolist())]
+        return [(bodies[i], bodies[head]) for i, head in enumerate(block.classes.tolist())]
+
+    assert all(a == b for a, b in said())
+    assert len(set(block.classes.tolist())) == len({a for a, _ in said()}) < len(size)
+    del block.classes
+    block.pieces["content"] = np.zeros_like(block.pieces["content"])
+    assert all(a == b for a, b in said())
+
