@@ -35,12 +35,12 @@ DISTANCE = """list_sum(list_transform(range(1, 65), lambda i:
   * (CAST(embedding[i] AS DOUBLE) - CAST(ce[i] AS DOUBLE))))"""
 
 
-def _lloyd(shard: str, k: int, steps: int) -> str:
+def _lloyd(shard: str, k: int, steps: int, starts: str = "w") -> str:
     """CTEs: start centres by seeded key, ``steps`` mean steps, then ``a`` the assignment."""
     parts = [
         f"w AS (SELECT *, {shard} part FROM v)",
         f"""c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY key, id) - 1 cluster,
-        embedding ce FROM w QUALIFY row_number() OVER (PARTITION BY part ORDER BY key, id) <= {k})""",
+        embedding ce FROM {starts} QUALIFY row_number() OVER (PARTITION BY part ORDER BY key, id) <= {k})""",
     ]
     for step in range(steps + 1):
         name = "a" if step == steps else f"a{step}"
@@ -68,6 +68,11 @@ EIGHT = f"{VECTORS},\n{_lloyd('0', 8, 1)}"
 SHARDED = f"{VECTORS},\n{_lloyd('shard', 6, 2)}"
 REPS = "QUALIFY row_number() OVER (PARTITION BY part, cluster ORDER BY d, id) = 1"
 
+DISTINCT = """(SELECT * FROM w
+  QUALIFY row_number() OVER (PARTITION BY part, embedding ORDER BY key, id) = 1)"""
+COPIES = f"""v AS (SELECT i || '-' || vec_id id, embedding, md5('42:' || i || '-' || vec_id) key
+  FROM embeddings CROSS JOIN range(0, 5) t(i)), {_lloyd('0', 50, 5, DISTINCT)}"""
+
 
 def sampled(rows: int, name: str = "l") -> str:
     return f"{name} AS (SELECT * FROM v ORDER BY key, id LIMIT {rows})"
@@ -330,7 +335,11 @@ ORACLES: dict[str, str] = {
     "random_sharded": f"""WITH {VECTORS} SELECT id, shard, label FROM v
       QUALIFY row_number() OVER (PARTITION BY shard ORDER BY key, id)
       <= 26 // 4 + CASE WHEN shard < 26 % 4 THEN 1 ELSE 0 END""",
-    "kmeans_copies": """SELECT least(50, count(*)) clusters, 5 * count(*) n_rows, 0::BIGINT parted FROM embeddings""",
+    "kmeans_copies": f"""WITH {COPIES}, s AS (SELECT cluster, count(*) in_cluster FROM a GROUP BY cluster),
+      t AS (SELECT count(*) clusters, CAST(sum(in_cluster) AS BIGINT) n_rows,
+        CAST(sum(in_cluster % 5) AS BIGINT) parted FROM s)
+      SELECT id, CAST(cluster AS INTEGER) cluster, in_cluster, clusters, n_rows, parted
+      FROM (SELECT id, cluster FROM a {REPS}) JOIN s USING (cluster) CROSS JOIN t""",
     "run_sharded_central": f"""WITH {SHARDED}
       SELECT id, shard, label, 0 round FROM a {REPS}""",
     "round_report": """SELECT 'gc1rec' run_id, CAST(i AS INTEGER) round, n requested,

@@ -775,15 +775,24 @@ def random_sharded(spark, sf_dir):
 
 @query
 def kmeans_copies(spark, sf_dir):
-    """Every vector in five copies: starts stay distinct, so as many representatives as asked for."""
+    """Every vector in five copies: starts stay distinct, so as many representatives as asked for.
+
+    Each comes with the rows of its cluster, and with how many clusters and rows there are and how
+    many copies were parted from their vector."""
     copies = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("copy")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", copies)
     pool = rows.select(F.concat_ws("-", "copy", "vec_id").alias("id"), "embedding")
-    partition = kmeans_partition(pool, ClusterOptions(50, 3), SEED)
-    found = partition.assign(pool).groupBy("cluster").agg(F.count("*").alias("n"))
-    return found.agg(
-        F.count("*").alias("clusters"), F.sum("n").alias("n_rows"), F.sum(F.col("n") % 5).alias("parted")
+    selection = ClusterSampler(ClusterOptions(50, 5)).select_initial(pool, 50, SEED)
+    assigned = selection.partition.assign(pool)
+    sizes = assigned.groupBy("cluster").agg(F.count("*").alias("in_cluster"))
+    totals = sizes.agg(
+        F.count("*").alias("clusters"),
+        F.sum("in_cluster").alias("n_rows"),
+        F.sum(F.col("in_cluster") % 5).alias("parted"),
     )
+    chosen = cluster_representatives(assigned).join(F.broadcast(selection.ids), "id", "left_semi")  # fifty
+    found = chosen.join(F.broadcast(sizes), "cluster").crossJoin(F.broadcast(totals))  # fifty, one
+    return found.select("id", "cluster", "in_cluster", "clusters", "n_rows", "parted")
 
 
 @query

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from registry.queries import QUERIES
 from semproxy.config import ClusterOptions
 from semproxy.operators import clustering
 from semproxy.operators.clustering import (
@@ -161,3 +162,23 @@ def test_oversampled_starts_per_shard_and_with_few_rows(islands):
     assert kmeans_partition(copies.where("false"), options, 5) is None
     with pytest.raises(ValueError):
         ClusterOptions(start="other")
+
+
+def test_copies_query_returns_the_representatives(spark, tmp_path):
+    """Each cluster's row nearest its centre, also where fewer vectors differ than are asked for."""
+    rng = np.random.default_rng(4)
+    for name, distinct in (("few", 20), ("many", 120)):
+        vectors = rng.normal(size=(distinct, 3)).tolist()
+        rows = [(i, vectors[i % distinct]) for i in range(240)]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        found = QUERIES["kmeans_copies"](spark, f"{tmp_path}/{name}").collect()
+        clusters = min(distinct, 50)
+        assert sorted(r["cluster"] for r in found) == list(range(clusters))
+        assert len({int(r["id"].split("-")[1]) % distinct for r in found}) == clusters
+        assert sum(r["in_cluster"] for r in found) == 1200
+        assert {(r["clusters"], r["n_rows"], r["parted"]) for r in found} == {(clusters, 1200, 0)}
+        if name == "few":
+            assert {r["in_cluster"] for r in found} == {60}
+            ids = [f"{copy}-{i}" for copy in range(5) for i in range(240)]
+            least = {of: min(x for x in ids if int(x[2:]) % distinct == of) for of in range(distinct)}
+            assert {r["id"] for r in found} == set(least.values())
