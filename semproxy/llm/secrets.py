@@ -199,15 +199,18 @@ class Slab:
         data = np.frombuffer(text, np.uint8)
         return np.ascontiguousarray(data[self.runs[:, :1] - CONTEXT + np.arange(7)]).astype(np.int64) @ (1 << np.arange(48, -1, -8))
 
-    def word_shapes(self, common: np.ndarray) -> np.ndarray:
-        """For candidates of small letters only, the number of the harmless form plus one, or -1; else 0."""
-        small = (self.data >= 97) & (self.data <= 122)
-        codes = np.where(small, self.data - 96, 0).astype(np.int32)
+    def words(self, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marks candidates that are one word in small letters, but for the first, and those whose letter
+        triples are all common."""
+        lowered = self.data | 32
+        letter = (lowered >= 97) & (lowered <= 122) & (self.data >= 65) & (self.data <= 122)
+        codes = np.where(letter, lowered - 96, 0).astype(np.int32)
         rare = np.zeros(len(codes), bool)
-        rare[1:-1] = small[1:-1] & ~common[(codes[:-2] * LETTERS + codes[1:-1]) * LETTERS + codes[2:]]
-        sums = [np.concatenate([[0], np.cumsum(marks)]) for marks in (~small, rare)]
-        other, odd = (total[self.runs[:, 1]] - total[self.runs[:, 0]] for total in sums)
-        return np.where(other > 0, 0, np.where(odd > 0, -1, HARMLESS.index(WORD) + 1))
+        rare[1:-1] = letter[1:-1] & ~common[(codes[:-2] * LETTERS + codes[1:-1]) * LETTERS + codes[2:]]
+        starts, ends = self.runs.T
+        other, odd = (np.concatenate([[0], np.cumsum(marks, dtype=np.int32)]) for marks in (self.data < 97, rare))
+        other += np.concatenate([[0], np.cumsum(self.data > 122, dtype=np.int32)])
+        return letter[starts] & (other[ends] == other[starts + 1]), odd[ends] == odd[starts]
 
     def points(self) -> np.ndarray:
         """Code points before each byte."""
@@ -289,18 +292,23 @@ def common_triples(docs: DataFrame, how: Training) -> np.ndarray:
     return (counts >= how.common) & (counts * len(counts) >= counts.sum())
 
 
-def harmless_kind(token: bytes, common: np.ndarray) -> int:
-    """Number of the form in :data:`HARMLESS` the token surely has, else -1."""
+def harmless_form(token: bytes) -> int:
+    """Number of the form in :data:`HARMLESS` the token has, else -1."""
     for kind, form in enumerate(HARMLESS):
-        # Letters alone can only be a word.
-        if (form is WORD or not token.isalpha()) and form.fullmatch(token):
-            if form is not WORD:
-                return kind
-            parts = token.lower().rstrip(b".").split(b"-")
-            return kind if all(common[triples(part)].all() for part in parts) else -1
+        if form.fullmatch(token):
+            return kind
     return -1
 
 
+def harmless_kind(token: bytes, common: np.ndarray) -> int:
+    """The same where the token is surely harmless: a word also has common letter triples."""
+    kind = harmless_form(token)
+    if kind >= 0 and HARMLESS[kind] is WORD:
+        parts = token.lower().rstrip(b".").split(b"-")
+        return kind if all(common[triples(part)].all() for part in parts) else -1
+    return kind
+
+
 @dataclass(frozen=True)
 class CharacterNetwork:
     """Weights of the network, its calibration and the chosen threshold."""
@@ -492,7 +500,8 @@ def _forward(hot, kernel, bias, dense, offset):
     rows, width, channels = hot.shape
     taps = kernel.reshape(channels, -1, len(bias)).swapaxes(0, 1)
     n = width - len(taps) + 1
-    added = (hot.reshape(-1, channels) @ np.concatenate(list(taps), axis=1)).reshape(rows, width, len(taps), -1)
+    # Window by window: products so small keep to one thread.
+    added = (hot @ np.concatenate(list(taps), axis=1)).reshape(rows, width, len(taps), -1)
     active = bias + sum(added[:, back : back + n, back] for back in range(len(taps)))
     np.maximum(active, 0, out=active)
     # Places that reach into the padding do not count.
@@ -587,9 +596,8 @@ class Weights:
         at_top = np.take_along_axis(slope, top[:, None, :], 1)
         np.put_along_axis(slope, top[:, None, :], at_top + back[:, None, : how.filters], 1)
         slope *= active > 0
-        slope = slope.reshape(-1, how.filters)
-        taps = [hot[:, i : i + places].reshape(-1, CLASSES + 1).T @ slope for i in range(how.reach)]
-        return [np.stack(taps, axis=1).reshape(-1, how.filters), slope.sum(0), pooled.T @ error, error.sum()]
+        taps = [(hot[:, i : i + places].transpose(0, 2, 1) @ slope).sum(0) for i in range(how.reach)]
+        return [np.stack(taps, axis=1).reshape(-1, how.filters), slope.sum((0, 1)), pooled.T @ error, error.sum()]
 
     def learnt(self, symbols: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.ndarray, how: Training, rng) -> Weights:
         """One pass over windows in batches of random order."""
@@ -727,53 +735,65 @@ def labelled_findings(docs: DataFrame, common: np.ndarray, how: Training) -> Dat
 
     A token comes once however often it stands, as a secret if it is one anywhere, with its least windows,
     so that nothing depends on partitions. A task forgets what it knows when that gets much."""
+    word = HARMLESS.index(WORD) + 1
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Start of the left context as a number, kind and least windows of the tokens met; None for
-        # those that stay open.
-        secret: dict[bytes, tuple] = {}
-        harmless: dict[bytes, tuple | None] = {}
+        # Of secrets and harmless tokens: the start of the least left context as a number, -1 for tokens
+        # that stay open; the kind; the least windows.
+        secret: tuple[dict, dict, dict] = ({}, {}, {})
+        harmless: tuple[dict, dict, dict] = ({}, {}, {})
 
-        def windows(text: bytes, start: int, end: int) -> tuple[bytes, ...]:
+        def windows(text: bytes, start: int, end: int) -> bytes | list[bytes]:
             if end - start <= STRIDE:
-                return (text[start - CONTEXT : start] + text[end : end + CONTEXT] + text[start:end],)
-            return tuple(window.rstrip(b"\0") for window in pieces(text, start, end))
+                return text[start - CONTEXT : start] + text[end : end + CONTEXT] + text[start:end]
+            return [window.rstrip(b"\0") for window in pieces(text, start, end)]
 
-        def add(known: dict, token: bytes, left: int, kind: int, text: bytes, start: int, end: int) -> None:
-            entry = (left, kind, windows(text, start, end))
-            known[token] = min(known.get(token, entry), entry)
+        def add(known: tuple, token: bytes, left: int, kind: int, text: bytes, start: int, end: int) -> None:
+            lefts, kinds, shown = known
+            here = windows(text, start, end)
+            lefts[token], kinds[token] = left, kind
+            shown[token] = min(shown.get(token, here), here)
 
         def found() -> pa.RecordBatch:
-            rows = [(token, *entry) for known in (secret, harmless) for token, entry in known.items() if entry]
-            columns = [
-                pa.array([_signed(xxhash.xxh3_64_intdigest(row[0])) for row in rows], pa.int64()),
-                pa.array([row[2] for row in rows], pa.int32()),
-                pa.array([row[3] for row in rows], pa.list_(pa.binary())),
-            ]
-            secret.clear()
-            harmless.clear()
+            keys, kinds, flat, ends = [], [], [], [0]
+            for _, of_kind, shown in (secret, harmless):
+                for token, some in shown.items():
+                    keys.append(_signed(xxhash.xxh3_64_intdigest(token)))
+                    flat += [some] if isinstance(some, bytes) else some
+                    ends.append(len(flat))
+                kinds += of_kind.values()
+            for known in (*secret, *harmless):
+                known.clear()
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.binary()))
+            columns = [pa.array(keys, pa.int64()), pa.array(kinds, pa.int32()), lists]
             return pa.RecordBatch.from_arrays(columns, names=["key", "kind", "windows"])
 
         for batch in batches:
             for _, slab in slabs(batch.column(0).to_pylist()):
                 text, plain = slab.text, slab.text.translate(OF_CLASS)
                 marked, inside = slab.touching(slab.values, False), slab.touching(slab.spans, False)
-                shape, lefts = slab.word_shapes(common), slab.lefts(plain)
+                (plain_word, usual), lefts = slab.words(common), slab.lefts(plain)
                 for number in np.flatnonzero(marked).tolist():
                     start, end = slab.runs[number].tolist()
-                    add(secret, text[start:end], int(lefts[number]), 0, plain, start, end)
-                starts, ends = slab.runs[~inside].T.tolist()
-                for start, end, left, form in zip(starts, ends, lefts[~inside].tolist(), shape[~inside].tolist()):
+                    token, left = text[start:end], int(lefts[number])
+                    if left <= secret[0].get(token, left):
+                        add(secret, token, left, 0, plain, start, end)
+                known = harmless[0]
+                outside = [a[~inside].tolist() for a in (*slab.runs.T, lefts, plain_word, usual)]
+                for start, end, left, is_word, is_usual in zip(*outside):
                     token = text[start:end]
-                    if token in harmless:
-                        entry = harmless[token]
-                        if entry is not None and left <= entry[0]:
-                            add(harmless, token, left, entry[1], plain, start, end)
-                    elif form > 0 or form == 0 and (form := harmless_kind(token, common) + 1) > 0:
-                        add(harmless, token, left, form, plain, start, end)
-                    else:
-                        harmless[token] = None
-                if len(secret) + len(harmless) >= KNOWN:
+                    least = known.get(token)
+                    if least is None:
+                        form = word if is_word else harmless_form(token) + 1
+                        if form == word and not is_usual:
+                            form = 0
+                        if form:
+                            add(harmless, token, left, form, plain, start, end)
+                        else:
+                            known[token] = -1
+                    elif left <= least:
+                        add(harmless, token, left, harmless[1][token], plain, start, end)
+                if len(known) + len(secret[0]) >= KNOWN:
                     yield found()
         yield found()
 
